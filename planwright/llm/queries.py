@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality, substring_dedup, token_counts
+from . import jaccard_join, line_dedup, mixing, quality, substring_dedup, token_counts
 from .shared import table
 
 
@@ -25,6 +25,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.deduped(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -35,7 +39,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring_dedup, op3_token_counts, op4_quality_rules, op7_line_dedup, op10_source_mixing]
+    found = [op1_substring_dedup, op3_token_counts, op4_quality_rules, op5_jaccard_join, op7_line_dedup, op10_source_mixing]
     return {f.__name__: f for f in found}
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, line_dedup, mixing, quality, substring_dedup, token_counts
+from . import decontamination, jaccard_join, line_dedup, mixing, quality, substring_dedup, token_counts
 from .shared import table
 
 
@@ -34,12 +34,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring_dedup, op3_token_counts, op4_quality_rules, op5_jaccard_join, op7_line_dedup, op10_source_mixing]
+    found = [op1_substring_dedup, op3_token_counts, op4_quality_rules, op5_jaccard_join, op7_line_dedup, op9_benchmark_decontamination, op10_source_mixing]
     return {f.__name__: f for f in found}
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, line_dedup, mixing, quality, substring_dedup, token_counts
+from . import chat_format, decontamination, jaccard_join, line_dedup, lm_scoring, mixing, quality, substring_dedup, token_counts
 from .shared import table
 
 
@@ -29,11 +29,23 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scoring.scored(table(spark, sf_dir, "documents"))
+    rounded = [(F.floor(F.col(c) * f + 0.5) / f).alias(c) for c, f in (("log_score", 1e4), ("mean_log_score", 1e6))]
+    return out.select("doc_id", "n_words", *rounded)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.deduped(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat_format.rotated(table(spark, sf_dir, "conversations"))
+    spans = F.transform("trained", lambda s: F.concat_ws("-", s["start"], s["stop"]))
+    return out.withColumn("trained", F.array_join(spans, ","))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,12 +55,14 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring_dedup, op3_token_counts, op4_quality_rules, op5_jaccard_join, op7_line_dedup, op9_benchmark_decontamination, op10_source_mixing]
+    found = [op1_substring_dedup, op3_token_counts, op4_quality_rules, op5_jaccard_join, op6_lm_scoring, op7_line_dedup, op8_chat_format, op9_benchmark_decontamination, op10_source_mixing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_lm_scoring": lm_scoring.SCORE_SQL.format(docs="documents"),
+        "op8_chat_format": chat_format.ROTATED_SQL.format(turns="conversations"),
         "op7_line_dedup": line_dedup.RESULT_SQL.format(docs="documents"),
         "op10_source_mixing": mixing.PLAN_SQL.format(docs="documents"),
     }

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text handled at once; one longer document makes a chunk of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -7,14 +7,14 @@ verification, and every remaining pair is verified once on the full sets.
 
 *Rare first* needs a common order only: shingles are ordered by frequency class, then hash, where
 the class comes from a counting sketch of 2**SKETCH_BITS cells over all documents.  Its size is
-fixed, so it may be broadcast whatever the corpus; a cell's class is its count against the mean
-cell, so only shingles far above the crowd move back.
+fixed, so it may be broadcast whatever the corpus; a cell's class is its count against the median
+cell, so only shingles above the crowd move back.
 
 *Large key groups* are not expanded into all pairs.  First each member meets its neighbours by size
 and its block's first member; verified links merge into components; then only members of a group
-that are still in different components meet, by neighbours again while that would be more pairs
-than rows, and in the end every pair of members from different components.  Pairs inside one
-component need no verification, so no link between components is lost.
+that are still in different components meet: once more by neighbours where all pairs would be many more
+than rows, and in the end every pair of members from different components, with a parity filter on
+top.  Pairs inside one component need no verification, so no link between components is lost.
 
 Defined results: null texts and texts without words have 0 shingles and link with nothing; texts of
 fewer than five words are one shingle; exact copies link; a null id gets the least id of its class;
@@ -23,6 +23,7 @@ repeated rows are copies; other columns are ignored; an empty table gives an emp
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +39,14 @@ U = np.uint64
 SHINGLE = 5
 #: Similarity threshold in percent.
 PERCENT = 80
-SKETCH_BITS, BLOCK_CELLS = 20, 1 << 16
+SKETCH_BITS, BLOCK_CELLS = 22, 1 << 16
 #: Key groups up to SMALL members meet in full at once; BLOCK members share a first member.
 SMALL, BLOCK = 8, 16
 #: Depth of the suffix filter's halvings.
 DEPTH = 4
 
-SIGNED = "doc_id long, th long, n_shingles long, node long, block int, cells binary"
+SIGNED = "doc_id long, th long, n_shingles long, node long, bits binary, block int, cells binary"
+TEXTS = "node long, packed binary"
 KEYS = "key long, node long, n int, pos int"
 MET = "key long, a long, b long, n int, pos int"
 
@@ -66,46 +68,74 @@ def _node(found: np.ndarray) -> int:
     return int(T.mix(np.array([T.mix(found).sum(dtype=U) + U(len(found))], U)).view(np.int64)[0])
 
 
+def parity_bits(found: np.ndarray) -> bytes:
+    """Cell i holds the parity of how many elements fall in it; cells number between n and 2 n."""
+    n = max(64, 1 << max(0, len(found) - 1).bit_length())
+    odd = np.bincount((T.mix(found) >> U(64 - n.bit_length() + 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """Parities with half the cells: a cell's place is the leading bits of a hash, so neighbours merge."""
+    pair = np.unpackbits(bits, axis=-1).reshape(*bits.shape[:-1], -1, 2)
+    return np.packbits(pair[..., 0] ^ pair[..., 1], axis=-1)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells = np.zeros(1 << SKETCH_BITS, np.uint32)
-    names = ["doc_id", "th", "n_shingles", "node", "block", "cells"]
+    names = ["doc_id", "th", "n_shingles", "node", "bits", "block", "cells"]
+    held: list[np.ndarray] = []
     for batch in batches:
-        sizes, nodes = [], []
+        sizes, nodes, bits = [], [], []
         for c in T.chunks(batch.column(2)):
             sets = shingle_sets(c)
             sizes += map(len, sets)
             nodes += map(_node, sets)
-            if sets:
-                cells += np.bincount((np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
+            bits += map(parity_bits, sets)
+            held += sets
+            if sum(map(len, held)) > T.CHUNK_BYTES:
+                _count_cells(cells, held)
         n = len(sizes)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-    parts = [(i, p.tobytes()) for i, p in enumerate(cells.reshape(-1, BLOCK_CELLS)) if p.any()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+    _count_cells(cells, held)
+    parts = [(i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(cells.reshape(-1, BLOCK_CELLS)) if p.any()]
     if parts:
         none = pa.nulls(len(parts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(parts), pa.binary()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=names)
+
+
+def _count_cells(cells: np.ndarray, held: list[np.ndarray]) -> None:
+    if held:
+        np.add.at(cells, (np.concatenate(held) >> U(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+        held.clear()
 
 
 def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got = np.frombuffer(cells, np.uint32).astype(np.uint64)
+            got = np.frombuffer(zlib.decompress(cells), np.uint32).astype(np.uint64)
             total[block] = total[block] + got if block in total else got
     if total:
         # saturated at four bytes again
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(v, 2**32 - 1).astype(np.uint32).tobytes() for v in total.values()], pa.binary())], names=["block", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(np.minimum(v, 2**32 - 1).astype(np.uint32).tobytes(), 1) for v in total.values()], pa.binary())], names=["block", "cells"])
 
 
 def frequency_classes(signed: DataFrame) -> np.ndarray:
-    """A class for each cell of the sketch: 0 for the crowd, then one more per doubling."""
+    """A class for each cell of the sketch: 0 for the crowd, then one more per doubling.
+
+    The crowd's cells scatter around the median like counts; a cell five deviations above it holds
+    a shingle that many documents share.
+    """
     rows = signed.where("block IS NOT NULL").select("block", "cells")
     merged = rows.repartition(1 << (SKETCH_BITS - 16), "block").mapInArrow(_add_cells, "block int, cells binary")
     cells = np.zeros((1 << SKETCH_BITS) // BLOCK_CELLS * BLOCK_CELLS, np.uint32).reshape(-1, BLOCK_CELLS)
-    for row in merged.collect():
-        cells[row.block] = np.frombuffer(row.cells, np.uint32)
-    flat = cells.reshape(-1).astype(np.float64)
-    mean = max(1.0, flat.mean())
-    return np.floor(np.log2(np.maximum(1.0, flat / (4 * mean)) + 1e-9)).clip(0).astype(np.uint8)
+    for row in merged.toLocalIterator():
+        cells[row.block] = np.frombuffer(zlib.decompress(row.cells), np.uint32)
+    flat = cells.reshape(-1).astype(np.float32)
+    crowd = float(np.median(flat))
+    edge = crowd + 5 * crowd**0.5 + 3
+    return np.where(flat < edge, 0, 1 + np.floor(np.log2(np.maximum(flat, edge) / edge))).astype(np.uint8)
 
 
 def _keys(shared):
@@ -199,22 +229,51 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[big]), pa.array(node[big]), pa.nulls(len(big), pa.int64()), pa.array(n[big]), pa.array(pos[big])], names=["key", "a", "b", "n", "pos"])
 
 
+def _all_pairs(key, node, n, pos, label, bits) -> Iterator[pa.RecordBatch]:
+    """Every pair of members from different components that the filters let through.
+
+    Beside length and position, parities bound the pair: cells that differ are no more than the
+    elements that only one of the two sets has.
+    """
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(key)], strict=True):
+        size = np.fromiter(map(len, bits[lo:hi]), np.int64, hi - lo)
+        own = {z: np.frombuffer(b"".join(bits[lo:hi][size == z]), np.uint8).reshape(-1, z) for z in np.unique(size).tolist()}
+        half = {z // 2: _folded(m) for z, m in own.items()}
+        row = np.zeros(hi - lo, np.int64)
+        for z in own:
+            row[size == z] = np.arange(len(own[z]))
+        a, b = [], []
+        for i in range(lo, hi - 1):
+            # rows come by size, so partners within the length filter follow closely
+            stop = i + 1 + int(np.searchsorted(n[i + 1 : hi], 100 * int(n[i]) // PERCENT, side="right"))
+            to = np.arange(i + 1, stop)
+            to = to[label[to] != label[i]]
+            to = to[_possible(np.int64(n[i]), n[to].astype(np.int64), pos[i], pos[to])]
+            z = int(size[i - lo])
+            for table, width in ((own, z), (half, 2 * z)):
+                j = to[size[to - lo] == width]
+                if not len(j):
+                    continue
+                apart = np.bitwise_count(table[z][row[j - lo]] ^ own[z][row[i - lo]]).sum(axis=1, dtype=np.int64)
+                both = n[j].astype(np.int64) + int(n[i])
+                # common >= least, so both - 2 least is the most that may differ
+                j = j[apart <= both - 2 * -(-PERCENT * both // (100 + PERCENT))]
+                a.append(np.full(len(j), i))
+                b.append(j)
+        if a:
+            a, b = node[np.concatenate(a)], node[np.concatenate(b)]
+            if len(a):
+                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+
 def _meet_again(every: bool, turn: int):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in whole_groups(batches):
             key, node, n, pos, label = g["key"], g["node"], g["n"], g["pos"], g["label"]
             if every:
-                # rows come by key and size, so partners within the length filter follow closely
-                head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(key)], strict=True):
-                    for i in range(lo, hi - 1):
-                        stop = i + 1 + int(np.searchsorted(n[i + 1 : hi], 100 * int(n[i]) // PERCENT, side="right"))
-                        to = np.arange(i + 1, stop)
-                        to = to[label[to] != label[i]]
-                        if len(to):
-                            a, b = _pairs(np.full(len(to), i), to, node, n, pos)
-                            if len(a):
-                                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield from _all_pairs(key, node, n, pos, label, g["bits"])
                 continue
             order = np.lexsort((T.mix(node.view(U) + U(turn)), key))
             key, node, n, pos, label = key[order], node[order], n[order], pos[order], label[order]
@@ -244,7 +303,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(a), step):
             for col, ids in ((2, a), (3, b)):
                 part = [i for i in range(lo, min(lo + step, len(a))) if ids[i] not in cached]
-                for c in T.chunks(batch.column(col).take(pa.array(part, pa.int64()))):
+                packed = batch.column(col).take(pa.array(part, pa.int64())).to_pylist()
+                for c in T.chunks(pa.array([zlib.decompress(x).decode() for x in packed], pa.string())):
                     for k, found in enumerate(shingle_sets(c)):
                         cached[ids[part[c.lo + k]]] = found
             for i in range(lo, min(lo + step, len(a))):
@@ -260,10 +320,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["u", "v"])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [zlib.compress((t or "").encode(), 1) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "packed"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("node").alias("a"), F.col("packed").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("packed").alias("text_b"))
     rows = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     return rows.mapInArrow(_verify, "u long, v long")
 
@@ -276,7 +342,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     base = base.select("doc_id", F.xxhash64("text").alias("th"), "text")
     signed = checkpointed(base.mapInArrow(_sign, SIGNED))
     shared = spark.sparkContext.broadcast(frequency_classes(signed))
-    own = signed.where("block IS NULL").select("doc_id", "th", "n_shingles", "node")
+    own = signed.where("block IS NULL").select("doc_id", "th", "n_shingles", "node", "bits")
 
     keys = base.select("text").mapInArrow(_keys(shared), KEYS)
     met = checkpointed(keys.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(_meet, MET))
@@ -287,8 +353,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     wanted = met.select(F.col("a").alias("node")).unionByName(met.where("b IS NOT NULL").select(F.col("b").alias("node"))).distinct()
     chosen = own.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("of")).join(wanted, "node").select("node", F.col("of.doc_id").alias("_id"), F.col("of.th").alias("_th"))
     texts = base.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("node", "text").dropDuplicates(["node"])
-    texts = checkpointed(texts)
+    texts = checkpointed(texts.mapInArrow(_pack, TEXTS))
 
+    bits = own.join(groups.select("node").distinct(), "node").select("node", "bits").dropDuplicates(["node"])
     links = checkpointed(_verified(pairs, texts))
     labels = components(links)
     turn = 0
@@ -301,8 +368,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         left, rows = open_keys.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0.0))).first()
         if not left:
             break
-        every = turn > 4 or left <= 8 * rows
-        again = placed.join(open_keys.select("key"), "key").select("key", "node", "n", "pos", "label")
+        every = turn > 1 or left <= 8 * rows
+        again = placed.join(open_keys.select("key"), "key").join(bits, "node").select("key", "node", "n", "pos", "label", "bits")
         order = ["key", "n", "node"]
         more = again.repartition(parts, "key").sortWithinPartitions(*order).mapInArrow(_meet_again(every, turn), "a long, b long").distinct()
         found = checkpointed(_verified(more, texts))

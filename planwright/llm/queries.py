@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, jaccard_join, line_dedup, lm_scoring, mixing, quality, substring_dedup, token_counts
+from . import chat_format, decontamination, html_extract, jaccard_join, line_dedup, lm_scoring, mixing, quality, substring_dedup, token_counts
 from .shared import table
 
 
@@ -17,6 +17,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -55,7 +59,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring_dedup, op3_token_counts, op4_quality_rules, op5_jaccard_join, op6_lm_scoring, op7_line_dedup, op8_chat_format, op9_benchmark_decontamination, op10_source_mixing]
+    found = [op1_substring_dedup, op2_html_extraction, op3_token_counts, op4_quality_rules, op5_jaccard_join, op6_lm_scoring, op7_line_dedup, op8_chat_format, op9_benchmark_decontamination, op10_source_mixing]
     return {f.__name__: f for f in found}
 
 

@@ -385,3 +385,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     byte = named.join(roots, "label").select("node", "component_id")
     out = own.join(byte.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each class of ``linked``: the one with the least id; repeated rows leave one."""
+    chosen = linked(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_rep")).distinct()
+    kept = docs.join(chosen, docs[id_col].cast("long").eqNullSafe(chosen["_rep"]), "left_semi")
+    return kept.withColumn("_th", F.xxhash64(text_col)).dropDuplicates([id_col, "_th"]).drop("_th")

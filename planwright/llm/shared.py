@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,18 +12,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    found = sc._jsc.sc().getCheckpointDir()
+    if found.isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="planwright-checkpoint-"))
+        found = sc._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with files in the shared folder of ``spark.checkpoint.dir``.
-
-    The folder comes from the session.  Only where neither the setting nor the context names one
-    (a single-machine test session) is a temporary folder set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="planwright-checkpoint-"))
+    """Cuts lineage with files in the shared folder, removed with the DataFrame where Spark is set to."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage with a Parquet table in the shared folder, for rows too wide for a checkpoint."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -1,0 +1,392 @@
+"""The corpus operators against brute force on a small fixture with every awkward kind of row."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from planwright.llm import chat_format, decontamination, html_extract, jaccard_join, line_dedup, lm_scoring, mixing, quality, substring_dedup, token_counts
+
+W = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th long, node string"
+
+
+def words(t):
+    return W.findall(t or "")
+
+
+def corpus():
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 7))) for _ in range(400)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    passage, base = text(60), text(200)
+    out = []
+    add = lambda t, s="a", g="en": out.append((len(out), t, g, s, len(t or ""), 1, "x"))
+    for i in range(12):
+        add(text(120) + "\n" + text(40), "abcdef"[i % 6])
+    for i in range(14):
+        w = base.split()
+        w[i * 11] = f"edit{i}"
+        add(" ".join(w), "abcdef"[i % 6])
+    for i in range(6):
+        add(text(50) + f"\n{passage}\n" + text(30) + "\nAll rights reserved.", "abcdef"[i % 6])
+    add(passage + " " + passage)
+    add("Word " * 80)
+    add(None)
+    add("")
+    add(" \n\t ", None)
+    add("é  über x 　 naïve\tword", "a", None)
+    add("one two three", "b")
+    add("One TWO three", "c")
+    add(text(4000), "a")
+    out.append(out[0])
+    out.append((None, out[1][1], "en", "a", 5, 1, "x"))
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def brute_substring(texts):
+    lists = [words(t) for t in texts]
+    seen = collections.Counter(tuple(x[i : i + 35]) for x in lists for i in range(len(x) - 34))
+    out = []
+    for x in lists:
+        gone = [False] * len(x)
+        for i in range(len(x) - 34):
+            if seen[tuple(x[i : i + 35])] > 1:
+                gone[i : i + 35] = [True] * 35
+        out.append((len(x), sum(gone), " ".join(w for w, g in zip(x, gone) if not g)))
+    return out
+
+
+def test_substring_dedup(docs, rows, empty):
+    got = substring_dedup.deduped(docs).collect()
+    key = lambda x: (x[0] is None, x)
+    want = sorted(((r[0], *b) for r, b in zip(rows, brute_substring([r[1] for r in rows]))), key=lambda x: key(tuple(map(str, x))))
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=lambda x: key(tuple(map(str, x)))) == want
+    for r in got:
+        assert sum(s.stop - s.start for s in r.removed) == r.n_removed
+    assert substring_dedup.deduped(empty).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 40])
+def test_substring_dedup_within_one_text(spark, n):
+    text = " ".join(f"w{i % n}" for i in range(150))
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert substring_dedup.deduped(d).first().n_removed == brute_substring([text])[0][1]
+
+
+def test_html_blocks():
+    page = (
+        '<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav>menu</nav><div class="cookie-notice">ok?</div><article><h1>A &amp; B</h1>'
+        "<p>one <b>two</b>\n three<p>four<br>five<script>if(a<b){}</script><aside>side</aside><form>f</form></p><div class='comments'><p>me too</p></div><ul><li>x<li>y &lt;z&gt;</ul></article><footer>f</footer>"
+    )
+    own = [t for k, t in html_extract.blocks(page) if k == html_extract.OWN]
+    assert own == ["A & B", "one two three", "four", "five", "x", "y <z>"]
+    assert html_extract.blocks("") == [] and html_extract.blocks("<p") == []
+
+
+def test_host_suffix_array(spark):
+    boiler = "all rights reserved by the owners of this site since long ago"
+    pages = [(i, "http://h.example/" + str(i), f"<body><div>unique text number {i} about topic {i * 7} and more words here {i}</div><div>{boiler}</div></body>", "x") for i in range(5)]
+    pages += [(10, "http://o.example/", f"<body><div>{boiler}</div></body>", "x"), (11, None, None, "x"), (12, "", "", "x"), pages[0]]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extracted(d).collect())
+    unique = [f"unique text number {i} about topic {i * 7} and more words here {i}" for i in range(5)]
+    assert got == sorted([*((i, u, len(u)) for i, u in enumerate(unique)), (0, unique[0], len(unique[0])), (10, boiler, len(boiler)), (11, "", 0), (12, "", 0)])
+    assert html_extract.extracted(d.limit(0)).count() == 0
+
+
+def test_repeated_runs_against_brute_force():
+    r = random.Random(3)
+    segments = [[r.choice("abc") for _ in range(r.randint(3, 14))] for _ in range(30)]
+    pages = np.array([r.randint(1, 2) for _ in segments])
+    runs = collections.defaultdict(set)
+    for i, s in enumerate(segments):
+        for a in range(len(s) - 3):
+            runs[tuple(s[a : a + 4])].add(i)
+    for s, spans in zip(segments, html_extract.repeated(segments, pages, 4, 3)):
+        want = [any(sum(pages[i] for i in runs[tuple(s[a : a + 4])]) >= 3 for a in range(max(0, k - 3), min(k, len(s) - 4) + 1)) for k in range(len(s))]
+        got = [any(a <= k < b for a, b in spans) for k in range(len(s))]
+        assert got == want
+
+
+def test_token_counts(docs, rows, empty):
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(path)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.counted(docs, path).collect())
+    n = [len(library.encode(r[1] or "", add_special_tokens=False).ids) for r in rows]
+    assert got == sorted((str(r[0]), len((r[1] or "").encode()), k, k > 1024) for r, k in zip(rows, n))
+    assert token_counts.counted(empty, path).count() == 0
+
+
+def test_word_split_equals_library():
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    library, counter = Tokenizer.from_file(path), token_counts.Counter(path)
+    r = random.Random(1)
+    parts = ["'", " ", "\n", "\t", "s", "re", "r", "e", "ve", "l", "ll", "m", "x", "É", "1", "２", "!", "中", " ", "　", "<|endoftext|>", "'S", "²", "\U0001f600", "​", "\x1c", "\r"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 200))) for _ in range(3000)]
+    assert counter.counts(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_quality_base_figures(docs, rows, empty):
+    want = []
+    for r in rows:
+        t, x = r[1] or "", words(r[1])
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if words(line):
+                dup += line in seen
+                seen.add(line)
+        c = collections.Counter(tuple(x[i : i + 3]) for i in range(len(x) - 2))
+        on = {i + k for i in range(len(x) - 2) if c[tuple(x[i : i + 3])] > 1 for k in range(3)}
+        failed = len(x) < 50 or 100 * len(on) > 50 * len(x)
+        want.append((str(r[0]), len(x), sum(map(len, x)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(on), failed))
+    got = quality.assess(docs).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == sorted(want)
+    assert all(not (r.base_failed and r.kept) for r in got) and sum(r.kept for r in got) > 25
+    assert quality.assess(empty).count() == 0
+
+
+def test_quality_rejects_what_the_model_never_saw(spark):
+    r = random.Random(2)
+    plain = lambda: " ".join(r.choice(["the", "house", "stands", "near", "river", "banks", "where", "people", "meet"]) + r.choice(["", ".", ","]) for _ in range(150))
+    junk = " ".join("%%" + "".join(r.choice("QXZJKV#|") for _ in range(6)) for _ in range(150))
+    d = spark.createDataFrame([(i, plain(), "en") for i in range(60)] + [(99, junk, "en")], "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in quality.assess(d).collect()}
+    assert not got[99].kept and not got[99].base_failed and all(got[i].kept for i in range(60))
+    assert quality.passing(d).count() == 60
+
+
+def test_kneser_ney_sums_to_one(spark):
+    text = "abracadabra abracadabra " * 20
+    counts = collections.Counter(int.from_bytes(text[i : i + 4].encode(), "big") for i in range(len(text) - 3))
+    d = spark.createDataFrame([("en", g, c) for g, c in counts.items()], "lang string, gram long, c long")
+    model = quality.kneser_ney(d).collect()
+    p = {(r.kind, r.gram): r.value for r in model}
+    context = int.from_bytes(b"abr", "big")
+
+    def prob(k, g):
+        if k == 0:
+            return 1 / 256
+        if (k, g) in p:
+            return np.exp(p[k, g])
+        weight = np.exp(p[8 + k, g >> 8]) if (8 + k, g >> 8) in p else 1.0
+        return weight * prob(k - 1, g & ((1 << 8 * (k - 1)) - 1))
+
+    assert abs(sum(prob(4, context << 8 | b) for b in range(256)) - 1) < 1e-9
+
+
+def brute_classes(rows):
+    low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    sets = []
+    for r in rows:
+        x = words((r[1] or "").translate(low))
+        sets.append({tuple(x[i : i + 5]) for i in range(len(x) - 4)} if len(x) >= 5 else {tuple(x)} if x else set())
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return [(str(r[0]), len(s), str(least.get(find(i)) if s else r[0])) for i, (r, s) in enumerate(zip(rows, sets))]
+
+
+def test_jaccard_join(docs, rows, empty):
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.linked(docs).collect())
+    assert got == sorted(brute_classes(rows))
+    assert jaccard_join.linked(empty).count() == 0
+    kept = jaccard_join.representatives(docs).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted({a for a, _, c in brute_classes(rows) if a == c})
+
+
+def test_jaccard_join_chain_of_many(spark):
+    """A large key group whose members link only to their neighbours."""
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(base)))
+        base[i * 2 % 120] = f"x{i}"
+    rows += [(100 + i, " ".join(["common"] * 3 + [f"y{i}_{k}" for k in range(20)])) for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.linked(d).collect())
+    assert got == sorted(brute_classes(rows))
+
+
+def test_parity_bound():
+    r = np.random.default_rng(1)
+    for n in (50, 300, 2000):
+        x = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: int(0.85 * len(x))], r.integers(0, 1 << 62, n // 8).astype(np.uint64)]))
+        a, b = (np.frombuffer(jaccard_join.parity_bits(v), np.uint8) for v in (x, y))
+        while len(a) > len(b):
+            a = jaccard_join._folded(a)
+        while len(b) > len(a):
+            b = jaccard_join._folded(b)
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+        assert jaccard_join._suffix_bound(x, y) >= len(np.intersect1d(x, y))
+
+
+@pytest.mark.parametrize("min_count", [1, 2])
+def test_lm_scoring(docs, rows, empty, min_count):
+    low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    lists = [words((r[1] or "").translate(low)) for r in rows]
+    one, two = collections.Counter(w for x in lists for w in x), collections.Counter(p for x in lists for p in zip(x, x[1:]))
+    total, want = sum(one.values()), collections.defaultdict(lambda: [0, 0.0])
+    for r, x in zip(rows, lists):
+        want[r[0]][0] += len(x)
+        for i, w in enumerate(x):
+            if i and two[x[i - 1], w] >= min_count:
+                want[r[0]][1] += np.log(two[x[i - 1], w] / one[x[i - 1]])
+            else:
+                want[r[0]][1] += np.log(0.4 * one[w] / total)
+    # rows that share an id back off once for the text they make together
+    twice = [k for k, n in collections.Counter(r[0] for r in rows).items() if n > 1]
+    got = {r.doc_id: r for r in lm_scoring.scored(docs, min_count=min_count).collect()}
+    assert set(got) == set(want)
+    for k, (n, s) in want.items():
+        assert got[k].n_words == n
+        if k not in twice:
+            assert got[k].log_score == pytest.approx(s, abs=1e-6)
+    assert lm_scoring.scored(empty, min_count=min_count).count() == 0
+
+
+def test_line_dedup(docs, rows, empty):
+    sites, first = collections.defaultdict(set), {}
+    for r in rows:
+        for p, line in enumerate((r[1] or "").split("\n") if r[1] is not None else []):
+            if words(line):
+                sites[line].add(r[3])
+                k = (r[0] is not None, r[0] or 0, p)
+                first[line] = min(first.get(line, k), k)
+    want = []
+    for r in rows:
+        lines = r[1].split("\n") if r[1] is not None else []
+        kept = [x for p, x in enumerate(lines) if not words(x) or len(sites[x] - {None}) < 5 or first[x] == (r[0] is not None, r[0] or 0, p)]
+        want.append((str(r[0]), None if r[1] is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
+    got = line_dedup.deduped(docs).collect()
+    assert sorted(map(str, ((str(r.doc_id), r.text, r.n_lines, r.n_removed) for r in got))) == sorted(map(str, want))
+    assert set(got[0].asDict()) == {*SCHEMA.replace(",", "").split()[::2], "n_lines", "n_removed"}
+    assert line_dedup.deduped(empty).count() == 0
+
+
+def test_line_dedup_near_threshold(spark):
+    rows = [(i, f"shared four\nshared five\nown {i}", f"s{min(i, 3)}") for i in range(6)] + [(9, "shared five", "s9")]
+    got = {r.doc_id: r.text for r in line_dedup.deduped(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0].startswith("shared four\nshared five") and got[1] == "shared four\nown 1" and got[9] == ""
+
+
+def test_chat_format(spark):
+    rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 3, "ann", "Bye"), (1, 3, "ann", "Bye"), (None, None, None, "alone"), (2, 0, "system", "only")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.perspective): r for r in chat_format.rotated(d).collect()}
+    assert set(got) == {(1, "ann"), (1, "bob"), (None, "unknown")}
+    ann = got[1, "ann"]
+    assert ann.mask == "01011" and ann.n_turns == 5
+    assert [ann.rendered[s.start : s.stop] for s in ann.trained] == ["Hi<|im_end|>\n", "Bye<|im_end|>\n", "Bye<|im_end|>\n"]
+    assert "<|im_start|>user name=bob\n<|im_end|>\n" in ann.rendered and ann.rendered.startswith("<|im_start|>system\nBe kind.")
+    assert chat_format.rotated(d.limit(0)).count() == 0
+
+
+def test_decontamination(spark):
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 6))) for _ in range(600)]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [text(r.randint(15, 50)) for _ in range(20)]
+    rows, want = [], set()
+    for i in range(80):
+        body = text(300)
+        if i < 20:
+            passage = list(items[i])
+            if i % 2:
+                for k in range(0, len(passage) - 5, 6):
+                    passage[k] = "changed"
+            at = r.randint(0, len(body))
+            body[at:at] = [w.upper() for w in passage]
+            want.add((i, i))
+        rows.append((i, " ".join(body), "x"))
+    rows += [(200, None, "x"), (201, "", "x"), (202, " ".join(items[3]), "x"), rows[0]]
+    want.add((202, 3))
+    d = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    b = spark.createDataFrame([*((i, " ".join(x)) for i, x in enumerate(items)), (90, None), (91, "short item")], "item_id long, text string")
+    got = decontamination.leaks(d, b).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want)
+    assert sorted(x.doc_id for x in decontamination.decontaminated(d, b).collect()) == sorted({x[0] for x in rows} - {w[0] for w in want})
+    assert decontamination.leaks(d.limit(0), b).count() == 0 and decontamination.leaks(d, b.limit(0)).count() == 0
+
+
+def test_lcs():
+    def slow(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    r = random.Random(6)
+    for _ in range(200):
+        a, b = ([r.randint(0, 4) for _ in range(r.randint(1, 25))] for _ in range(2))
+        assert decontamination.lcs_length(decontamination._places(a), len(a), b) == slow(a, b)
+
+
+def test_mixing(docs, rows, empty):
+    plan = mixing.plan(docs).collect()
+    assert len(plan) == len(rows)
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[3]] += len(words(r[1]))
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    target, free, goal = {}, set(sizes), 1.5 * sum(sizes.values())
+    while True:
+        level = (goal - sum(target.values())) / sum(weights[s] for s in free)
+        over = {s for s in free if level * weights[s] > 2 * sizes[s]}
+        if not over:
+            break
+        target |= {s: 2.0 * sizes[s] for s in over}
+        free -= over
+    target |= {s: level * weights[s] for s in free}
+    of = {r[0]: r[3] for r in rows}
+    for p in plan:
+        assert p.target == pytest.approx(target[of[p.doc_id]]) and p.source_size == sizes[of[p.doc_id]]
+        assert p.taken in (0, p.size, 2 * p.size)
+    assert sorted(map(str, mixing.plan(docs).collect())) == sorted(map(str, plan))
+    mix = mixing.mixed(docs)
+    assert mix.count() == sum(p.copies for p in plan) and "copy" in mix.columns
+    assert mixing.plan(empty).count() == 0 and mixing.mixed(empty).count() == 0
+
+
+def test_mixing_draws_come_near_the_target(spark):
+    d = spark.range(4000).selectExpr("id AS doc_id", "repeat('w ', 10) AS text", "CASE WHEN id % 4 = 0 THEN 'a' WHEN id % 4 < 3 THEN 'b' END AS source")
+    got = mixing.plan(d).groupBy("target").sum("taken").collect()
+    assert all(abs(r["sum(taken)"] - r.target) < 0.05 * r.target for r in got)
+
+
+def test_sha_of_kept_text():
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

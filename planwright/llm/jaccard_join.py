@@ -32,14 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .components import components
+from .components import PER_TASK, components
 from .shared import checkpointed, shuffle_partitions
 
 U = np.uint64
 SHINGLE = 5
 #: Similarity threshold in percent.
 PERCENT = 80
-SKETCH_BITS, BLOCK_CELLS = 22, 1 << 16
+SKETCH_BITS, BLOCK_CELLS = 24, 1 << 18
+#: Counts of a cell end here.
+MOST_SEEN = 65535
 #: Key groups up to SMALL members meet in full at once; BLOCK members share a first member.
 SMALL, BLOCK = 8, 16
 #: Depth of the suffix filter's halvings.
@@ -82,7 +84,7 @@ def _folded(bits: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cells = np.zeros(1 << SKETCH_BITS, np.uint32)
+    cells = np.zeros(1 << SKETCH_BITS, np.uint16)
     names = ["doc_id", "th", "n_shingles", "node", "bits", "block", "cells"]
     held: list[np.ndarray] = []
     for batch in batches:
@@ -106,7 +108,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count_cells(cells: np.ndarray, held: list[np.ndarray]) -> None:
     if held:
-        np.add.at(cells, (np.concatenate(held) >> U(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+        np.add.at(cells, (np.concatenate(held) >> U(64 - SKETCH_BITS)).astype(np.int64), np.uint16(1))
         held.clear()
 
 
@@ -114,11 +116,10 @@ def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got = np.frombuffer(zlib.decompress(cells), np.uint32).astype(np.uint64)
-            total[block] = total[block] + got if block in total else got
+            got = np.frombuffer(zlib.decompress(cells), np.uint16).astype(np.uint32)
+            total[block] = np.minimum(total[block] + got, MOST_SEEN) if block in total else got
     if total:
-        # saturated at four bytes again
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(np.minimum(v, 2**32 - 1).astype(np.uint32).tobytes(), 1) for v in total.values()], pa.binary())], names=["block", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.astype(np.uint16).tobytes(), 1) for v in total.values()], pa.binary())], names=["block", "cells"])
 
 
 def frequency_classes(signed: DataFrame) -> np.ndarray:
@@ -128,14 +129,19 @@ def frequency_classes(signed: DataFrame) -> np.ndarray:
     a shingle that many documents share.
     """
     rows = signed.where("block IS NOT NULL").select("block", "cells")
-    merged = rows.repartition(1 << (SKETCH_BITS - 16), "block").mapInArrow(_add_cells, "block int, cells binary")
-    cells = np.zeros((1 << SKETCH_BITS) // BLOCK_CELLS * BLOCK_CELLS, np.uint32).reshape(-1, BLOCK_CELLS)
+    n_blocks = (1 << SKETCH_BITS) // BLOCK_CELLS
+    merged = rows.repartition(n_blocks, "block").mapInArrow(_add_cells, "block int, cells binary")
+    cells = np.zeros((n_blocks, BLOCK_CELLS), np.uint16)
     for row in merged.toLocalIterator():
-        cells[row.block] = np.frombuffer(zlib.decompress(row.cells), np.uint32)
-    flat = cells.reshape(-1).astype(np.float32)
-    crowd = float(np.median(flat))
+        cells[row.block] = np.frombuffer(zlib.decompress(row.cells), np.uint16)
+    spread = np.zeros(MOST_SEEN + 1, np.int64)
+    for block in cells:
+        spread += np.bincount(block, minlength=MOST_SEEN + 1)
+    crowd = int(np.searchsorted(np.cumsum(spread), spread.sum() / 2))
     edge = crowd + 5 * crowd**0.5 + 3
-    return np.where(flat < edge, 0, 1 + np.floor(np.log2(np.maximum(flat, edge) / edge))).astype(np.uint8)
+    counts = np.arange(MOST_SEEN + 1)
+    of_count = np.where(counts < edge, 0, 1 + np.floor(np.log2(np.maximum(counts, edge) / edge))).astype(np.uint8)
+    return of_count[cells.reshape(-1)]
 
 
 def _keys(shared):
@@ -217,7 +223,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = np.flatnonzero((rank + d < many) & ((many <= SMALL) | (d == 1)))
             at.append(i)
             to.append(i + d)
-        big = np.flatnonzero(many > SMALL)
+        # a member of a large group whose neighbours by size are out of reach meets nobody there
+        close = np.zeros(len(key) + 1, bool)
+        close[1:-1] = (key[1:] == key[:-1]) & (100 * n[:-1].astype(np.int64) >= PERCENT * n[1:].astype(np.int64))
+        big = np.flatnonzero((many > SMALL) & (close[1:] | close[:-1]))
         if len(big):
             at.append(big)
             to.append(big - rank[big] % BLOCK)
@@ -237,6 +246,8 @@ def _all_pairs(key, node, n, pos, label, bits) -> Iterator[pa.RecordBatch]:
     """
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(key)], strict=True):
+        if (label[lo:hi] == label[lo]).all():
+            continue
         size = np.fromiter(map(len, bits[lo:hi]), np.int64, hi - lo)
         own = {z: np.frombuffer(b"".join(bits[lo:hi][size == z]), np.uint8).reshape(-1, z) for z in np.unique(size).tolist()}
         half = {z // 2: _folded(m) for z, m in own.items()}
@@ -356,26 +367,28 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     texts = checkpointed(texts.mapInArrow(_pack, TEXTS))
 
     bits = own.join(groups.select("node").distinct(), "node").select("node", "bits").dropDuplicates(["node"])
-    links = checkpointed(_verified(pairs, texts))
-    labels = components(links)
+    n_met = met.where("key IS NULL").count()
+    links = checkpointed(_verified(pairs, texts).coalesce(1 + n_met // PER_TASK))
+    labels = components(links, n_met)
     turn = 0
     while True:
         turn += 1
         placed = groups.join(labels, "node", "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
-        # groups with more than one component, and the pairs of members from different ones
-        by = placed.groupBy("key", "label").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("k"))
-        open_keys = checkpointed(by.where("k > 1"))
-        left, rows = open_keys.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0.0))).first()
+        # pairs of members of a group that are in different components
+        by = placed.groupBy("key", "label").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        left, rows = by.where("m * m > q").agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0.0))).first()
         if not left:
             break
         every = turn > 1 or left <= 8 * rows
-        again = placed.join(open_keys.select("key"), "key").join(bits, "node").select("key", "node", "n", "pos", "label", "bits")
         order = ["key", "n", "node"]
+        again = placed.join(bits, "node").select("key", "node", "n", "pos", "label", "bits")
         more = again.repartition(parts, "key").sortWithinPartitions(*order).mapInArrow(_meet_again(every, turn), "a long, b long").distinct()
-        found = checkpointed(_verified(more, texts))
-        if not found.isEmpty():
-            links = checkpointed(links.unionByName(found))
-            labels = components(links)
+        found = checkpointed(_verified(more, texts).coalesce(parts))
+        n_found = found.count()
+        if n_found:
+            # components so far are stars; the new links join them
+            stars = labels.select(F.col("node").alias("u"), F.col("label").alias("v")).where("u <> v")
+            labels = components(stars.unionByName(found), n_met + n_found)
         if every:
             break
 

@@ -207,3 +207,51 @@ def rounded(value: Column, digits: int = 6) -> Column:
     """Half-up rounding that any SQL engine repeats bit for bit."""
     k = float(10**digits)
     return F.floor(value * k + 0.5) / k
+
+
+def overlap_depth(a: Column, b: Column) -> Column:
+    """Least push that parts two convex polygons; zero or less where they are apart."""
+    def normals(polygon):
+        return F.transform(edges(polygon), lambda e: normalize(point(e["a"]["z"] - e["b"]["z"], e["b"]["x"] - e["a"]["x"])))
+
+    def along(polygon, axis):
+        return F.transform(polygon, lambda p: dot(p, axis))
+
+    def depth(axis):
+        pa, pb = along(a, axis), along(b, axis)
+        return F.least(F.array_max(pa) - F.array_min(pb), F.array_max(pb) - F.array_min(pa))
+
+    axes = F.filter(F.concat(normals(a), normals(b)), lambda n: dot(n, n) > 0.5)
+    return F.array_min(F.transform(axes, depth))
+
+
+def convex_overlap(a: Column, b: Column, tolerance: float = EPS) -> Column:
+    return overlap_depth(a, b) > tolerance
+
+
+def convex_distance(a: Column, b: Column) -> Column:
+    """Distance between two convex polygons; zero where they overlap."""
+    def nearest(p, q):
+        return F.array_min(F.transform(p, lambda v: distance_to_boundary(v, q)))
+
+    return F.when(overlap_depth(a, b) > 0, F.lit(0.0)).otherwise(F.least(nearest(a, b), nearest(b, a)))
+
+
+def contains_polygon(outer: Column, inner: Column, tolerance: float = EPS) -> Column:
+    """Whether a polygon lies in another: vertices and edge middles inside and no edges that cross."""
+    def middle(e):
+        return point((e["a"]["x"] + e["b"]["x"]) / 2, (e["a"]["z"] + e["b"]["z"]) / 2)
+
+    ring = edges(inner)
+    crossing = F.exists(ring, lambda e: F.exists(edges(outer), lambda f: properly_intersect(e["a"], e["b"], f["a"], f["b"])))
+    return F.forall(inner, lambda p: contains(outer, p, tolerance)) & F.forall(ring, lambda e: contains(outer, middle(e), tolerance)) & ~crossing
+
+
+def protrusion(inner: Column, outer: Column, step: float = 0.05) -> Column:
+    """How far a polygon reaches out of another, its edges sampled every ``step`` metres."""
+    def samples(e):
+        n = F.greatest(F.lit(1), F.ceil(distance(e["a"], e["b"]) / step)).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: add(e["a"], scale(sub(e["b"], e["a"]), i / n)))
+
+    points = F.flatten(F.transform(edges(inner), samples))
+    return F.coalesce(F.array_max(F.transform(points, lambda p: F.when(contains(outer, p), F.lit(0.0)).otherwise(distance_to_boundary(p, outer)))), F.lit(0.0))

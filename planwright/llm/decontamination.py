@@ -41,6 +41,8 @@ COSINE, LCS_SHARE, ANSWER_SHARE = 0.4, 0.6, 0.5
 MIN_WORDS = 6
 #: Fixed-point scale of the sums, and rows of a matrix per message.
 SCALE, SLICE = 2.0**16, 256
+#: Items compared with a chunk's passages in one product.
+ITEMS_AT_ONCE = 256
 
 SUMS = "part int, cells binary"
 LEAKS = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
@@ -232,11 +234,15 @@ def _search(shared):
                 p = Passages(c, items)
                 if not len(p.known):
                     continue
-                near = _unit(p.windows(rows)) @ latent.T
-                step, item = np.nonzero(near >= COSINE)
+                places = _unit(p.windows(rows))
+                hits = []
+                for at in range(0, len(latent), ITEMS_AT_ONCE):
+                    near = places @ latent[at : at + ITEMS_AT_ONCE].T
+                    step, item = np.nonzero(near >= COSINE)
+                    hits.append((step, item + at, near[step, item]))
+                step, item, value = (np.concatenate(x) for x in zip(*hits, strict=True))
                 if not len(step):
                     continue
-                value = near[step, item]
                 # candidates of one document and item, in page order, as runs of steps
                 order = np.lexsort((step, item, p.doc[step]))
                 step, item, value = step[order], item[order], value[order]

@@ -44,6 +44,8 @@ SKETCH_BITS, BLOCK_CELLS = 24, 1 << 18
 MOST_SEEN = 65535
 #: Key groups up to SMALL members meet in full at once; BLOCK members share a first member.
 SMALL, BLOCK = 8, 16
+#: Pairs per member up to which open groups meet in full without another round by neighbours.
+ALL_PAIRS = 64
 #: Depth of the suffix filter's halvings.
 DEPTH = 4
 
@@ -71,8 +73,8 @@ def _node(found: np.ndarray) -> int:
 
 
 def parity_bits(found: np.ndarray) -> bytes:
-    """Cell i holds the parity of how many elements fall in it; cells number between n and 2 n."""
-    n = max(64, 1 << max(0, len(found) - 1).bit_length())
+    """Cell i holds the parity of how many elements fall in it; cells number between n / 2 and n."""
+    n = max(64, 1 << max(0, len(found) - 1).bit_length() >> 1)
     odd = np.bincount((T.mix(found) >> U(64 - n.bit_length() + 1)).astype(np.int64), minlength=n) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
@@ -363,8 +365,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # the text of one document per node that meets another
     wanted = met.select(F.col("a").alias("node")).unionByName(met.where("b IS NOT NULL").select(F.col("b").alias("node"))).distinct()
     chosen = own.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("of")).join(wanted, "node").select("node", F.col("of.doc_id").alias("_id"), F.col("of.th").alias("_th"))
-    texts = base.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("node", "text").dropDuplicates(["node"])
-    texts = checkpointed(texts.mapInArrow(_pack, TEXTS))
+    texts = base.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("node", "text")
+    texts = checkpointed(texts.mapInArrow(_pack, TEXTS).dropDuplicates(["node"]))
 
     bits = own.join(groups.select("node").distinct(), "node").select("node", "bits").dropDuplicates(["node"])
     n_met = met.where("key IS NULL").count()
@@ -379,9 +381,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         left, rows = by.where("m * m > q").agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0.0))).first()
         if not left:
             break
-        every = turn > 1 or left <= 8 * rows
+        every = turn > 1 or left <= ALL_PAIRS * rows
         order = ["key", "n", "node"]
-        again = placed.join(bits, "node").select("key", "node", "n", "pos", "label", "bits")
+        again = placed.join(bits, "node").select("key", "node", "n", "pos", "label", "bits") if every else placed
         more = again.repartition(parts, "key").sortWithinPartitions(*order).mapInArrow(_meet_again(every, turn), "a long, b long").distinct()
         found = checkpointed(_verified(more, texts).coalesce(parts))
         n_found = found.count()

@@ -4,15 +4,15 @@ Method, for each block of at most about ``BLOCK`` benchmark items:
 
 1. One pass over all documents counts in how many passages each benchmark word occurs (IDF).
 2. Distributed randomised SVD of the TF-IDF matrix A of all passages over those words: one pass sums
-   A'(A W) for a random W, whose orthonormal basis Q spans the leading right singular space; one
-   pass sums Q'A'AQ, whose eigenvectors turn Q into singular vectors and give the singular values.
+   A'(A W) for a random W, from which Nystrom's formula gives the leading right singular vectors
+   and the singular values.
 3. Candidate search: overlapping passages and items are projected, scaled by the inverse singular
    values and compared by cosine; every passage meets every item of the block.
 4. Each candidate is checked on whole texts: the longest common subsequence of the item's words and
    the words around the passage must hold LCS_SHARE of the item, and ANSWER_SHARE of its answer, the
    closing quarter of its words.
 
-Words are compared with A-Z in lower case.  Tasks emit sums in fixed point, so reruns agree.
+Words are compared in lower case.  Tasks emit sums in fixed point, so reruns agree.
 What is broadcast belongs to one block of items: words and a words x RANK basis.
 
 Defined results: null and empty texts and items match nothing; items of fewer than MIN_WORDS words
@@ -28,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from . import text as T
 
 U = np.uint64
 #: Items per block, rank of the decomposition, words per step and steps per passage.
-BLOCK, RANK, STEP, STEPS = 4096, 64, 8, 4
+BLOCK, RANK, STEP, STEPS = 4096, 64, 16, 2
 #: Cosine of a candidate, and the shares of the item and of its answer that confirm it.
 COSINE, LCS_SHARE, ANSWER_SHARE = 0.4, 0.6, 0.5
 MIN_WORDS = 6
@@ -52,30 +53,45 @@ class Items:
     """A block of benchmark items as word numbers."""
 
     def __init__(self, ids: list, texts: list[str | None]):
-        (c,) = T.chunks(pa.array([t or "" for t in texts], pa.string()), 1 << 62) if texts else (None,)
-        self.ids, self.words, self.of = [], [], []
+        (c,) = T.chunks(pc.utf8_lower(pa.array([t or "" for t in texts], pa.string())), 1 << 62) if texts else (None,)
+        self.ids, self.words = [], []
         if c is None:
             self.vocabulary = np.zeros(0, U)
+            self._index()
             return
-        hashed = c.word_hashes(lower=True)
+        hashed = c.word_hashes()
         long = [i for i in range(c.n) if c.counts[i] >= MIN_WORDS]
         self.vocabulary = np.unique(np.concatenate([hashed[c.first[i] : c.first[i + 1]] for i in long])) if long else np.zeros(0, U)
         for i in long:
             self.ids.append(ids[i])
             self.words.append(np.searchsorted(self.vocabulary, hashed[c.first[i] : c.first[i + 1]]))
+        self._index()
+
+    def _index(self) -> None:
+        """For each leading 16 bits of a hash, where its words start in the sorted vocabulary."""
+        self.bucket = np.searchsorted(self.vocabulary >> U(48), np.arange((1 << 16) + 1, dtype=U))
 
     def features(self, hashed: np.ndarray) -> np.ndarray:
         """The number of each word in the vocabulary, or -1."""
-        at = np.searchsorted(self.vocabulary, hashed)
-        at[at == len(self.vocabulary)] = 0
-        return np.where(self.vocabulary[at] == hashed, at, -1)
+        out = np.full(len(hashed), -1)
+        top = (hashed >> U(48)).astype(np.int64)
+        at, stop = self.bucket[top], self.bucket[top + 1]
+        open_at = np.flatnonzero(at < stop)
+        while len(open_at):
+            here = at[open_at]
+            hit = self.vocabulary[here] == hashed[open_at]
+            out[open_at[hit]] = here[hit]
+            at[open_at] += 1
+            rest = ~hit & (here + 1 < stop[open_at])
+            open_at = open_at[rest]
+        return out
 
 
 class Passages:
     """The steps (runs of STEP words of one document) of a chunk and the known words in them."""
 
     def __init__(self, c: T.Chunk, items: Items):
-        self.feature = items.features(c.word_hashes(lower=True))
+        self.feature = items.features(c.word_hashes())
         per_doc = -(-c.counts // STEP)
         self.first = np.append(0, np.cumsum(per_doc))
         self.n = int(self.first[-1])
@@ -136,7 +152,7 @@ def _summed(texts: DataFrame, work, shape: tuple[int, int]) -> np.ndarray:
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[T.Chunk]:
     for batch in batches:
-        yield from T.chunks(batch.column(column))
+        yield from T.chunks(pc.utf8_lower(batch.column(column)))
 
 
 def _occurrences(shared):
@@ -168,18 +184,6 @@ def _range_finder(shared):
     return work
 
 
-def _gram_matrix(shared):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, rows = shared.value
-        total = np.zeros((rows.shape[1], rows.shape[1]))
-        for c in _chunks(batches, 0):
-            y = Passages(c, items).by_passage(rows).astype(np.float64)
-            total += y.T @ y
-        yield from _emit(np.rint(total * SCALE).astype(np.int64))
-
-    return work
-
-
 def decomposed(texts: DataFrame, items: Items, rank: int = RANK) -> np.ndarray:
     """Row w: what word w adds to a passage's place in the scaled latent space."""
     sc = texts.sparkSession.sparkContext
@@ -190,13 +194,24 @@ def decomposed(texts: DataFrame, items: Items, rank: int = RANK) -> np.ndarray:
     start = np.random.default_rng(7).standard_normal((n, rank))
     first = (idf[:, None] * start).astype(np.float32)
     z = _summed(texts, _range_finder(sc.broadcast((items, idf, first))), (n, rank)) / SCALE
-    q, _ = np.linalg.qr(z)
-    rows = (idf[:, None] * q).astype(np.float32)
-    gram = _summed(texts, _gram_matrix(sc.broadcast((items, rows))), (rank, rank)) / SCALE
-    value, vector = np.linalg.eigh((gram + gram.T) / 2)
+    vector, value = nystrom(z, start)
     # directions without weight in the corpus still tell items apart; they count as the weakest
     floor = max(value.max(initial=0.0) * 1e-6, 1.0)
-    return (rows.astype(np.float64) @ (vector / np.sqrt(np.maximum(value, floor)))).astype(np.float32)
+    return (idf[:, None] * vector / np.sqrt(np.maximum(value, floor))).astype(np.float32)
+
+
+def nystrom(z: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leading eigenvectors and eigenvalues of G = A'A from z = G start, in one pass over A.
+
+    G is about z (start'z)^-1 z'; a small shift keeps the middle factor's Cholesky stable.
+    """
+    shift = np.finfo(np.float64).eps * 1e4 * max(np.linalg.norm(z), 1.0)
+    moved = z + shift * start
+    middle = start.T @ moved
+    values, vectors = np.linalg.eigh((middle + middle.T) / 2)
+    root = vectors / np.sqrt(np.maximum(values, shift * 1e-3))
+    u, s, _ = np.linalg.svd(moved @ root, full_matrices=False)
+    return u, np.maximum(s**2 - shift, 0.0)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -228,9 +243,10 @@ def _search(shared):
         words = [w.tolist() for w in items.words]
         answers = [w[-max(3, len(w) // 4) :] for w in words]
         masks, ends = list(map(_places, words)), list(map(_places, answers))
+        distinct, longest = list(map(frozenset, words)), max(map(len, words))
         for batch in batches:
             ids = batch.column(0)
-            for c in T.chunks(batch.column(1)):
+            for c in T.chunks(pc.utf8_lower(batch.column(1))):
                 p = Passages(c, items)
                 if not len(p.known):
                     continue
@@ -243,14 +259,19 @@ def _search(shared):
                 step, item, value = (np.concatenate(x) for x in zip(*hits, strict=True))
                 if not len(step):
                     continue
-                # candidates of one document and item, in page order, as runs of steps
-                order = np.lexsort((step, item, p.doc[step]))
+                order = np.lexsort((item, step))
                 step, item, value = step[order], item[order], value[order]
                 doc = p.doc[step]
                 found: dict[tuple[int, int], tuple[float, float, float]] = {}
+                last, nearby = -1, set()
                 for s, i, d, v in zip(step.tolist(), item.tolist(), doc.tolist(), value.tolist(), strict=True):
-                    m = len(words[i])
                     at = c.first[d] + (s - p.first[d]) * STEP
+                    if s != last:
+                        last, nearby = s, set(p.feature[max(c.first[d], at - longest) : min(c.first[d + 1], at + STEP * STEPS + longest)].tolist())
+                    m = len(words[i])
+                    # words that aren't there at all bound the subsequence
+                    if len(distinct[i] & nearby) + m - len(distinct[i]) < LCS_SHARE * m:
+                        continue
                     lo, hi = max(c.first[d], at - m), min(c.first[d + 1], at + STEP * STEPS + m)
                     around = p.feature[lo:hi].tolist()
                     share = lcs_length(masks[i], m, around) / m

@@ -39,6 +39,8 @@ UNIGRAM, BIGRAM, PRESENT = 1, 2, 0
 #: Bytes of a hash that travel, in one shuffle or where a bigram hands on its words.
 NARROW, WIDE = 5, 8
 MOST = 127
+#: Parts of a partition's keys that are counted one after another.
+SLICES = 8
 
 
 def _pack(doc: np.ndarray, h: np.ndarray, count: np.ndarray, weight: np.ndarray, buckets: int, kind: int, width: int, extra: tuple[np.ndarray, ...] = ()):
@@ -132,28 +134,36 @@ def _unpack(columns, hashes: int, width: int):
         count[at : at + k] = raw[-2 * k : len(raw) - k]
         weight[at : at + k] = raw[len(raw) - k :].view(np.int8)
         at += k
-    row = np.repeat(np.arange(len(packed)), size)
+    row = np.repeat(np.arange(len(packed), dtype=np.int32), size)
     wide = [o.view(U).reshape(-1) for o in out]
     key = wide[0] | (bucket[row] << U(8 * width)) if width < WIDE else wide[0]
-    return key, row, count.astype(np.int64), weight.astype(np.int64), wide[1:]
+    return key, row, count, weight, wide[1:]
 
 
-def _totals(key: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The joined count table: for each entry its key's occurrences in the corpus."""
-    _, inverse = np.unique(key, return_inverse=True)
-    return np.bincount(inverse, weights=count)[inverse]
+def _totals(key: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The joined count table in slices of the key space: places of entries and their keys' occurrences."""
+    part = (key % U(SLICES)).astype(np.uint8)
+    for s in range(SLICES):
+        at = np.flatnonzero(part == s)
+        _, inverse = np.unique(key[at], return_inverse=True)
+        yield at, np.bincount(inverse, weights=count[at])[inverse]
 
 
 def _join(whole: bool):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, columns in _gather(batches).items():
+        gathered = _gather(batches)
+        for kind in sorted(gathered):
+            columns = gathered.pop(kind)
             n = len(columns[1])
             if kind == PRESENT:
                 score, words, rows = np.zeros(n), np.zeros(n, np.int64), np.ones(n, np.int64)
             else:
                 key, row, count, weight, _ = _unpack(columns, 1, NARROW if whole else WIDE)
-                score = np.bincount(row, weights=weight * np.log(np.maximum(_totals(key, count), 1)), minlength=n)
-                words = np.bincount(row, weights=count, minlength=n).astype(np.int64) * (kind == UNIGRAM)
+                score, words = np.zeros(n), np.zeros(n, np.int64)
+                for at, total in _totals(key, count):
+                    score += np.bincount(row[at], weights=weight[at] * np.log(np.maximum(total, 1)), minlength=n)
+                    if kind == UNIGRAM:
+                        words += np.bincount(row[at], weights=count[at], minlength=n).astype(np.int64)
                 rows = np.zeros(n, np.int64)
             yield pa.RecordBatch.from_arrays([columns[1].combine_chunks(), pa.array(score), pa.array(words), pa.array(rows)], names=["doc_id", "score", "n_words", "n_rows"])
 
@@ -175,7 +185,10 @@ def _decide(buckets: int, min_count: int):
                 yield pa.RecordBatch.from_arrays([columns[0].combine_chunks(), ids, pa.array(np.full(n, kind, np.int32)), columns[2].combine_chunks(), pa.array(np.zeros(n)), pa.array(np.zeros(n, np.int64))], names=names)
                 continue
             key, row, count, _, (before, word) = _unpack(columns, 3, WIDE)
-            total = _totals(key, count)
+            total = np.zeros(len(key))
+            for at, found in _totals(key, count):
+                total[at] = found
+            count = count.astype(np.int64)
             keep = total >= min_count
             score = np.bincount(row[keep], weights=(count * np.log(total))[keep], minlength=n)
             off = np.bincount(row[~keep], weights=count[~keep], minlength=n).astype(np.int64)

@@ -13,6 +13,9 @@ A document's n-grams of one bucket travel as one packed row (five bytes of hash,
 weight); with the bucket's bits that leaves 43 bits or more, so two n-grams of a bucket share a hash
 once in a million.  A frequent n-gram costs at most one entry per document.
 
+``held_out`` scores each text under the counts of the others alone, with n-grams of up to three words, so
+that backoff decides words; its n-grams travel by chunk.
+
 Defined results: words are runs other than 0x20 and 0x09-0x0D, A-Z in lower case; null and empty
 texts have 0 words and score 0 with a null mean; rows that share an id are scored as one document,
 word counts and scores added; other columns are ignored; an empty table gives an empty one.
@@ -20,7 +23,9 @@ word counts and scores added; other columns are ignored; an empty table gives an
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -230,6 +235,183 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     return sums.select("doc_id", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).alias("mean_log_score"))
 
 
+# Scores under the counts of the other texts alone.
+
+GRAMS = "bucket int, chunk long, kind int, packed binary"
+ROWS = "doc_id long, score double, n_words long, backed_off long"
+ORDER, LOW = 3, (1 << 40) - 1
+#: Bytes of text whose n-grams travel together.
+TOGETHER = 4_000_000
+#: Kind of the rows that carry a chunk's texts; they sort behind its totals, whose kind is the order.
+TEXTS = 99
+
+
+def _grams(c: T.Chunk, order: int, buckets: int):
+    """For k from 1 to order: first words of the chunk's k-grams, which lie in one text, and their bucketed hashes."""
+    words = c.word_hashes(lower=True)
+    for k in range(1, order + 1):
+        h = words if k == 1 else T.gram_hashes(words, k)
+        at = np.flatnonzero(c.doc[: len(h)] == c.doc[k - 1 :])
+        h = h[at]
+        yield k, at, (h & U(LOW)) | (((h >> U(40)) % U(buckets)) << U(40))
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _expanded(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, all lowest bytes first; high bytes are alike and shrink."""
+    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
+def _chunk_key(ids: pa.Array, c: T.Chunk) -> int:
+    own = hashlib.blake2b(c.data.tobytes(), digest_size=8)
+    own.update(c.bounds.tobytes())
+    own.update(repr(ids.to_pylist()).encode())
+    return int.from_bytes(own.digest(), "little", signed=True)
+
+
+def _rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    bucket, chunk, kind, packed = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(chunk, pa.int64()), pa.array(kind, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "chunk", "kind", "packed"])
+
+
+def _send_grams(order: int, buckets: int):
+    """A chunk's distinct n-grams with their counts, one row per order and bucket."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in T.chunks(batch.column(1), TOGETHER):
+                key, rows = _chunk_key(batch.column(0).slice(c.lo, c.n), c), []
+                for k, _, grams in _grams(c, order, buckets):
+                    own, count = np.unique(grams, return_counts=True)
+                    cut = np.searchsorted(own, np.arange(buckets + 1, dtype=U) << U(40))
+                    low = (own & U(LOW)).astype(np.int64)
+                    for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                        lo, hi = cut[b], cut[b + 1]
+                        gaps = np.diff(low[lo:hi], prepend=0)
+                        rows.append(((k - 1) * buckets + b, key, k, _squeezed(_planes(gaps) + _planes(count[lo:hi]))))
+                if rows:
+                    yield _rows_of(rows)
+
+    return send
+
+
+def _send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for c in T.chunks(batch.column(1), TOGETHER):
+            ids = batch.column(0).slice(c.lo, c.n)
+            packed = _squeezed(pickle.dumps((ids.to_pylist(), c.data.tobytes(), c.bounds.tobytes())))
+            yield _rows_of([(0, _chunk_key(ids, c), TEXTS, packed)])
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers each row with its n-grams' occurrences in all chunks, in the row's order."""
+    gathered: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for bucket, chunk, kind, packed in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            gathered.setdefault(bucket, []).append((chunk, kind, packed))
+    for bucket in sorted(gathered):
+        rows, gathered[bucket] = gathered[bucket], []
+        # equal chunks have equal keys; each of them counts
+        size = [int.from_bytes(p[:8], "little") // 16 for _, _, p in rows]
+        key, count = np.zeros(sum(size), np.int64), np.zeros(sum(size), np.int64)
+        at = 0
+        for (_, _, p), n in zip(rows, size, strict=True):
+            raw = _expanded(p)
+            key[at : at + n], count[at : at + n] = np.cumsum(_numbers(raw[: 8 * n])), _numbers(raw[8 * n :])
+            at += n
+        total = np.zeros(len(key), np.int64)
+        for place, found in _totals(key.view(U), count):
+            total[place] = found
+        at = 0
+        for (chunk, kind, _), n in zip(rows, size, strict=True):
+            yield _rows_of([(bucket, chunk, kind, _squeezed(_planes(total[at : at + n])))])
+            at += n
+
+
+def _others(c: T.Chunk, order: int, buckets: int, totals: dict[int, dict[int, bytes]]):
+    """For k from 1 to order: first words of the k-grams, and their occurrences in other texts."""
+    for k, at, grams in _grams(c, order, buckets):
+        own, place = np.unique(grams, return_inverse=True)
+        found = totals.get(k, {})
+        total = np.concatenate([np.zeros(0, np.int64), *(_numbers(_expanded(found[b])) for b in sorted(found))])
+        if len(total) != len(own):
+            raise RuntimeError("the texts came in other chunks when they were read again")
+        _, here, n = np.unique(c.doc[at] * max(len(own), 1) + place, return_inverse=True, return_counts=True)
+        yield at, total[place] - n[here]
+
+
+def _backed_off(c: T.Chunk, order: int, buckets: int, totals: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms by word, without the division by N where ``open`` tells that a word backs off to it."""
+    n = len(c.doc)
+    value, open_ = np.zeros(n), np.ones(n, bool)
+    counts = np.zeros((order, n), np.int64)
+    for k, (at, others) in enumerate(_others(c, order, buckets, totals)):
+        counts[k, at] = others
+    for k in range(order, 1, -1):
+        at = np.flatnonzero(counts[k - 1, : max(0, n - k + 1)] > 0)
+        at = at[open_[at + k - 1]]
+        value[at + k - 1] = np.log(counts[k - 1, at] / counts[k - 2, at]) + (order - k) * math.log(ALPHA)
+        open_[at + k - 1] = False
+    rest = counts[0, open_]
+    value[open_] = np.log(np.maximum(rest, 1)) + np.where(rest > 0, order - 1, order) * math.log(ALPHA)
+    return value, open_
+
+
+def _score_chunks(order: int, buckets: int):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, totals = None, {}
+        for batch in batches:
+            for bucket, chunk, kind, packed in zip(*batch.columns, strict=True):
+                if chunk.as_py() != key:
+                    key, totals = chunk.as_py(), {}
+                k = kind.as_py()
+                if k != TEXTS:
+                    totals.setdefault(k, {})[bucket.as_py()] = packed.as_py()
+                    continue
+                ids, data, bounds = pickle.loads(_expanded(packed.as_py()))
+                c = T.Chunk(np.frombuffer(data, np.uint8), np.frombuffer(bounds, np.int64), 0)
+                value, open_ = _backed_off(c, order, buckets, totals)
+                sums = [np.bincount(c.doc, weights=x, minlength=c.n) for x in (value, open_)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums[0]), pa.array(c.counts.astype(np.int64)), pa.array(sums[1].astype(np.int64))], names=["doc_id", "score", "n_words", "backed_off"])
+
+    return score
+
+
+def held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """``scored`` with n-grams of up to ``order`` words and each text's own occurrences left out of all counts.
+
+    A word scores c(n-gram) / c(context) of the longest n-gram that another text holds, times ALPHA for
+    each order that is passed over; a word that no other text holds scores ALPHA**order / N.  Words near
+    a text's start have shorter contexts and back off.  N is the number of words of the other texts, 1 at
+    least.  Rows that share an id are scored each for itself, as texts of their own, and added.
+
+    A chunk of texts sends its distinct n-grams to their buckets, gets their totals back in the same
+    order, subtracts each text's own counts and scores every word in its place.
+    """
+    parts = shuffle_partitions(docs.sparkSession)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
+    sent = base.mapInArrow(_send_grams(order, parts), GRAMS)
+    totals = sent.repartition(parts * order, "bucket").mapInArrow(_total, GRAMS)
+    met = totals.unionByName(base.mapInArrow(_send_texts, GRAMS)).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
+    rows = checkpointed(met.mapInArrow(_score_chunks(order, parts), ROWS))
+    total = rows.agg(F.sum("n_words")).first()[0] or 0
+    others = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double")
+    rows = rows.withColumn("score", F.col("score") - F.col("backed_off") * F.log(others))
+    sums = rows.groupBy("doc_id").agg(F.sum("score").alias("score"), F.sum("n_words").alias("n_words"))
+    return sums.select("doc_id", "n_words", F.col("score").alias("log_score"), F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean_log_score"))
+
+
 #: The scores with ``min_count`` 1 as DuckDB SQL, rounded as the query does.
 SCORE_SQL = r"""
 WITH w AS (

@@ -1,4 +1,4 @@
-"""The ten queries ``opN_<name>``: each applies its operator to its whole table."""
+"""The queries ``opN_<name>``, N from 1 to 10: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
@@ -34,7 +34,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lm_scoring.scored(table(spark, sf_dir, "documents"))
+    return _rounded_scores(lm_scoring.scored(table(spark, sf_dir, "documents")))
+
+
+def op6_lm_scoring_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded_scores(lm_scoring.held_out(table(spark, sf_dir, "documents")))
+
+
+def _rounded_scores(out: DataFrame) -> DataFrame:
     rounded = [(F.floor(F.col(c) * f + 0.5) / f).alias(c) for c, f in (("log_score", 1e4), ("mean_log_score", 1e6))]
     return out.select("doc_id", "n_words", *rounded)
 
@@ -59,7 +66,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring_dedup, op2_html_extraction, op3_token_counts, op4_quality_rules, op5_jaccard_join, op6_lm_scoring, op7_line_dedup, op8_chat_format, op9_benchmark_decontamination, op10_source_mixing]
+    found = [op1_substring_dedup, op2_html_extraction, op3_token_counts, op4_quality_rules, op5_jaccard_join, op6_lm_scoring, op6_lm_scoring_held_out, op7_line_dedup, op8_chat_format, op9_benchmark_decontamination, op10_source_mixing]
     return {f.__name__: f for f in found}
 
 

@@ -278,6 +278,38 @@ def test_lm_scoring(docs, rows, empty, min_count):
     assert lm_scoring.scored(empty, min_count=min_count).count() == 0
 
 
+def test_lm_scoring_held_out(docs, rows, empty):
+    low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    lists = [words((r[1] or "").translate(low)) for r in rows]
+    grams = lambda x: collections.Counter(tuple(x[i : i + k]) for k in (1, 2, 3) for i in range(len(x) - k + 1))
+    every, total = collections.Counter(), sum(map(len, lists))
+    for x in lists:
+        every.update(grams(x))
+    want = collections.defaultdict(lambda: [0, 0.0])
+    for r, x in zip(rows, lists):
+        own = grams(x)
+        c = lambda g: every[g] - own[g]  # noqa: E731, B023
+        for i, w in enumerate(x):
+            k = next((k for k in (3, 2, 1) if i >= k - 1 and c(tuple(x[i - k + 1 : i + 1])) > 0), 0)
+            below = max(1, total - len(x)) if k < 2 else c(tuple(x[i - k + 1 : i]))
+            want[r[0]][1] += np.log(0.4 ** (3 - k) * (c(tuple(x[i - k + 1 : i + 1])) if k else 1) / below)
+        want[r[0]][0] += len(x)
+    got = {r.doc_id: r for r in lm_scoring.held_out(docs).collect()}
+    assert set(got) == set(want)
+    for k, (n, s) in want.items():
+        assert got[k].n_words == n and got[k].log_score == pytest.approx(s, abs=1e-6)
+    assert lm_scoring.held_out(empty).count() == 0
+
+
+def test_lm_scoring_held_out_ranks_lone_junk_last(spark):
+    r = random.Random(7)
+    plain = [" ".join(r.choice(["the", "house", "stands", "near", "a", "river"]) for _ in range(40)) for _ in range(30)]
+    junk = " ".join(f"zq{i}" for i in range(40))
+    d = spark.createDataFrame([*enumerate(plain), (98, "word " * 40), (99, junk)], "doc_id long, text string")
+    got = {x.doc_id: x.mean_log_score for x in lm_scoring.held_out(d).collect()}
+    assert max(got[98], got[99]) < min(got[i] for i in range(30))
+
+
 def test_line_dedup(docs, rows, empty):
     sites, first = collections.defaultdict(set), {}
     for r in rows:

@@ -5,7 +5,8 @@ assistant, all others as named users, and a loss mask on the assistant's turns a
 in ``system`` are no participants: their turns are rendered as system turns in every perspective.
 
 A dialogue is gathered in segments of ``SEGMENT`` turn numbers, so one endless conversation makes
-bounded rows; a perspective covers the segments in which its speaker speaks.
+bounded rows; every participant of the dialogue has a perspective of each of its segments.  Where a
+dialogue has several, a row without a turn tells each segment of each participant.
 
 Defined results: turns are ordered by number, then speaker, then text; repeated rows are repeated
 turns; a null speaker is named ``unknown``; a null text is an empty turn; a null turn number sorts
@@ -39,9 +40,10 @@ def rotated(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     )
     lone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "speaker", "text")).otherwise(F.lit(0))
     segment = F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(0)).cast("long")
-    dialogues = base.groupBy("conv_id", segment.alias("segment"), lone.alias("_lone")).agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
-    speakers = F.array_distinct(F.transform("turns", lambda t: t["speaker"]))
-    views = dialogues.withColumn("perspective", F.explode(F.filter(speakers, lambda s: ~s.isin(*system))))
+    said = base.select("conv_id", segment.alias("segment"), lone.alias("_lone"), "speaker", F.struct("turn", "speaker", "text").alias("said"))
+    told = said.unionByName(_elsewhere(said.select("conv_id", "segment", "speaker")), allowMissingColumns=True)
+    dialogues = told.groupBy("conv_id", "segment", "_lone").agg(F.sort_array(F.collect_list("said")).alias("turns"), F.collect_set("speaker").alias("_speakers"))
+    views = dialogues.withColumn("perspective", F.explode(F.filter("_speakers", lambda s: ~s.isin(*system))))
 
     def head(t):
         own = F.when(t["speaker"] == F.col("perspective"), F.lit("assistant")).when(t["speaker"].isin(*system), F.lit("system"))
@@ -68,7 +70,15 @@ def rotated(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     )
 
 
-#: The digest of ``rotated`` that ``op8`` returns, as DuckDB SQL.
+def _elsewhere(spoken: DataFrame) -> DataFrame:
+    """Each segment with each speaker of its dialogue, for the dialogues of more than one segment."""
+    spoken = spoken.where(F.col("conv_id").isNotNull()).distinct()
+    long = spoken.groupBy("conv_id").agg(F.min("segment").alias("_a"), F.max("segment").alias("_b")).where("_a < _b").select("conv_id")
+    spoken = spoken.join(long, "conv_id")
+    return spoken.select("conv_id", "segment").distinct().join(spoken.select("conv_id", "speaker").distinct(), "conv_id").withColumn("_lone", F.lit(0).cast("long"))
+
+
+#: The digest of ``rotated`` that ``op8`` returns, as DuckDB SQL; for dialogues of one segment.
 ROTATED_SQL = r"""
 WITH t AS (SELECT conv_id, coalesce(turn // 1024, 0) AS segment, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM {turns}),
 v AS (SELECT DISTINCT conv_id, segment, speaker AS perspective FROM t WHERE speaker <> 'system'),

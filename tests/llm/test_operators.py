@@ -347,6 +347,22 @@ def test_chat_format(spark):
     assert chat_format.rotated(d.limit(0)).count() == 0
 
 
+def test_chat_format_renders_long_dialogues_for_everyone(spark):
+    n = 2 * chat_format.SEGMENT + 5
+    rows = [(1, i, "guest" if i == 3 else "ann" if i % 2 else "bob", f"t{i}") for i in range(n)] + [(2, 0, "ann", "Hi"), (None, 0, "x", "a"), (None, 5000, "x", "b")]
+    rows += [(3, 0, "ann", "Hi"), (3, 3000, "system", "Stop.")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.rotated(d).collect()
+    one = {(r.segment, r.perspective): r for r in got if r.conv_id == 1}
+    assert len(got) == 14 and set(one) == {(s, p) for s in range(3) for p in ("ann", "bob", "guest")}
+    for p in ("ann", "bob", "guest"):
+        assert sum(one[s, p].n_turns for s in range(3)) == n
+        whole = "".join(one[s, p].rendered for s in range(3))
+        assert [int(x) for x in re.findall(r"\nt(\d+)<", whole)] == list(range(n))
+    assert sum(one[s, "guest"].n_trained for s in range(3)) == 1 and not one[2, "guest"].trained
+    assert {(r.segment, r.perspective, r.n_turns) for r in got if r.conv_id == 3} == {(0, "ann", 1), (2, "ann", 1)}
+
+
 def test_decontamination(spark):
     r = random.Random(4)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 6))) for _ in range(600)]

@@ -176,6 +176,20 @@ def test_quality_rejects_what_the_model_never_saw(spark):
     assert quality.passing(d).count() == 60
 
 
+def test_quality_bands_do_not_follow_the_spread(spark):
+    r = random.Random(3)
+    other = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    known = ["the", "house", "stands", "near", "river", "banks", "where", "people", "meet"]
+    varied = lambda i: " ".join(other() if r.random() < i / 60 else r.choice(known) for _ in range(150))
+    junk = " ".join("%%" + "".join(r.choice("QXZJKV#|") for _ in range(6)) for _ in range(150))
+    flat = " ".join("a" * n for n in range(4, 64))
+    rows = [(i, varied(i), "en") for i in range(60)] + [(98, flat, "en"), (99, junk, "en")]
+    got = {x.doc_id: x for x in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[98].base_failed and got[98].perplexity < got[98].lower_band and not got[98].kept
+    assert not got[99].base_failed and got[99].perplexity > got[99].upper_band and not got[99].kept
+    assert got[30].kept
+
+
 def test_kneser_ney_sums_to_one(spark):
     text = "abracadabra abracadabra " * 20
     counts = collections.Counter(int.from_bytes(text[i : i + 4].encode(), "big") for i in range(len(text) - 3))

@@ -34,20 +34,21 @@ def near(left: DataFrame, right: DataFrame, key: str, value: str, radius: float)
     return a.join(b, [key, "_cell"]).where(F.abs(F.col(value) - F.col(f"{value}_right")) <= radius).drop("_cell")
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Rows (node, label): least node of each connected component, by hooking to least neighbours.
 
-    Each round takes the least label among neighbours and cuts lineage with a checkpoint where the
-    session has a folder for it; it ends when no label changes.
+    Each round takes the least label among neighbours, then the label of that label, and cuts lineage
+    with a checkpoint where the session has a folder for it; it ends when no label changes.
     """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     folder = not edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
     labels = both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
+    while True:
         least = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        new = labels.join(least.withColumnRenamed("u", "node"), "node").select("node", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved"))
+        hooked = labels.join(least.withColumnRenamed("u", "node"), "node").select("node", F.least("label", "m").alias("near"), F.col("label").alias("old"))
+        above = hooked.select(F.col("node").alias("near"), F.col("near").alias("far"))
+        new = hooked.join(above, "near").select("node", F.least("near", "far").alias("label"), (F.least("near", "far") < F.col("old")).alias("moved"))
         new = new.checkpoint() if folder else new.cache()
         labels = new.select("node", "label")
         if not new.where("moved").take(1):
-            break
-    return labels
+            return labels

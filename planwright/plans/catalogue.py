@@ -360,6 +360,12 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.components(e)
 
 
+@query()
+def connected_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.load(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("u"), (1000 + F.col("c_custkey") % 40).alias("v")).distinct()
+    return spatial.components(e)
+
+
 @query("""
 SELECT user_id, count(*) AS version, arg_max(value, struct_pack(a := ts, b := event_id)) FILTER (WHERE event_type = 'click') AS width,
   arg_max(value, struct_pack(a := ts, b := event_id)) FILTER (WHERE event_type = 'view') AS depth FROM events GROUP BY user_id""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from planwright.functions import geometry as G
 from planwright.functions import labels as L
 from planwright.operators import calibration, editing, spans, spatial, statistics
+from planwright.plans import catalogue
 from planwright.streaming import documents
 
 
@@ -70,6 +71,21 @@ def test_nearest_unique_and_components(spark):
     assert {r.node: r.label for r in spatial.components(e).collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
 
 
+def test_components_of_a_long_chain(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(150)] + [(500, 501)], "u long, v long")
+    assert {r.node: r.label for r in spatial.components(e).collect()} == {**dict.fromkeys(range(151), 0), 500: 500, 501: 500}
+
+
+def test_components_over_every_customer(spark):
+    sf = "/root/testdata/sf0.001"
+    label = {}
+    for c in spark.read.parquet(f"{sf}/customer.parquet").collect():
+        u, v = c.c_nationkey, 1000 + c.c_custkey % 40
+        a, b = label.setdefault(u, u), label.setdefault(v, v)
+        label = {n: min(a, b) if x in (a, b) else x for n, x in label.items()}
+    assert {r.node: r.label for r in catalogue.queries()["connected_components_whole"](spark, sf).collect()} == label
+
+
 def test_sequential_fit_blocks_later_items(spark):
     d = spark.createDataFrame([("r", 1, 1.0, 2.0), ("r", 2, 0.5, 2.0), ("r", 3, 1.0, 2.0)], "room string, ord long, width double, length double")
     got = {r.ord: (r.ok, r.position) for r in editing.sequential_fit(d, "room", "length").collect()}

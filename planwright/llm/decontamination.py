@@ -7,7 +7,9 @@ Method, for each block of at most about ``BLOCK`` benchmark items:
    A'(A W) for a random W, from which Nystrom's formula gives the leading right singular vectors
    and the singular values.
 3. Candidate search: overlapping passages and items are projected, scaled by the inverse singular
-   values and compared by cosine; every passage meets every item of the block.
+   values and compared by cosine; every passage meets every item of the block.  A passage in which an
+   item of fewer than SHORT words begins word for word is a candidate whatever its cosine, since so
+   few words are lost among a passage's others.
 4. Each candidate is checked on whole texts: the longest common subsequence of the item's words and
    the words around the passage must hold LCS_SHARE of the item, and ANSWER_SHARE of its answer, the
    closing quarter of its words.
@@ -39,7 +41,7 @@ U = np.uint64
 BLOCK, RANK, STEP, STEPS = 4096, 64, 16, 2
 #: Cosine of a candidate, and the shares of the item and of its answer that confirm it.
 COSINE, LCS_SHARE, ANSWER_SHARE = 0.4, 0.6, 0.5
-MIN_WORDS = 6
+MIN_WORDS, SHORT = 6, 12
 #: Fixed-point scale of the sums, and rows of a matrix per message.
 SCALE, SLICE = 2.0**16, 256
 #: Items compared with a chunk's passages in one product.
@@ -71,6 +73,27 @@ class Items:
         """For each leading 16 bits of a hash, where its words start in the sorted vocabulary."""
         self.bucket = np.searchsorted(self.vocabulary >> U(48), np.arange((1 << 16) + 1, dtype=U))
 
+    def verbatim(self, c: T.Chunk, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of a chunk at which a short item begins word for word, and the items."""
+        words, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        by_size: dict[int, list[int]] = {}
+        for i, w in enumerate(self.words):
+            if len(w) < SHORT:
+                by_size.setdefault(len(w), []).append(i)
+        for size, own in by_size.items():
+            key = np.concatenate([T.gram_hashes(self.words[i].astype(U), size) for i in own])
+            order = np.argsort(key, kind="stable")
+            key, own = key[order], np.array(own)[order]
+            known = np.append(0, np.cumsum(feature >= 0))
+            n = max(0, len(feature) - size + 1)
+            at = np.flatnonzero((known[size:] - known[:n] == size) & (c.doc[:n] == c.doc[size - 1 :])) if n else np.zeros(0, np.int64)
+            found = T.gram_hashes(np.maximum(feature, 0).astype(U), size)[at]
+            lo, hi = np.searchsorted(key, found), np.searchsorted(key, found, side="right")
+            count = hi - lo
+            words.append(np.repeat(at, count))
+            items.append(own[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())])
+        return np.concatenate(words), np.concatenate(items)
+
     def features(self, hashed: np.ndarray) -> np.ndarray:
         """The number of each word in the vocabulary, or -1."""
         out = np.full(len(hashed), -1)
@@ -256,6 +279,9 @@ def _search(shared):
                     near = places @ latent[at : at + ITEMS_AT_ONCE].T
                     step, item = np.nonzero(near >= COSINE)
                     hits.append((step, item + at, near[step, item]))
+                at, item = items.verbatim(c, p.feature)
+                step = p.first[c.doc[at]] + (at - c.first[c.doc[at]]) // STEP
+                hits.append((step, item, (places[step] * latent[item]).sum(axis=1)))
                 step, item, value = (np.concatenate(x) for x in zip(*hits, strict=True))
                 if not len(step):
                     continue

@@ -404,6 +404,25 @@ def test_decontamination(spark):
     assert decontamination.leaks(d.limit(0), b).count() == 0 and decontamination.leaks(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_finds_short_items(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 6))) for _ in range(60)]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    bodies = [text(400) for _ in range(150)]
+    want = collections.defaultdict(set)
+    items = []
+    for i, body in enumerate(bodies):
+        size = 6 + i % 10
+        at = r.randint(0, 400 - size)
+        items.append((i, " ".join(body[at : at + size])))
+        want[size].add((i, i))
+    d = spark.createDataFrame([(i, " ".join(b).upper()) for i, b in enumerate(bodies)], "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): x for x in decontamination.leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = {size: len(pairs & set(got)) / len(pairs) for size, pairs in want.items()}
+    assert {size: recall[size] for size in range(6, 12)} == dict.fromkeys(range(6, 12), 1.0)
+    assert all(got[p].lcs_share == 1 for size in range(6, 12) for p in want[size])
+
+
 def test_lcs():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -11,18 +11,27 @@ dialogue has several, a row without a turn tells each segment of each participan
 Defined results: turns are ordered by number, then speaker, then text; repeated rows are repeated
 turns; a null speaker is named ``unknown``; a null text is an empty turn; a null turn number sorts
 first, in segment 0; rows with a null conversation id make one-turn dialogues of equal rows; a
-dialogue of system turns alone has no perspective and gives no row; other columns are ignored; an
-empty table gives an empty one.
+dialogue of system turns alone has no perspective and gives no row; marks inside texts and names are
+spaced out and line breaks in names become spaces, so neither can forge a turn; a very long text is
+rendered whole; other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEGMENT = 1024
 SYSTEM = ("system",)
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+MARKS = ("<|im_start|>", "<|im_end|>")
+
+
+def _plain(text: Column) -> Column:
+    """The text with marks spaced out."""
+    for mark in MARKS:
+        text = F.replace(text, F.lit(mark), F.lit(f"< {mark[1:-1]} >"))
+    return text
 
 
 def rotated(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", system: tuple[str, ...] = SYSTEM) -> DataFrame:
@@ -36,7 +45,7 @@ def rotated(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.col(conv_col).alias("conv_id"),
         F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(speaker_col).cast("string"), F.lit("unknown")).alias("speaker"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        _plain(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"),
     )
     lone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "speaker", "text")).otherwise(F.lit(0))
     segment = F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(0)).cast("long")
@@ -47,7 +56,7 @@ def rotated(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     def head(t):
         own = F.when(t["speaker"] == F.col("perspective"), F.lit("assistant")).when(t["speaker"].isin(*system), F.lit("system"))
-        return F.concat(F.lit(OPEN), F.coalesce(own, F.concat(F.lit("user name="), t["speaker"])), F.lit("\n"))
+        return F.concat(F.lit(OPEN), F.coalesce(own, F.concat(F.lit("user name="), F.translate(_plain(t["speaker"]), "\n\r", "  "))), F.lit("\n"))
 
     pieces = F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(t["text"], F.lit(CLOSE)).alias("body"), (t["speaker"] == F.col("perspective")).alias("own")))
     views = views.withColumn("_pieces", pieces)
@@ -80,11 +89,11 @@ def _elsewhere(spoken: DataFrame) -> DataFrame:
 
 #: The digest of ``rotated`` that ``op8`` returns, as DuckDB SQL; for dialogues of one segment.
 ROTATED_SQL = r"""
-WITH t AS (SELECT conv_id, coalesce(turn // 1024, 0) AS segment, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM {turns}),
+WITH t AS (SELECT conv_id, coalesce(turn // 1024, 0) AS segment, turn, coalesce(role, 'unknown') AS speaker, replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start| >'), '<|im_end|>', '< |im_end| >') AS text FROM {turns}),
 v AS (SELECT DISTINCT conv_id, segment, speaker AS perspective FROM t WHERE speaker <> 'system'),
 p AS (
   SELECT v.conv_id, v.segment, v.perspective, t.turn, t.speaker, t.text, t.speaker = v.perspective AS own,
-    '<|im_start|>' || CASE WHEN t.speaker = v.perspective THEN 'assistant' WHEN t.speaker = 'system' THEN 'system' ELSE 'user name=' || t.speaker END || chr(10) AS head,
+    '<|im_start|>' || CASE WHEN t.speaker = v.perspective THEN 'assistant' WHEN t.speaker = 'system' THEN 'system' ELSE 'user name=' || translate(replace(replace(t.speaker, '<|im_start|>', '< |im_start| >'), '<|im_end|>', '< |im_end| >'), chr(10) || chr(13), '  ') END || chr(10) AS head,
     t.text || '<|im_end|>' || chr(10) AS body
   FROM v JOIN t ON t.conv_id = v.conv_id AND t.segment = v.segment),
 q AS (

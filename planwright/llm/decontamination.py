@@ -19,8 +19,9 @@ What is broadcast belongs to one block of items: words and a words x RANK basis.
 
 Defined results: null and empty texts and items match nothing; items of fewer than MIN_WORDS words
 are not searched (any text would hold them); repeated documents are reported once per id and item;
-a null id is reported as null; ids shared by several texts report their best match; other columns
-are ignored; with an empty table nothing is reported.
+a null id is reported as null; ids shared by several texts report their best match; a very long text is
+searched whole; other columns are ignored, and pass through ``decontaminated``; with an empty table
+nothing is reported.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .shared import fields, whole_rows
 
 U = np.uint64
 #: Items per block, rank of the decomposition, words per step and steps per passage.
@@ -339,6 +341,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    found = leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["_leak"]), "left_anti")
+    """``docs`` without the documents that hold a benchmark item; all columns pass through.
+
+    The text decides, so documents are known by a hash of it; ids may be null or shared.
+    """
+    keyed = whole_rows(docs, key=F.xxhash64(docs[text_col]), text=docs[text_col].cast("string"))
+    found = leaks(keyed, benchmark, "key", "text").select(F.col("doc_id").alias("leak")).distinct()
+    return keyed.join(found, F.col("key") == F.col("leak"), "left_anti").select(*fields(docs))

@@ -8,7 +8,9 @@ position), so each line's text survives once.
 Defined results: a line without a word is never boilerplate; a null source is no site; a null text
 has no lines and stays null; an empty text has one empty line and stays empty; ties on the id fall
 to a hash of the text, then the position; rows that repeat a document whole all count as first
-together; other columns pass through; an empty table gives an empty one.
+together; null ids come first and are told apart by their texts; a very long text is split and joined
+whole, in time that follows its lines; all columns pass through under their names, and the two counts
+take names with underscores behind them where a column has theirs; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fields, free_name, whole_rows
+
 #: Distinct sites from which a line counts as boilerplate.
 SITES = 5
 #: log2 of the sketch's buckets, and the relative error allowed for (over three standard errors).
@@ -58,21 +62,28 @@ def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return sure.unionByName(near.join(exact, ["h1", "h2"], "left_semi"))
 
 
+def _without(lines: Column, drop: Column) -> Column:
+    """The array without the places in the sorted array ``drop``: the slices between them, joined."""
+    edges = F.concat(F.array(F.lit(-1)), drop, F.array(F.size(lines)))
+    between = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda k: F.slice(lines, F.get(edges, k - 1) + 2, F.get(edges, k) - F.get(edges, k - 1) - 1))
+    return F.flatten(between)
+
+
 def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, plus ``n_lines`` and ``n_removed``."""
     common = boilerplate(docs, id_col, text_col, site_col, sites)
     hits = _lines(docs, id_col, text_col, site_col).select("id", "th", "pos", "h1", "h2").join(common, ["h1", "h2"])
     place = F.struct("id", "th", "pos")
-    drop = hits.where(~place.eqNullSafe(F.col("first"))).groupBy("id", "th").agg(F.collect_set("pos").alias("_drop"))
-    drop = drop.select(F.col("id").alias("_drop_id"), F.col("th").alias("_drop_th"), "_drop")
-    joined = docs.withColumn("_th", F.xxhash64(text_col)).join(drop, F.col(id_col).eqNullSafe(F.col("_drop_id")) & (F.col("_th") == F.col("_drop_th")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    none: Column = F.array().cast("array<int>")
-    removed = F.coalesce(F.col("_drop"), none)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(removed, i)), "\n")
-    out = {c: docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")}
-    out[text_col] = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
-    return joined.select(*out.values(), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"))
+    drop = hits.where(~place.eqNullSafe(F.col("first"))).groupBy("id", "th").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
+    drop = drop.withColumnsRenamed({"id": "drop_id", "th": "drop_th"})
+    keyed = whole_rows(docs, id=docs[id_col], th=F.xxhash64(docs[text_col]))
+    joined = keyed.join(drop, F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("th") == F.col("drop_th")), "left")
+    text = F.col("row").getField(text_col)
+    lines = F.split(text, "\n", -1)
+    kept = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(_without(lines, F.col("drop")), "\n"))
+    counts = [F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size("drop"), F.lit(0))]
+    names = [free_name(docs, n) for n in ("n_lines", "n_removed")]
+    return joined.select(*fields(docs, **{text_col: kept}), *[c.cast("long").alias(n) for c, n in zip(counts, names, strict=True)])
 
 
 #: The result of ``op7`` as DuckDB SQL, with exact distinct counts throughout.

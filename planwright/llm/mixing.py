@@ -5,8 +5,10 @@ each document floor(rate) times plus one copy drawn by a hash of its id with pro
 the fraction.  DataFrame functions only.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a
-source of size 0 has target 0 and takes nothing; rows that repeat a doc_id share one draw; columns
-other than the named ones pass through unchanged in ``mixed``; an empty table gives an empty one.
+source of size 0 has target 0 and takes nothing; rows that repeat a doc_id share one draw; a null id
+draws by its text; a very long text counts whole and is taken whole or not; in ``mixed`` all columns
+pass through unchanged, and the number of the copy takes a name with underscores behind it where a
+column is called ``copy``; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import fields, free_name, whole_rows
+
 #: Weights dealt to the sources in code-point order, again and again.
 WEIGHTS = (5, 2, 1)
 #: Share of all tokens that the mix holds, and the most passes over one source.
@@ -27,9 +31,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column) -> Column:
-    """A number in [0, 1) that depends on the id alone."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+def draw(doc_id: Column, text: Column) -> Column:
+    """A number in [0, 1) that depends on the id alone, or on the text where there is no id."""
+    digest = F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("no id: "), F.coalesce(text, F.lit("")))))
     return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
 
 
@@ -38,7 +42,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
     Filling by weight with caps: with sources ordered by cap per weight, those below the common
     level are capped, and the level follows from what they leave.  The windows run over one row per
-    source, never over documents.
+    source, never over documents: one task sorts them, which holds for millions of sources.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sizes.withColumn("_k", F.row_number().over(order) - 1)
@@ -59,44 +63,43 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, rate, copies, taken.
+    """One row per document: doc_id, size, source_size, target, taken, rate, copies.
 
     The source sums are partial sums before the shuffle, so a hot source costs one row per task.
     The join back is on the source; its small side has one row per source, and Spark broadcasts it
     only below the session's size threshold, else splits a hot source's partition.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    sums = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(sums, weights, share, most).withColumnRenamed("source", "_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = base.join(goal, base["source"].eqNullSafe(goal["_source"]), "left")
-    copies = F.floor(F.col("rate")) + F.when(draw(F.col("doc_id")) < F.col("rate") - F.floor(F.col("rate")), 1).otherwise(0)
-    return (
-        joined.withColumn("rate", rate)
-        .withColumn("copies", copies.cast("long"))
-        .select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-    )
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), draw(F.col(id_col), F.col(text_col)).alias("draw"))
+    goal = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most).withColumnRenamed("source", "goal_source")
+    joined = base.join(goal, F.col("source").eqNullSafe(F.col("goal_source")), "left").withColumn("rate", _rate())
+    copies = _copies(F.col("rate"), F.col("draw")).cast("long")
+    return joined.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies")
+
+
+def _rate() -> Column:
+    """Passes over a source."""
+    return F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+
+
+def _copies(rate: Column, drawn: Column) -> Column:
+    return F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mix itself: every document's row, repeated as often as it is taken, with ``copy`` from 0."""
-    size = n_words(F.col(text_col))
-    sums = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(size).alias("source_size"))
-    goal = targets(sums, weights, share, most).select(
-        F.col("source").alias("_mix_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_mix_rate")
-    )
-    rate = F.col("_mix_rate")
-    extra = F.when(draw(F.col(id_col)) < rate - F.floor(rate), 1).otherwise(0)
-    joined = docs.join(goal, docs[source_col].eqNullSafe(goal["_mix_source"]), "left")
-    copies = F.array_repeat(F.lit(0), (F.floor(rate) + extra).cast("int"))
-    kept = [docs[c] for c in docs.columns if c != "copy"]
-    return joined.select(*kept, F.posexplode(copies).alias("copy", "_mix_zero")).drop("_mix_zero")
+    whole = whole_rows(docs, source=docs[source_col], draw=draw(docs[id_col], docs[text_col]))
+    sums = docs.select(docs[source_col].alias("source"), n_words(docs[text_col]).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    goal = targets(sums, weights, share, most).withColumnRenamed("source", "goal_source")
+    joined = whole.join(goal, F.col("source").eqNullSafe(F.col("goal_source")), "left")
+    places = F.sequence(F.lit(1), _copies(_rate(), F.col("draw")).cast("int"))
+    taken = joined.where(_copies(_rate(), F.col("draw")) > 0).select("row", F.explode(places).alias("place"))
+    return taken.select(*fields(docs), (F.col("place") - 1).alias(free_name(docs, "copy")))
 
 
 #: The plan as DuckDB SQL; ``{docs}`` is the table.
 PLAN_SQL = r"""
 WITH base AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM {docs}),
+  SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM {docs}),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
 ranked AS (
   SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS k FROM sums),
@@ -112,11 +115,11 @@ levels AS (
   SELECT *, max(CASE WHEN (goal - below) / above * w <= cap THEN (goal - below) / above END) OVER () AS final FROM filled),
 goals AS (SELECT source, source_size, coalesce(least(cap, final * w), cap) AS target FROM levels),
 rates AS (
-  SELECT b.doc_id, b.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS rate
+  SELECT b.doc_id, b.text, b.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS rate
   FROM base b JOIN goals g ON b.source IS NOT DISTINCT FROM g.source),
 drawn AS (
   SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN
-      CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < rate - floor(rate)
+      CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'no id: ' || coalesce(text, ''))), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < rate - floor(rate)
     THEN 1 ELSE 0 END AS copies FROM rates)
-SELECT doc_id, size, source_size, target, rate, copies, size * copies AS taken FROM drawn
+SELECT doc_id, size, source_size, target, size * copies AS taken, rate, copies FROM drawn
 """

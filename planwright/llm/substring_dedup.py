@@ -37,8 +37,8 @@ U = np.uint64
 WINDOW, GRAM = 35, 8
 #: Bytes of a window's hash that travel; the anchor's 64 bits and the offset add to them.
 HASH_BYTES = 5
-SENT = "key long, doc_id long, th int, pos int, off int, n int, mult int, wins binary"
-FOUND = "doc_id long, th int, pos int, mask long"
+SENT = "key long, doc_id long, th long, pos int, off int, n int, mult int, wins binary"
+FOUND = "doc_id long, th long, pos int, mask long"
 KEPT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:int,stop:int>>"
 
 
@@ -96,7 +96,7 @@ def _sender(window: int):
                     [
                         T.i64(key[sent]),
                         rows[0].take(pa.array(sent)),
-                        pa.array(rows[1][sent].astype(np.int32)),
+                        pa.array(rows[1][sent]),
                         pa.array(pos[sent].astype(np.int32)),
                         pa.array(off[sent].astype(np.int32)),
                         pa.array(size[sent].astype(np.int32)),
@@ -112,7 +112,7 @@ def _sender(window: int):
                     own = rows[0].take(pa.array(done))
                     spread = T.mix(own.fill_null(-1).to_numpy().view(U) + U(1))
                     yield pa.RecordBatch.from_arrays(
-                        [T.i64(spread), own, pa.array(rows[1][done].astype(np.int32)), pa.array(pos[done].astype(np.int32)), pa.array(np.zeros(k, np.int32)), pa.array(size[done].astype(np.int32)), pa.array(np.zeros(k, np.int32)), pa.nulls(k, pa.binary())],
+                        [T.i64(spread), own, pa.array(rows[1][done]), pa.array(pos[done].astype(np.int32)), pa.array(np.zeros(k, np.int32)), pa.array(size[done].astype(np.int32)), pa.array(np.zeros(k, np.int32)), pa.nulls(k, pa.binary())],
                         names=["key", "doc_id", "th", "pos", "off", "n", "mult", "wins"],
                     )
 
@@ -280,7 +280,7 @@ def _kept(ids: pa.Array, c: T.Chunk, gone: np.ndarray) -> pa.RecordBatch:
 
 def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text, removed (spans of words)."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
     found = recurring(base, window).groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "mask")).alias("flags"))
     found = found.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
     joined = base.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")

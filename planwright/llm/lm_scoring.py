@@ -1,24 +1,27 @@
-"""Stupid-backoff scores of whole texts under the corpus's own word counts.
+"""Stupid-backoff scores of whole texts, summed from n-gram counts partitioned by hash.
 
-Method: every document is exploded into unigram and bigram hashes with their counts; the rows are
-partitioned by hash, so each partition holds its share of the count tables and of the exploded
-n-grams, joins the two in place and sums logarithms per document; partial sums meet by document.
+Method: a chunk of texts counts its distinct n-grams of 1 to ``order`` words and sends each once, with
+its count, to the partition that its hash names.  There the chunks' counts meet, are added up, and the
+totals go back to each chunk in the order in which it sent the n-grams, so a frequent n-gram costs a row
+entry per chunk, not per document or occurrence.  The chunk's texts meet the totals, every word takes
+the longest n-gram that has a count, and the logarithms are summed per document.
 
-A word after another scores c(previous, word) / c(previous) if the bigram occurs ``min_count`` times
-or more, else ALPHA c(word) / N; the first word has no context and backs off.  With ``min_count`` 1,
-texts scored against their own corpus never lack a bigram, so one shuffle carries everything.  With
-more, a bigram's partition decides first and hands the words that back off to the unigrams.
+A word scores c(n-gram) / c(context) for the longest n-gram that ends with it and has a count, times
+ALPHA for each order that is passed over; with no count at all it scores ALPHA**order / N.  Words near
+a text's start have shorter contexts and back off.
 
-A document's n-grams of one bucket travel as one packed row (five bytes of hash, one of count, one of
-weight); with the bucket's bits that leaves 43 bits or more, so two n-grams of a bucket share a hash
-once in a million.  A frequent n-gram costs at most one entry per document.
+With ``held_out`` a text's own occurrences are left out of every count and N is the number of words of the
+other texts, 1 at least: so texts are scored by what the others hold, and backoff decides words.
+Without it a text is scored under all counts, and N is the number of all words.
 
-``held_out`` scores each text under the counts of the others alone, with n-grams of up to three words, so
-that backoff decides words; its n-grams travel by chunk.
+An n-gram's key is 44 bits of its hash and the number of its partition; unlike n-grams share a key
+once in many millions.
 
 Defined results: words are runs other than 0x20 and 0x09-0x0D, A-Z in lower case; null and empty
-texts have 0 words and score 0 with a null mean; rows that share an id are scored as one document,
-word counts and scores added; other columns are ignored; an empty table gives an empty one.
+texts have 0 words and score 0 with a null mean; rows that share an id are scored each for itself, as
+texts of their own, and added; null ids are one id; repeated rows are other texts to each other; a very
+long text is a chunk of its own and is scored whole; other columns are ignored; an empty table gives an
+empty one.  ``docs`` is read twice and must give its rows alike both times, as files and checkpoints do.
 """
 
 from __future__ import annotations
@@ -38,113 +41,20 @@ from .shared import checkpointed, shuffle_partitions
 
 U = np.uint64
 ALPHA = 0.4
-PACKED = "bucket int, doc_id long, kind int, packed binary"
-PARTIAL = "doc_id long, score double, n_words long, n_rows long"
-UNIGRAM, BIGRAM, PRESENT = 1, 2, 0
-#: Bytes of a hash that travel, in one shuffle or where a bigram hands on its words.
-NARROW, WIDE = 5, 8
-MOST = 127
+ORDER = 3
+#: Bits of a hash that travel beside the number of its partition.
+BITS = 44
+LOW = (1 << BITS) - 1
+GRAMS = "bucket int, chunk long, kind int, packed binary"
+ROWS = "doc_id long, score double, n_words long, backed_off long"
+#: Bytes of text whose n-grams travel together.
+TOGETHER = 4_000_000
+#: Kind of the rows that carry a chunk's texts; they sort behind its totals, whose kind is the order.
+TEXTS = 99
 #: Parts of a partition's keys that are counted one after another.
 SLICES = 8
 
 
-def _pack(doc: np.ndarray, h: np.ndarray, count: np.ndarray, weight: np.ndarray, buckets: int, kind: int, width: int, extra: tuple[np.ndarray, ...] = ()):
-    """Rows (bucket, doc, kind, packed) for entries; columns lie one after another in a packed value."""
-    bucket = ((h >> U(40)) % U(buckets)).astype(np.int64)
-    order = np.lexsort((bucket, doc))
-    doc, h, count, weight, bucket = doc[order], h[order], count[order], weight[order], bucket[order]
-    extra = tuple(x[order] for x in extra)
-    head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])))
-    raw = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :width] for x in (h, *extra)]
-    one, two = count.astype(np.uint8), weight.astype(np.int8).view(np.uint8)
-    ends = np.append(head[1:], len(doc))
-    values = [b"".join([*(x[a:b].tobytes() for x in raw), one[a:b].tobytes(), two[a:b].tobytes()]) for a, b in zip(head.tolist(), ends.tolist(), strict=True)]
-    return bucket[head], doc[head], kind, values
-
-
-def _batch(rows, ids: pa.Array) -> pa.RecordBatch:
-    bucket, doc, kind, values = rows
-    return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), ids.take(pa.array(doc)), pa.array(np.full(len(doc), kind, np.int32)), pa.array(values, pa.binary())], names=["bucket", "doc_id", "kind", "packed"])
-
-
-def _entries(doc: np.ndarray, h: np.ndarray, *weights: np.ndarray):
-    """Distinct (doc, hash) with occurrences and summed weights, cut to entries of at most MOST."""
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])))
-    count = np.diff(np.append(head, len(doc)))
-    sums = [np.add.reduceat(w[order], head) for w in weights]
-    doc, h = doc[head], h[head]
-    pieces = np.maximum(1, -(-np.max(np.abs([count, *sums]), axis=0) // MOST))
-    if (pieces > 1).any():
-        at = np.repeat(np.arange(len(doc)), pieces)
-        k = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        share = lambda x: np.sign(x[at]) * np.minimum(MOST, np.maximum(0, np.abs(x[at]) - k * MOST))
-        return doc[at], h[at], share(count), *[share(s) for s in sums], order[head][at]
-    return doc, h, count, *sums, order[head]
-
-
-def _explode(buckets: int, whole: bool):
-    width = NARROW if whole else WIDE
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in T.chunks(batch.column(1)):
-                ids = batch.column(0).slice(c.lo, c.n)
-                own = np.arange(c.n)
-                yield _batch((own % buckets, own, PRESENT, [b""] * c.n), ids)
-                if not len(c.doc):
-                    continue
-                words = c.word_hashes(lower=True)
-                first = np.append(True, c.doc[1:] != c.doc[:-1])
-                last = np.append(first[1:], True)
-                # as a context a word divides; the first word of a text is scored alone
-                weight = first.astype(np.int64) - (~last if whole else 0)
-                doc, h, count, weight, _ = _entries(c.doc, words, weight)
-                yield _batch(_pack(doc, h, count, weight, buckets, UNIGRAM, width), ids)
-                at = np.flatnonzero(~last)
-                if len(at):
-                    pairs = T.gram_hashes(words, 2)[at]
-                    doc, h, count, place = _entries(c.doc[at], pairs)
-                    more = () if whole else (words[at][place], words[at + 1][place])
-                    yield _batch(_pack(doc, h, count, count, buckets, BIGRAM, width, more), ids)
-
-    return explode
-
-
-def _gather(batches: Iterator[pa.RecordBatch]):
-    """All rows of a partition by kind."""
-    rows: dict[int, list[tuple[list, list, list]]] = {}
-    for b in batches:
-        kinds = b.column(2).to_numpy()
-        for k in np.unique(kinds).tolist():
-            part = b.filter(pa.array(kinds == k))
-            rows.setdefault(k, []).append((part.column(0), part.column(1), part.column(3)))
-    return {k: [pa.chunked_array([x[i] for x in v]) for i in range(3)] for k, v in rows.items()}
-
-
-def _unpack(columns, hashes: int, width: int):
-    """Keys (bucket and hash), row numbers, counts, weights and further hashes of packed rows."""
-    bucket = columns[0].to_numpy().astype(U)
-    packed = columns[2].to_pylist()
-    size = np.fromiter(map(len, packed), np.int64, len(packed)) // (hashes * width + 2)
-    n = int(size.sum())
-    out = [np.zeros((n, 8), np.uint8) for _ in range(hashes)]
-    count, weight = np.zeros(n, np.uint8), np.zeros(n, np.int8)
-    at = 0
-    for p, k in zip(packed, size.tolist(), strict=True):
-        raw = np.frombuffer(p, np.uint8)
-        for i, o in enumerate(out):
-            o[at : at + k, :width] = raw[i * width * k : (i + 1) * width * k].reshape(k, width)
-        count[at : at + k] = raw[-2 * k : len(raw) - k]
-        weight[at : at + k] = raw[len(raw) - k :].view(np.int8)
-        at += k
-    row = np.repeat(np.arange(len(packed), dtype=np.int32), size)
-    wide = [o.view(U).reshape(-1) for o in out]
-    key = wide[0] | (bucket[row] << U(8 * width)) if width < WIDE else wide[0]
-    return key, row, count, weight, wide[1:]
-
-
 def _totals(key: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The joined count table in slices of the key space: places of entries and their keys' occurrences."""
     part = (key % U(SLICES)).astype(np.uint8)
@@ -154,98 +64,6 @@ def _totals(key: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np
         yield at, np.bincount(inverse, weights=count[at])[inverse]
 
 
-def _join(whole: bool):
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = _gather(batches)
-        for kind in sorted(gathered):
-            columns = gathered.pop(kind)
-            n = len(columns[1])
-            if kind == PRESENT:
-                score, words, rows = np.zeros(n), np.zeros(n, np.int64), np.ones(n, np.int64)
-            else:
-                key, row, count, weight, _ = _unpack(columns, 1, NARROW if whole else WIDE)
-                score, words = np.zeros(n), np.zeros(n, np.int64)
-                for at, total in _totals(key, count):
-                    score += np.bincount(row[at], weights=weight[at] * np.log(np.maximum(total, 1)), minlength=n)
-                    if kind == UNIGRAM:
-                        words += np.bincount(row[at], weights=count[at], minlength=n).astype(np.int64)
-                rows = np.zeros(n, np.int64)
-            yield pa.RecordBatch.from_arrays([columns[1].combine_chunks(), pa.array(score), pa.array(words), pa.array(rows)], names=["doc_id", "score", "n_words", "n_rows"])
-
-    return join
-
-
-DECIDED = "bucket int, doc_id long, kind int, packed binary, score double, backed_off long"
-
-
-def _decide(buckets: int, min_count: int):
-    """Bigrams: the kept ones score and divide by their context, the others hand on their word."""
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "doc_id", "kind", "packed", "score", "backed_off"]
-        for kind, columns in _gather(batches).items():
-            ids = columns[1].combine_chunks()
-            n = len(ids)
-            if kind != BIGRAM:
-                yield pa.RecordBatch.from_arrays([columns[0].combine_chunks(), ids, pa.array(np.full(n, kind, np.int32)), columns[2].combine_chunks(), pa.array(np.zeros(n)), pa.array(np.zeros(n, np.int64))], names=names)
-                continue
-            key, row, count, _, (before, word) = _unpack(columns, 3, WIDE)
-            total = np.zeros(len(key))
-            for at, found in _totals(key, count):
-                total[at] = found
-            count = count.astype(np.int64)
-            keep = total >= min_count
-            score = np.bincount(row[keep], weights=(count * np.log(total))[keep], minlength=n)
-            off = np.bincount(row[~keep], weights=count[~keep], minlength=n).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), ids, pa.array(np.full(n, BIGRAM, np.int32)), pa.array([b""] * n, pa.binary()), pa.array(score), pa.array(off)], names=names)
-            yield from _handed(row, np.where(keep, before, word), np.where(keep, -count, count), buckets, ids, names)
-
-    return decide
-
-
-def _handed(row, h, weight, buckets, ids, names) -> Iterator[pa.RecordBatch]:
-    bucket, doc, kind, values = _pack(row, h, np.zeros(len(h), np.int64), weight, buckets, UNIGRAM, WIDE)
-    n = len(doc)
-    yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), ids.take(pa.array(doc)), pa.array(np.full(n, kind, np.int32)), pa.array(values, pa.binary()), pa.array(np.zeros(n)), pa.array(np.zeros(n, np.int64))], names=names)
-
-
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = 1) -> DataFrame:
-    """One row per document id: doc_id, n_words, log_score, mean_log_score."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
-    rows = base.mapInArrow(_explode(parts, min_count <= 1), PACKED)
-    off = None
-    if min_count <= 1:
-        partial = rows.repartition(parts, "bucket").mapInArrow(_join(True), PARTIAL)
-    else:
-        decided = checkpointed(rows.repartition(parts, "bucket").mapInArrow(_decide(parts, min_count), DECIDED))
-        partial = decided.where(F.col("kind") != BIGRAM).select("bucket", "doc_id", "kind", "packed").repartition(parts, "bucket").mapInArrow(_join(False), PARTIAL)
-        settled = decided.where(F.col("kind") == BIGRAM).select("doc_id", "score", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_rows"))
-        partial = partial.unionByName(settled)
-        off = decided.groupBy("doc_id").agg(F.sum("backed_off").alias("off"))
-    sums = checkpointed(partial.groupBy("doc_id").agg(F.sum("score").alias("score"), F.sum("n_words").alias("n_words")))
-    total = sums.agg(F.sum("n_words")).first()[0] or 0
-    lone = F.when(F.col("n_words") > 0, F.lit(1)).otherwise(F.lit(0))
-    if off is not None:
-        named = off.withColumnRenamed("doc_id", "_id")
-        sums = sums.join(named, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-        lone = lone + F.coalesce("off", F.lit(0))
-    score = F.col("score") + lone * F.lit(math.log(ALPHA / total) if total else 0.0)
-    return sums.select("doc_id", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).alias("mean_log_score"))
-
-
-# Scores under the counts of the other texts alone.
-
-GRAMS = "bucket int, chunk long, kind int, packed binary"
-ROWS = "doc_id long, score double, n_words long, backed_off long"
-ORDER, LOW = 3, (1 << 40) - 1
-#: Bytes of text whose n-grams travel together.
-TOGETHER = 4_000_000
-#: Kind of the rows that carry a chunk's texts; they sort behind its totals, whose kind is the order.
-TEXTS = 99
-
-
 def _grams(c: T.Chunk, order: int, buckets: int):
     """For k from 1 to order: first words of the chunk's k-grams, which lie in one text, and their bucketed hashes."""
     words = c.word_hashes(lower=True)
@@ -253,7 +71,7 @@ def _grams(c: T.Chunk, order: int, buckets: int):
         h = words if k == 1 else T.gram_hashes(words, k)
         at = np.flatnonzero(c.doc[: len(h)] == c.doc[k - 1 :])
         h = h[at]
-        yield k, at, (h & U(LOW)) | (((h >> U(40)) % U(buckets)) << U(40))
+        yield k, at, (h & U(LOW)) | (((h >> U(BITS)) % U(buckets)) << U(BITS))
 
 
 def _squeezed(raw: bytes) -> bytes:
@@ -294,7 +112,7 @@ def _send_grams(order: int, buckets: int):
                 key, rows = _chunk_key(batch.column(0).slice(c.lo, c.n), c), []
                 for k, _, grams in _grams(c, order, buckets):
                     own, count = np.unique(grams, return_counts=True)
-                    cut = np.searchsorted(own, np.arange(buckets + 1, dtype=U) << U(40))
+                    cut = np.searchsorted(own, np.arange(buckets + 1, dtype=U) << U(BITS))
                     low = (own & U(LOW)).astype(np.int64)
                     for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
                         lo, hi = cut[b], cut[b + 1]
@@ -339,25 +157,28 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += n
 
 
-def _others(c: T.Chunk, order: int, buckets: int, totals: dict[int, dict[int, bytes]]):
-    """For k from 1 to order: first words of the k-grams, and their occurrences in other texts."""
+def _counts(c: T.Chunk, order: int, buckets: int, totals: dict[int, dict[int, bytes]], held_out: bool):
+    """For k from 1 to order: first words of the k-grams, and their occurrences that count."""
     for k, at, grams in _grams(c, order, buckets):
         own, place = np.unique(grams, return_inverse=True)
         found = totals.get(k, {})
         total = np.concatenate([np.zeros(0, np.int64), *(_numbers(_expanded(found[b])) for b in sorted(found))])
         if len(total) != len(own):
             raise RuntimeError("the texts came in other chunks when they were read again")
+        if not held_out:
+            yield at, total[place]
+            continue
         _, here, n = np.unique(c.doc[at] * max(len(own), 1) + place, return_inverse=True, return_counts=True)
         yield at, total[place] - n[here]
 
 
-def _backed_off(c: T.Chunk, order: int, buckets: int, totals: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def _backed_off(c: T.Chunk, order: int, buckets: int, totals: dict[int, dict[int, bytes]], held_out: bool) -> tuple[np.ndarray, np.ndarray]:
     """Logarithms by word, without the division by N where ``open`` tells that a word backs off to it."""
     n = len(c.doc)
     value, open_ = np.zeros(n), np.ones(n, bool)
     counts = np.zeros((order, n), np.int64)
-    for k, (at, others) in enumerate(_others(c, order, buckets, totals)):
-        counts[k, at] = others
+    for k, (at, found) in enumerate(_counts(c, order, buckets, totals, held_out)):
+        counts[k, at] = found
     for k in range(order, 1, -1):
         at = np.flatnonzero(counts[k - 1, : max(0, n - k + 1)] > 0)
         at = at[open_[at + k - 1]]
@@ -368,7 +189,7 @@ def _backed_off(c: T.Chunk, order: int, buckets: int, totals: dict[int, dict[int
     return value, open_
 
 
-def _score_chunks(order: int, buckets: int):
+def _score_chunks(order: int, buckets: int, held_out: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, totals = None, {}
         for batch in batches:
@@ -381,52 +202,58 @@ def _score_chunks(order: int, buckets: int):
                     continue
                 ids, data, bounds = pickle.loads(_expanded(packed.as_py()))
                 c = T.Chunk(np.frombuffer(data, np.uint8), np.frombuffer(bounds, np.int64), 0)
-                value, open_ = _backed_off(c, order, buckets, totals)
+                value, open_ = _backed_off(c, order, buckets, totals, held_out)
                 sums = [np.bincount(c.doc, weights=x, minlength=c.n) for x in (value, open_)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums[0]), pa.array(c.counts.astype(np.int64)), pa.array(sums[1].astype(np.int64))], names=["doc_id", "score", "n_words", "backed_off"])
 
     return score
 
 
-def held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """``scored`` with n-grams of up to ``order`` words and each text's own occurrences left out of all counts.
-
-    A word scores c(n-gram) / c(context) of the longest n-gram that another text holds, times ALPHA for
-    each order that is passed over; a word that no other text holds scores ALPHA**order / N.  Words near
-    a text's start have shorter contexts and back off.  N is the number of words of the other texts, 1 at
-    least.  Rows that share an id are scored each for itself, as texts of their own, and added.
-
-    A chunk of texts sends its distinct n-grams to their buckets, gets their totals back in the same
-    order, subtracts each text's own counts and scores every word in its place.
-    """
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, held_out: bool = True) -> DataFrame:
+    """One row per document id: doc_id, n_words, log_score, mean_log_score."""
     parts = shuffle_partitions(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
     sent = base.mapInArrow(_send_grams(order, parts), GRAMS)
     totals = sent.repartition(parts * order, "bucket").mapInArrow(_total, GRAMS)
     met = totals.unionByName(base.mapInArrow(_send_texts, GRAMS)).repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
-    rows = checkpointed(met.mapInArrow(_score_chunks(order, parts), ROWS))
+    rows = checkpointed(met.mapInArrow(_score_chunks(order, parts, held_out), ROWS))
     total = rows.agg(F.sum("n_words")).first()[0] or 0
-    others = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double")
-    rows = rows.withColumn("score", F.col("score") - F.col("backed_off") * F.log(others))
-    sums = rows.groupBy("doc_id").agg(F.sum("score").alias("score"), F.sum("n_words").alias("n_words"))
+    n = F.greatest(F.lit(total) - (F.col("n_words") if held_out else F.lit(0)), F.lit(1)).cast("double")
+    # decimals add up alike in any order
+    rows = rows.withColumn("score", (F.col("score") - F.col("backed_off") * F.log(n)).cast("decimal(28,12)"))
+    sums = rows.groupBy("doc_id").agg(F.sum("score").cast("double").alias("score"), F.sum("n_words").alias("n_words"))
     return sums.select("doc_id", "n_words", F.col("score").alias("log_score"), F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean_log_score"))
 
 
-#: The scores with ``min_count`` 1 as DuckDB SQL, rounded as the query does.
-SCORE_SQL = r"""
+_WORDS_SQL = r"""
 WITH w AS (
   SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM {docs})),
+n AS (SELECT count(*) AS n FROM w),"""
+_ROUNDED_SQL = """
+SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, floor(coalesce(s.score, 0) * 10000 + 0.5) / 10000 AS log_score,
+  floor(s.score / s.n_words * 1000000 + 0.5) / 1000000 AS mean_log_score
+FROM {docs} d LEFT JOIN s USING (doc_id)
+"""
+#: Scores of each text under the other texts' counts of up to three words, as DuckDB SQL.
+HELD_OUT_SQL = _WORDS_SQL + """
+p AS (SELECT *, lag(word) OVER t AS b, lag(word, 2) OVER t AS a, count(*) OVER (PARTITION BY doc_id) AS own FROM w WINDOW t AS (PARTITION BY doc_id ORDER BY i)),
+o AS (
+  SELECT doc_id, own, a, b, count(*) OVER (PARTITION BY word) - count(*) OVER (PARTITION BY doc_id, word) AS c1,
+    CASE WHEN b IS NOT NULL THEN count(*) OVER (PARTITION BY b, word) - count(*) OVER (PARTITION BY doc_id, b, word) ELSE 0 END AS c2,
+    CASE WHEN a IS NOT NULL THEN count(*) OVER (PARTITION BY a, b, word) - count(*) OVER (PARTITION BY doc_id, a, b, word) ELSE 0 END AS c3, i FROM p),
+k AS (SELECT *, lag(c1) OVER t AS b1, lag(c2) OVER t AS b2 FROM o WINDOW t AS (PARTITION BY doc_id ORDER BY i)),
+s AS (
+  SELECT doc_id, count(*) AS n_words, sum(CASE WHEN c3 > 0 THEN ln(CAST(c3 AS DOUBLE) / b2) WHEN c2 > 0 THEN ln(CAST(c2 AS DOUBLE) / b1) + ln(CAST(0.4 AS DOUBLE))
+    ELSE ln(CAST(greatest(c1, 1) AS DOUBLE)) + (CASE WHEN c1 > 0 THEN 2 ELSE 3 END) * ln(CAST(0.4 AS DOUBLE)) - ln(CAST(greatest(n.n - own, 1) AS DOUBLE)) END) AS score
+  FROM k, n GROUP BY doc_id)""" + _ROUNDED_SQL
+#: Scores with bigrams under all counts, as DuckDB SQL.
+WHOLE_SQL = _WORDS_SQL + """
 p AS (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM w),
 u AS (SELECT word, count(*) AS c FROM w GROUP BY word),
 b AS (SELECT prev, word, count(*) AS c FROM p WHERE prev IS NOT NULL GROUP BY prev, word),
-n AS (SELECT count(*) AS n FROM w),
 s AS (
   SELECT p.doc_id, count(*) AS n_words,
     sum(CASE WHEN p.prev IS NULL THEN ln(0.4 * uw.c / n.n) ELSE ln(CAST(b.c AS DOUBLE) / up.c) END) AS score
   FROM p CROSS JOIN n JOIN u uw ON uw.word = p.word LEFT JOIN u up ON up.word = p.prev
-    LEFT JOIN b ON b.prev = p.prev AND b.word = p.word GROUP BY p.doc_id)
-SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, floor(coalesce(s.score, 0) * 10000 + 0.5) / 10000 AS log_score,
-  floor(s.score / s.n_words * 1000000 + 0.5) / 1000000 AS mean_log_score
-FROM {docs} d LEFT JOIN s USING (doc_id)
-"""
+    LEFT JOIN b ON b.prev = p.prev AND b.word = p.word GROUP BY p.doc_id)""" + _ROUNDED_SQL

@@ -253,6 +253,23 @@ def test_jaccard_join_chain_of_many(spark):
     assert got == sorted(brute_classes(rows))
 
 
+def test_jaccard_join_rounds_and_parts(spark, monkeypatch):
+    """Rounds by neighbours and dealt-out groups give the same classes."""
+    monkeypatch.setattr(jaccard_join, "ALL_PAIRS", 0)
+    monkeypatch.setattr(jaccard_join, "DEALT", 7)
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for k in r.sample(range(60), r.choice((1, 2, 3))):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.linked(d).collect())
+    assert got == sorted(brute_classes(rows)) and len({c for _, _, c in got}) > 1
+
+
 def test_parity_bound():
     r = np.random.default_rng(1)
     for n in (50, 300, 2000):
@@ -267,51 +284,30 @@ def test_parity_bound():
         assert jaccard_join._suffix_bound(x, y) >= len(np.intersect1d(x, y))
 
 
-@pytest.mark.parametrize("min_count", [1, 2])
-def test_lm_scoring(docs, rows, empty, min_count):
-    low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
-    lists = [words((r[1] or "").translate(low)) for r in rows]
-    one, two = collections.Counter(w for x in lists for w in x), collections.Counter(p for x in lists for p in zip(x, x[1:]))
-    total, want = sum(one.values()), collections.defaultdict(lambda: [0, 0.0])
-    for r, x in zip(rows, lists):
-        want[r[0]][0] += len(x)
-        for i, w in enumerate(x):
-            if i and two[x[i - 1], w] >= min_count:
-                want[r[0]][1] += np.log(two[x[i - 1], w] / one[x[i - 1]])
-            else:
-                want[r[0]][1] += np.log(0.4 * one[w] / total)
-    # rows that share an id back off once for the text they make together
-    twice = [k for k, n in collections.Counter(r[0] for r in rows).items() if n > 1]
-    got = {r.doc_id: r for r in lm_scoring.scored(docs, min_count=min_count).collect()}
-    assert set(got) == set(want)
-    for k, (n, s) in want.items():
-        assert got[k].n_words == n
-        if k not in twice:
-            assert got[k].log_score == pytest.approx(s, abs=1e-6)
-    assert lm_scoring.scored(empty, min_count=min_count).count() == 0
-
-
-def test_lm_scoring_held_out(docs, rows, empty):
+@pytest.mark.parametrize(("order", "held_out"), [(3, True), (2, False), (3, False), (1, True)])
+def test_lm_scoring(docs, rows, empty, order, held_out):
     low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
     lists = [words((r[1] or "").translate(low)) for r in rows]
-    grams = lambda x: collections.Counter(tuple(x[i : i + k]) for k in (1, 2, 3) for i in range(len(x) - k + 1))
+    sizes = range(order, 0, -1)
+    grams = lambda x: collections.Counter(tuple(x[i : i + k]) for k in sizes for i in range(len(x) - k + 1))
     every, total = collections.Counter(), sum(map(len, lists))
     for x in lists:
         every.update(grams(x))
+    # rows that share an id are scored each for itself and added
     want = collections.defaultdict(lambda: [0, 0.0])
     for r, x in zip(rows, lists):
-        own = grams(x)
-        c = lambda g: every[g] - own[g]  # noqa: E731, B023
+        own = grams(x) if held_out else {}
+        c = lambda g: every[g] - own.get(g, 0)  # noqa: E731, B023
         for i, w in enumerate(x):
-            k = next((k for k in (3, 2, 1) if i >= k - 1 and c(tuple(x[i - k + 1 : i + 1])) > 0), 0)
-            below = max(1, total - len(x)) if k < 2 else c(tuple(x[i - k + 1 : i]))
-            want[r[0]][1] += np.log(0.4 ** (3 - k) * (c(tuple(x[i - k + 1 : i + 1])) if k else 1) / below)
+            k = next((k for k in sizes if i >= k - 1 and c(tuple(x[i - k + 1 : i + 1])) > 0), 0)
+            below = max(1, total - held_out * len(x)) if k < 2 else c(tuple(x[i - k + 1 : i]))
+            want[r[0]][1] += np.log(0.4 ** (order - k) * (c(tuple(x[i - k + 1 : i + 1])) if k else 1) / below)
         want[r[0]][0] += len(x)
-    got = {r.doc_id: r for r in lm_scoring.held_out(docs).collect()}
+    got = {r.doc_id: r for r in lm_scoring.scored(docs, order=order, held_out=held_out).collect()}
     assert set(got) == set(want)
     for k, (n, s) in want.items():
         assert got[k].n_words == n and got[k].log_score == pytest.approx(s, abs=1e-6)
-    assert lm_scoring.held_out(empty).count() == 0
+    assert lm_scoring.scored(empty, order=order, held_out=held_out).count() == 0
 
 
 def test_lm_scoring_held_out_ranks_lone_junk_last(spark):
@@ -319,7 +315,7 @@ def test_lm_scoring_held_out_ranks_lone_junk_last(spark):
     plain = [" ".join(r.choice(["the", "house", "stands", "near", "a", "river"]) for _ in range(40)) for _ in range(30)]
     junk = " ".join(f"zq{i}" for i in range(40))
     d = spark.createDataFrame([*enumerate(plain), (98, "word " * 40), (99, junk)], "doc_id long, text string")
-    got = {x.doc_id: x.mean_log_score for x in lm_scoring.held_out(d).collect()}
+    got = {x.doc_id: x.mean_log_score for x in lm_scoring.scored(d).collect()}
     assert max(got[98], got[99]) < min(got[i] for i in range(30))
 
 

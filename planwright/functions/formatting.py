@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Provenances that were read or set, against those that were derived.
+#: Provenances that are no estimates, the class of each provenance and what the classes mean.
 EXACT = ("plan-label", "user")
-CLASSES = {"plan-label": "measured", "user": "measured", "plan-geometry": "estimated", "ocr": "measured", "inferred": "inferred", "assumed": "assumed"}
+CLASSES = {"plan-label": "known", "plan-geometry": "measured", "detected": "estimated", "ocr": "read", "estimated": "estimated", "inferred": "inferred", "assumed": "assumed", "user": "user"}
+HELP = {
+    "known": "Printed on the plan",
+    "read": "Read from the plan automatically (OCR) — the reading may contain errors",
+    "measured": "Measured from the drawing at the calibrated scale",
+    "estimated": "Estimated (automatic detection or uncalibrated scale)",
+    "inferred": "Inferred from drawing conventions",
+    "assumed": "Not on the plan — a documented default",
+    "user": "Entered by a user",
+}
+#: Classes that need no word behind the value.
+PLAIN = ("measured", "known", "user")
 
 
 def _fixed(value: Column, digits: int) -> Column:
@@ -21,20 +32,31 @@ def length(metres: Column, source: Column) -> Column:
     return F.concat(F.when(source.isin(*EXACT), F.lit("")).otherwise(F.lit("≈ ")), text, F.lit(" m"))
 
 
-def area(square_metres: Column) -> Column:
-    return F.concat(_fixed(square_metres, 1), F.lit(" m²"))
+def area(square_metres: Column, source: Column | None = None) -> Column:
+    source = F.lit("plan-geometry") if source is None else source
+    return F.concat(F.when(source.isin(*EXACT), F.lit("")).otherwise(F.lit("≈ ")), _fixed(square_metres, 1), F.lit(" m²"))
 
 
 def degrees(radians: Column) -> Column:
     return F.concat(F.floor(F.degrees(radians) + 0.5).cast("string"), F.lit("°"))
 
 
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
+
+
 def provenance_class(source: Column) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in CLASSES.items() for x in pair])[source], F.lit("unknown"))
+    return _looked_up(CLASSES, source)
+
+
+def provenance_help(source: Column) -> Column:
+    return _looked_up(HELP, provenance_class(source))
 
 
 def measured(metres: Column, source: Column) -> Column:
-    return F.concat(length(metres, source), F.lit(" ("), provenance_class(source), F.lit(")"))
+    """A length with the class of its provenance, unless it was measured, printed or set."""
+    kind = provenance_class(source)
+    return F.concat(length(metres, source), F.when(kind.isin(*PLAIN), F.lit("")).otherwise(F.concat(F.lit(" ("), kind, F.lit(")"))))
 
 
 def confidence(share: Column) -> Column:

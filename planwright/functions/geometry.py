@@ -5,7 +5,8 @@ Everything stays in generated code: rings are walked with higher-order functions
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, types
 from pyspark.sql import functions as F
 
 #: Tolerance, in metres, within which a point counts as on an edge.
@@ -13,6 +14,11 @@ EPS = 5e-4
 TINY = 1e-12
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, so that expressions don't grow with every use of it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def point(x: Column, z: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), z.cast("double").alias("z"))
 
@@ -38,7 +44,7 @@ def cross(a: Column, b: Column) -> Column:
 
 
 def length(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return F.hypot(a["x"], a["z"])
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -47,8 +53,11 @@ def distance(a: Column, b: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """Unit vector; zero for a vector too short to have a direction."""
-    n = length(a)
-    return F.when(n < TINY, point(F.lit(0.0), F.lit(0.0))).otherwise(point(a["x"] / n, a["z"] / n))
+    def unit(v):
+        n = F.hypot(v["x"], v["z"])
+        return F.when(n < TINY, point(F.lit(0.0), F.lit(0.0))).otherwise(point(v["x"] / n, v["z"] / n))
+
+    return let(a, unit)
 
 
 def rotate(a: Column, angle: Column) -> Column:
@@ -103,10 +112,13 @@ def bounds(polygon: Column) -> Column:
 
 def segment_distance(p: Column, a: Column, b: Column) -> Column:
     """Distance of a point from a segment."""
-    d = sub(b, a)
-    squared = dot(d, d)
-    t = F.when(squared < 1e-18, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(sub(p, a), d) / squared)))
-    return distance(p, add(a, scale(d, t)))
+    def from_start(v):
+        squared = v["dx"] * v["dx"] + v["dz"] * v["dz"]
+        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v["x"] * v["dx"] + v["z"] * v["dz"]) / squared))
+        return let(F.when(squared < 1e-18, F.lit(0.0)).otherwise(share), lambda t: F.hypot(v["x"] - v["dx"] * t, v["z"] - v["dz"] * t))
+
+    own = F.struct((p["x"] - a["x"]).alias("x"), (p["z"] - a["z"]).alias("z"), (b["x"] - a["x"]).alias("dx"), (b["z"] - a["z"]).alias("dz"))
+    return let(own, from_start)
 
 
 def on_boundary(p: Column, polygon: Column, tolerance: float = EPS) -> Column:
@@ -124,11 +136,11 @@ def _crossings_odd(p: Column, polygon: Column) -> Column:
 
 def contains(polygon: Column, p: Column, tolerance: float = EPS) -> Column:
     """Even-odd rule; the boundary counts as inside."""
-    return on_boundary(p, polygon, tolerance) | _crossings_odd(p, polygon)
+    return let(p, lambda q: on_boundary(q, polygon, tolerance) | _crossings_odd(q, polygon))
 
 
 def strictly_contains(polygon: Column, p: Column, tolerance: float = EPS) -> Column:
-    return ~on_boundary(p, polygon, tolerance) & _crossings_odd(p, polygon)
+    return let(p, lambda q: ~on_boundary(q, polygon, tolerance) & _crossings_odd(q, polygon))
 
 
 def properly_intersect(a: Column, b: Column, c: Column, d: Column, tolerance: float = 1e-9) -> Column:
@@ -157,7 +169,7 @@ def is_convex(polygon: Column) -> Column:
     n = F.size(polygon)
     at = lambda i: F.element_at(polygon, (i % n) + 1)
     turns = F.transform(polygon, lambda p, i: cross(sub(at(i + 1), p), sub(at(i + 2), at(i + 1))))
-    return ~(F.exists(turns, lambda t: t > 1e-9) & F.exists(turns, lambda t: t < -1e-9))
+    return ~(F.exists(turns, lambda t: t >= TINY) & F.exists(turns, lambda t: t <= -TINY))
 
 
 def distance_to_boundary(p: Column, polygon: Column) -> Column:
@@ -210,7 +222,7 @@ def rounded(value: Column, digits: int = 6) -> Column:
 
 
 def overlap_depth(a: Column, b: Column) -> Column:
-    """Least push that parts two convex polygons; zero or less where they are apart."""
+    """Least overlap of two convex polygons along an edge's normal; zero or less, on the first such normal, where they are apart."""
     def normals(polygon):
         return F.transform(edges(polygon), lambda e: normalize(point(e["a"]["z"] - e["b"]["z"], e["b"]["x"] - e["a"]["x"])))
 
@@ -219,10 +231,11 @@ def overlap_depth(a: Column, b: Column) -> Column:
 
     def depth(axis):
         pa, pb = along(a, axis), along(b, axis)
-        return F.least(F.array_max(pa) - F.array_min(pb), F.array_max(pb) - F.array_min(pa))
+        return F.least(F.array_max(pa), F.array_max(pb)) - F.greatest(F.array_min(pa), F.array_min(pb))
 
     axes = F.filter(F.concat(normals(a), normals(b)), lambda n: dot(n, n) > 0.5)
-    return F.array_min(F.transform(axes, depth))
+    depths = F.transform(axes, depth)
+    return F.coalesce(F.get(F.filter(depths, lambda d: d <= 0), 0), F.array_min(depths))
 
 
 def convex_overlap(a: Column, b: Column, tolerance: float = EPS) -> Column:
@@ -255,3 +268,83 @@ def protrusion(inner: Column, outer: Column, step: float = 0.05) -> Column:
 
     points = F.flatten(F.transform(edges(inner), samples))
     return F.coalesce(F.array_max(F.transform(points, lambda p: F.when(contains(outer, p), F.lit(0.0)).otherwise(distance_to_boundary(p, outer)))), F.lit(0.0))
+
+
+def approximate_overlap(a: Column, b: Column, cell: float = 0.05, most: int = 10_000) -> Column:
+    """Common area of two simple polygons, from a grid over their common bounds of at most about ``most`` cells."""
+    def counted(v):
+        steps = lambda lo, hi: F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((v[hi] - v[lo]) / v["size"] - 0.5).cast("int") - 1))
+
+        def inside(i: Column) -> Column:
+            at = lambda j: point(v["x0"] + v["size"] * (i + 0.5), v["z0"] + v["size"] * (j + 0.5))
+            return F.size(F.filter(F.transform(steps("z0", "z1"), at), lambda p: strictly_contains(a, p) & strictly_contains(b, p)))
+
+        columns = F.when((v["x0"] < v["x1"]) & (v["z0"] < v["z1"]), steps("x0", "x1")).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(columns, F.lit(0), lambda n, i: n + inside(i)) * v["size"] * v["size"]
+
+    def sized(v):
+        area_ = F.greatest(F.lit(0.0), v["x1"] - v["x0"]) * F.greatest(F.lit(0.0), v["z1"] - v["z0"])
+        return let(F.struct(*[v[k].alias(k) for k in ("x0", "x1", "z0", "z1")], F.greatest(F.lit(cell), F.sqrt(area_ / most)).alias("size")), counted)
+
+    ba, bb = bounds(a), bounds(b)
+    common = F.struct(*[f(ba[k], bb[k]).alias(n) for n, f, k in (("x0", F.greatest, "min_x"), ("x1", F.least, "max_x"), ("z0", F.greatest, "min_z"), ("z1", F.least, "max_z"))])
+    return let(common, sized)
+
+
+POINT = types.StructType([types.StructField("x", types.DoubleType()), types.StructField("z", types.DoubleType())])
+
+
+@F.pandas_udf(types.ArrayType(types.ArrayType(POINT)))
+def convex_parts(polygons: pd.Series) -> pd.Series:
+    """Convex pieces of simple polygons: a convex one itself, else the triangles of ear clipping."""
+    return polygons.map(lambda ring: [[{"x": x, "z": z} for x, z in part] for part in _parts([(p["x"], p["z"]) for p in ring])])
+
+
+def _turn(a: tuple, b: tuple, c: tuple) -> float:
+    return (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
+
+
+def _parts(ring: list[tuple]) -> list[list[tuple]]:
+    """Ears are cut off one by one, which is sequential; what can't be cut becomes a fan."""
+    n = len(ring)
+    turns = [t for t in (_turn(ring[i], ring[(i + 1) % n], ring[(i + 2) % n]) for i in range(n)) if abs(t) >= TINY]
+    if all(t > 0 for t in turns) or all(t < 0 for t in turns):
+        return [ring]
+    if sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) < 0:
+        ring = ring[::-1]
+    out = []
+    while len(ring) > 3:
+        for k in range(len(ring)):
+            ear = [ring[k - 1], ring[k], ring[(k + 1) % len(ring)]]
+            sides = lambda p: [_turn(ear[i], ear[(i + 1) % 3], p) for i in range(3)]  # noqa: E731, B023
+            if _turn(*ear) > TINY and not any(p not in ear and min(sides(p)) > 1e-9 for p in ring):
+                out.append(ear)
+                ring = ring[:k] + ring[k + 1 :]
+                break
+        else:
+            break
+    return out + [[ring[0], ring[k], ring[k + 1]] for k in range(1, len(ring) - 1)]
+
+
+def parts_overlap_depth(a: Column, b: Column) -> Column:
+    """Greatest overlap depth of two sets of convex pieces, as ``convex_parts`` gives them."""
+    return F.array_max(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: overlap_depth(x, y)))))
+
+
+def collinear_overlap(a0: Column, a1: Column, b0: Column, b1: Column, tolerance: Column) -> Column:
+    """Length over which two segments lie on one line, within a tolerance, and overlap."""
+    def shared(d):
+        def on_line(v):
+            both = F.least(F.greatest(F.lit(0.0), v["end"]), F.greatest(v["p"], v["q"])) - F.greatest(F.least(F.lit(0.0), v["end"]), F.least(v["p"], v["q"]))
+            return F.greatest(F.lit(0.0), both)
+
+        along = lambda p: (p["x"] - a0["x"]) * d["x"] + (p["z"] - a0["z"]) * d["z"]
+        off = (F.abs(cross(d, wall_direction(b0, b1))) > 1e-3) | (F.abs(d["x"] * (b0["z"] - a0["z"]) - d["z"] * (b0["x"] - a0["x"])) > tolerance)
+        return F.when(off, F.lit(0.0)).otherwise(let(F.struct(along(a1).alias("end"), along(b0).alias("p"), along(b1).alias("q")), on_line))
+
+    return let(wall_direction(a0, a1), shared)
+
+
+def image_rect(origin: Column, ppm: Column, width: Column, height: Column) -> Column:
+    """The plan image's rectangle in metres: least and greatest corner."""
+    return F.struct(plan_to_world(point(F.lit(0.0), F.lit(0.0)), origin, ppm).alias("least"), plan_to_world(point(width, height), origin, ppm).alias("greatest"))

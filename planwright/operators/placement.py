@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from planwright.functions import geometry as G
 from planwright.operators.rules import union_rules
 
-TOLERANCE = 0.005
-#: Free depth in front of an item unless its kind asks for more.
-WALKING = 0.6
+#: The constraints of a placement.
+WALKING_CLEARANCE, WALL_GAP, TOLERANCE = 0.6, 0.02, 0.005
+BLOCKING = ("outside-room", "wall-collision", "fixture-collision")
+#: Severity, category and wording of each issue.
+SEVERITY = {"outside-room": "hard", "wall-collision": "hard", "fixture-collision": "hard", "furniture-collision": "hard", "door-swing": "hard", "door-clearance": "soft", "window-blocked": "soft", "front-clearance": "soft"}
+CATEGORY = {"outside-room": "structural", "wall-collision": "structural", "fixture-collision": "structural", "furniture-collision": "furniture", "door-swing": "functional", "door-clearance": "functional", "window-blocked": "functional", "front-clearance": "clearance"}
+RULE = {"outside-room": "room containment", "wall-collision": "wall clearance", "fixture-collision": "fixed fittings", "furniture-collision": "other furniture", "door-swing": "door swing", "door-clearance": "door clearance", "window-blocked": "window access", "front-clearance": "walkway clearance"}
+
+
+def looked_up(table: dict[str, str], key: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
 
 
 def footprint(position: Column, width: Column, depth: Column, rotation: Column) -> Column:
@@ -19,30 +27,80 @@ def footprint(position: Column, width: Column, depth: Column, rotation: Column)
 
 def front_clearance(position: Column, width: Column, depth: Column, rotation: Column, clearance: Column) -> Column:
     """Rectangle in front of an item, as deep as its rule or the walking distance asks."""
-    deep = F.greatest(clearance, F.lit(WALKING))
+    deep = F.greatest(clearance, F.lit(WALKING_CLEARANCE))
     centre = G.add(position, G.rotate(G.point(F.lit(0.0), depth / 2 + deep / 2), rotation))
     return G.oriented_rect(centre, width, deep, rotation)
 
 
-def placement_issues(items: DataFrame, rooms: DataFrame, obstacles: DataFrame) -> DataFrame:
-    """Issues (floor_id, item_id, code, amount, hard) of placed items.
+def obstacles(walls: DataFrame, fixtures: DataFrame, furniture: DataFrame, zones: DataFrame) -> DataFrame:
+    """What items may meet: floor_id, kind, issue, other_id, rank, min_item_top, parts (convex) and their bounds."""
+    cols = lambda kind, issue, other, rank, top, polygon: [F.lit(kind).alias("kind"), issue.alias("issue"), other.cast("string").alias("other_id"), rank.alias("rank"), top.cast("double").alias("min_item_top"), polygon.alias("polygon")]
+    none, zero = F.lit(None), F.lit("")
+    f = furniture.where("collides")
+    rows = union_rules(
+        walls.select("floor_id", *cols("wall", F.lit("wall-collision"), F.col("wall_id"), zero, none, G.wall_footprint(F.col("start"), F.col("end"), F.col("thickness")))),
+        fixtures.select("floor_id", *cols("fixture", F.lit("fixture-collision"), F.col("id"), zero, none, F.col("footprint"))),
+        f.select("floor_id", *cols("furniture", F.lit("furniture-collision"), F.col("item_id"), zero, none, footprint(F.col("position"), F.col("width"), F.col("depth"), F.col("rotation")))),
+        zones.select("floor_id", *cols("zone", F.col("issue"), F.col("source_id"), F.col("zone_id"), F.col("min_item_top"), F.col("polygon"))),
+    )
+    return rows.select("floor_id", "kind", "issue", "other_id", "rank", "min_item_top", G.convex_parts("polygon").alias("parts"), G.bounds(F.col("polygon")).alias("box"))
+
+
+def _boxes_meet(a: str, b: str) -> Column:
+    c = lambda x: F.col(x)
+    return (c(f"{a}.min_x") < c(f"{b}.max_x")) & (c(f"{b}.min_x") < c(f"{a}.max_x")) & (c(f"{a}.min_z") < c(f"{b}.max_z")) & (c(f"{b}.min_z") < c(f"{a}.max_z"))
+
+
+def placement_issues(items: DataFrame, rooms: DataFrame, walls: DataFrame, fixtures: DataFrame, furniture: DataFrame, zones: DataFrame, require_clear: tuple[str, ...] = ()) -> DataFrame:
+    """Issues of placed items: floor_id, item_id, code, severity, category, other_id, amount in metres.
 
-    ``items``: floor_id, item_id, room_id, polygon, low; ``rooms``: floor_id, room_id, polygon;
-    ``obstacles``: floor_id, obstacle_id, kind (wall, fixture, furniture, swing, access), polygon.
-    The floor is the equi-key, bounding boxes cut the pairs before the overlap test; low items pass
-    access zones; an item never meets itself.
+    ``items`` and ``furniture``: floor_id, item_id, room_id, position, rotation, width, depth, height,
+    elevation, collides, front_clearance (0 for none); ``rooms``: floor_id, room_id, ord, polygon;
+    ``walls``, ``fixtures`` (id, footprint) and ``zones`` as elsewhere.  The floor is the equi-key,
+    bounding boxes cut the pairs before the overlap tests.  An item lies in its own room, else in the
+    first that holds it; items that don't collide, such as rugs, ignore furniture, zones and the free
+    space in front.  A blocked swing says all about its door, and a door counts one access zone.
     """
-    own = items.join(rooms.withColumnRenamed("polygon", "room_polygon"), ["floor_id", "room_id"], "left")
-    out = G.protrusion(F.col("polygon"), F.col("room_polygon"))
-    missing = own.where("room_polygon IS NULL").select("floor_id", "item_id", F.lit("missing-room").alias("code"), F.lit(None).cast("double").alias("amount"), F.lit(True).alias("hard"))
-    outside = own.where("room_polygon IS NOT NULL").withColumn("amount", out).where(F.col("amount") > TOLERANCE).select("floor_id", "item_id", F.lit("outside-room").alias("code"), "amount", F.lit(True).alias("hard"))
-    a = items.withColumn("_a", G.bounds(F.col("polygon")))
-    b = obstacles.select("floor_id", "obstacle_id", "kind", F.col("polygon").alias("other"), G.bounds(F.col("polygon")).alias("_b"))
-    near = (F.col("_a.min_x") < F.col("_b.max_x")) & (F.col("_b.min_x") < F.col("_a.max_x")) & (F.col("_a.min_z") < F.col("_b.max_z")) & (F.col("_b.min_z") < F.col("_a.max_z"))
-    met = a.join(b, "floor_id").where(near & ((F.col("kind") != "furniture") | (F.col("item_id") != F.col("obstacle_id"))) & ~(F.col("low") & (F.col("kind") == "access")))
-    hit = met.withColumn("amount", G.overlap_depth(F.col("polygon"), F.col("other"))).where(F.col("amount") > TOLERANCE)
-    overlaps = hit.groupBy("floor_id", "item_id", F.concat(F.lit("overlaps-"), F.col("kind")).alias("code")).agg(F.max("amount").alias("amount"), F.max(F.col("kind").isin("wall", "fixture", "furniture")).alias("hard"))
-    return union_rules(missing, outside, overlaps)
+    own = footprint(F.col("position"), F.col("width"), F.col("depth"), F.col("rotation"))
+    a = items.withColumn("polygon", own).withColumn("box", G.bounds(F.col("polygon")))
+    r = rooms.select("floor_id", F.col("room_id").alias("in_room"), "ord", F.col("polygon").alias("room_polygon"))
+    held = a.join(r, "floor_id").where(G.contains_polygon(F.col("room_polygon"), F.col("polygon"), TOLERANCE))
+    rank = F.struct((F.col("in_room") != F.col("room_id")).alias("other"), "ord")
+    home = held.groupBy("floor_id", "item_id").agg(F.min_by(F.struct("in_room", "room_polygon"), rank).alias("home"))
+    a = a.join(home, ["floor_id", "item_id"], "left")
+    lost = a.where("home IS NULL").drop("home").join(r.withColumnRenamed("in_room", "room_id").drop("ord"), ["floor_id", "room_id"], "left")
+    outside = lost.select("floor_id", "item_id", F.lit("outside-room").alias("code"), F.col("room_id").cast("string").alias("other_id"), G.protrusion(F.col("polygon"), F.col("room_polygon")).alias("amount"))
+
+    met = a.withColumnRenamed("box", "own_box").join(obstacles(walls, fixtures, furniture, zones), "floor_id").where(_boxes_meet("own_box", "box"))
+    relevant = F.col("kind").isin("wall", "fixture") | (F.col("collides") & ((F.col("kind") != "furniture") | (F.col("other_id") != F.col("item_id").cast("string"))))
+    tall = F.col("min_item_top").isNull() | (F.coalesce("elevation", F.lit(0.0)) + F.col("height") > F.col("min_item_top"))
+    hit = met.where(relevant & tall).withColumn("amount", G.parts_overlap_depth(F.array("polygon"), F.col("parts"))).where(F.col("amount") > TOLERANCE)
+    door = Window.partitionBy("floor_id", "item_id", "other_id")
+    swung = F.max((F.col("issue") == "door-swing").cast("int")).over(door)
+    first = F.row_number().over(Window.partitionBy("floor_id", "item_id", "other_id", "issue").orderBy("rank"))
+    hit = hit.withColumns({"_swung": swung, "_first": first})
+    spare = (F.col("issue") == "door-clearance") & ((F.col("_swung") == 1) | (F.col("_first") > 1))
+    hits = hit.where(~spare).select("floor_id", "item_id", F.col("issue").alias("code"), "other_id", "amount")
+
+    need = a.where("collides AND front_clearance > 0").withColumn("zone", front_clearance(F.col("position"), F.col("width"), F.col("depth"), F.col("rotation"), F.col("front_clearance")))
+    need = need.withColumn("zone_box", G.bounds(F.col("zone")))
+    room = F.col("home.room_polygon")
+    short = need.where(room.isNotNull()).select("floor_id", "item_id", F.when(~G.contains_polygon(room, F.col("zone"), TOLERANCE), G.protrusion(F.col("zone"), room)).otherwise(F.lit(0.0)).alias("amount"))
+    others = obstacles(walls, fixtures, furniture, zones).where("kind IN ('fixture', 'furniture')")
+    near = need.drop("box").join(others, "floor_id").where(_boxes_meet("zone_box", "box") & (F.col("other_id") != F.col("item_id").cast("string")) | (F.col("kind") == "fixture") & _boxes_meet("zone_box", "box"))
+    short = short.unionByName(near.select("floor_id", "item_id", G.parts_overlap_depth(F.array("zone"), F.col("parts")).alias("amount")))
+    front = short.groupBy("floor_id", "item_id").agg(F.max("amount").alias("amount")).where(F.col("amount") > TOLERANCE)
+    front = front.select("floor_id", "item_id", F.lit("front-clearance").alias("code"), F.lit(None).cast("string").alias("other_id"), "amount")
+
+    out = union_rules(outside, hits, front)
+    severity = F.when(F.col("code").isin(*require_clear), "hard").otherwise(looked_up(SEVERITY, F.col("code"))) if require_clear else looked_up(SEVERITY, F.col("code"))
+    return out.select("floor_id", "item_id", "code", severity.alias("severity"), looked_up(CATEGORY, F.col("code")).alias("category"), "other_id", F.round("amount", 3).alias("amount"))
+
+
+def reports(items: DataFrame, issues: DataFrame) -> DataFrame:
+    """Whether each item's placement breaks a hard rule, and one that stops a move."""
+    g = issues.groupBy("floor_id", "item_id").agg(F.bool_or(F.col("severity") == "hard").alias("hard"), F.bool_or(F.col("code").isin(*BLOCKING)).alias("blocked"), F.count(F.lit(1)).alias("n_issues"))
+    return items.select("floor_id", "item_id").join(g, ["floor_id", "item_id"], "left").fillna(False, ["hard", "blocked"]).fillna(0, ["n_issues"])
 
 
 def wall_candidates(requests: DataFrame, rooms: DataFrame, step: float = 0.05) -> DataFrame:

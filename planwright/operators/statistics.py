@@ -6,12 +6,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges into which a group's values are dealt.
+PARTS = 1024
+
 
 def summary(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Mean, upper median (the later of a middle pair), greatest value and count per group."""
-    ordered = F.array_sort(F.collect_list(value))
-    g = df.where(F.col(value).isNotNull()).groupBy(by).agg(F.avg(value).alias("mean"), ordered.alias("v"), F.max(value).alias("max"), F.count(value).alias("n"))
-    return g.select(by, "mean", F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int")).alias("upper_median"), "max", "n")
+    """Mean, upper median (the later of a middle pair), greatest value and count per group.
+
+    Values are counted before they are ordered, in ranges of a group's values that are dealt to many
+    tasks; the median is looked for in the one range that holds it, so no group is gathered.
+    """
+    d = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
+    whole = d.groupBy(by).agg(F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("max"), F.count(F.lit(1)).alias("n"))
+    counts = d.groupBy(by, "v").agg(F.count(F.lit(1)).alias("k")).join(whole, by)
+    wide = F.col("max") - F.col("low")
+    counts = counts.withColumn("part", F.when(wide > 0, F.least(F.floor((F.col("v") - F.col("low")) / wide * PARTS), F.lit(PARTS - 1))).otherwise(F.lit(0)))
+    parts = counts.groupBy(by, "part").agg(F.sum("k").alias("in_part"))
+    parts = parts.withColumn("before", F.sum("in_part").over(Window.partitionBy(by).orderBy("part")) - F.col("in_part"))
+    middle = F.floor(F.col("n") / 2)
+    held = counts.join(parts, [by, "part"]).where((F.col("before") <= middle) & (middle < F.col("before") + F.col("in_part")))
+    up_to = F.col("before") + F.sum("k").over(Window.partitionBy(by, "part").orderBy("v"))
+    found = held.withColumn("up_to", up_to).where(F.col("up_to") > middle).groupBy(by).agg(F.min("v").alias("upper_median"))
+    return whole.join(found, by).select(by, "mean", "upper_median", "max", "n")
 
 
 def histogram(df: DataFrame, bin_expr: Column, by: list[str], bins: int = 256) -> DataFrame:
@@ -45,19 +61,27 @@ def stretch(hist: DataFrame, by: list[str], low: float = 0.005, high: float = 0.
     return g.select(*by, "lo", "hi", F.when(wide, F.lit(255.0) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(1.0)).alias("gain"))
 
 
-def band(value: Column, low: float, best_low: float, best_high: float, high: float) -> Column:
-    """1 inside the best band, falling to 0 at the outer bounds."""
-    rise, fall = (value - low) / (best_low - low), (high - value) / (high - best_high)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), rise, fall))
+def _clamped(value: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+
+
+def band(value: Column, low: float, high: float, soft: float) -> Column:
+    """1 from ``low`` to ``high``, falling to 0 over ``soft`` beyond either."""
+    return _clamped(F.when(value < low, 1 - (low - value) / soft).when(value > high, 1 - (value - high) / soft).otherwise(F.lit(1.0)))
 
 
 def verdict(scores: list[Column]) -> tuple[Column, Column]:
-    """Geometric mean of band scores, kept off 0 and 1, and its word."""
+    """A confidence from the geometric mean of scores, never certain either way, and its word."""
     product = scores[0]
     for s in scores[1:]:
         product = product * s
-    mean = F.least(F.lit(0.97), F.greatest(F.lit(0.03), F.pow(product, F.lit(1.0 / len(scores)))))
-    return mean, F.when(mean >= 0.6, "likely").when(mean >= 0.3, "uncertain").otherwise("unlikely")
+    mean = F.round(F.least(F.lit(0.97), F.greatest(F.lit(0.03), 0.03 + 0.94 * F.pow(product, F.lit(1.0 / len(scores))))), 3)
+    return mean, F.when(mean >= 0.6, "LIKELY_FLOOR_PLAN").when(mean >= 0.3, "UNCERTAIN").otherwise("UNLIKELY_FLOOR_PLAN")
+
+
+def document_check(ink: Column, straight: Column, paper: Column, specks: Column) -> tuple[Column, Column]:
+    """Whether an image is a plan, from the shares of ink, straight ink, plain paper and specks."""
+    return verdict([band(ink, 0.01, 0.3, 0.15), _clamped((straight - 0.08) / 0.3), _clamped((paper - 0.25) / 0.35), _clamped(1 - (specks - 0.15) / 0.3)])
 
 
 def weighted_confidence(parts: dict[str, tuple[Column, float]]) -> Column:

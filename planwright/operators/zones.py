@@ -1,4 +1,4 @@
-"""Floor zones that must stay free, topology along walls, and validation of floors."""
+"""Floor zones that must stay usable, and topology: the rooms beside walls, doors and windows."""
 
 from __future__ import annotations
 
@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
-from planwright.operators.rules import union_rules
+from planwright.operators.spatial import room_at
 
-#: Depth a door needs on each side and a window on each side, in metres.
-DOOR_ACCESS, WINDOW_ACCESS = 0.6, 0.3
-#: How far beside a wall's face a room is looked for.
-BESIDE = 0.08
+#: Free depth on both sides of doors and in front of windows, in metres.
+DOOR_CLEARANCE, WINDOW_CLEARANCE = 0.8, 0.3
+#: How far beside a wall's face a room is looked for, the step along a wall, and the most steps.
+SIDE_PROBE, ALONG, MOST_STEPS = 0.08, 0.1, 400
 
 
-def wall_side_rect(start: Column, end: Column, thickness: Column, begin: Column, stop: Column, depth: Column, side: int) -> Column:
+def wall_side_rect(start: Column, end: Column, thickness: Column, begin: Column, stop: Column, depth: Column, side: Column | int) -> Column:
     """Rectangle on one side of a wall along a span of it."""
     near, far = thickness / 2 * side, (thickness / 2 + depth) * side
     at = lambda offset, out: G.point_along_wall(start, end, offset, out)
@@ -28,71 +28,90 @@ def swing_depth(kind: Column, width: Column) -> Column:
     return F.when(kind == "hinged", width).when(kind.isin("double", "bifold"), width / 2).otherwise(F.lit(0.0))
 
 
-def functional_zones(walls: DataFrame, doors: DataFrame, windows: DataFrame) -> DataFrame:
-    """Swing and access zones of doors and windows: (floor_id, opening_id, zone, polygon).
+def functional_zones(walls: DataFrame, doors: DataFrame, windows: DataFrame, door: float = DOOR_CLEARANCE, window: float = WINDOW_CLEARANCE, swings: bool = True) -> DataFrame:
+    """Zones of doors and windows: floor_id, zone_id, kind, issue, source_id, label, min_item_top, polygon.
 
-    ``walls``: floor_id, wall_id, start, end, thickness; ``doors``: floor_id, id, wall_id, offset,
-    width, kind, swing_side; ``windows``: the same without kind and side.  Openings without a wall
-    have no zone.
+    ``walls``: floor_id, wall_id, start, end, thickness; ``doors``: floor_id, id, wall_id, offset, width,
+    kind, swing_side, note; ``windows``: floor_id, id, wall_id, offset, width, sill_height.  Openings
+    without a wall have no zone.
     """
     d, w = doors.join(walls, ["floor_id", "wall_id"]), windows.join(walls, ["floor_id", "wall_id"])
 
-    def rect(depth: Column, side: int) -> Column:
+    def rect(depth: Column, side: Column | int) -> Column:
         begin = F.col("offset") - F.col("width") / 2
         return wall_side_rect(F.col("start"), F.col("end"), F.col("thickness"), begin, begin + F.col("width"), depth, side)
 
-    def zone(df: DataFrame, name: str, polygon: Column) -> DataFrame:
-        return df.select("floor_id", F.col("id").alias("opening_id"), F.lit(name).alias("zone"), polygon.alias("polygon"))
+    def zone(df: DataFrame, name: str, kind: str, issue: str, label: Column, top: Column, polygon: Column) -> DataFrame:
+        return df.select("floor_id", F.concat(F.col("id").cast("string"), F.lit(f":{name}")).alias("zone_id"), F.lit(kind).alias("kind"), F.lit(issue).alias("issue"), F.col("id").alias("source_id"), label.alias("label"), top.cast("double").alias("min_item_top"), polygon.alias("polygon"))
 
-    reach = swing_depth(F.col("kind"), F.col("width"))
-    swing = zone(d.where(reach > 0), "swing", F.when(F.col("swing_side") >= 0, rect(reach, 1)).otherwise(rect(reach, -1)))
-    parts = [swing]
-    for k, side in enumerate((1, -1)):
-        parts += [zone(d, f"access{k}", rect(F.lit(DOOR_ACCESS), side)), zone(w, f"window{k}", rect(F.lit(WINDOW_ACCESS), side))]
+    reach, none = swing_depth(F.col("kind"), F.col("width")), F.lit(None)
+    label = F.lower(F.coalesce("note", F.when(F.col("kind") == "opening", "opening").otherwise("door")))
+    side = F.when(F.col("swing_side") >= 0, 1).otherwise(-1)
+    parts = [zone(d.where(reach > 0), "swing", "door-swing", "door-swing", label, none, rect(reach, side))] if swings else []
+    for k, s in enumerate((1, -1)):
+        parts.append(zone(d, f"access{k}", "door-access", "door-clearance", label, none, rect(F.lit(door), s)))
+        parts.append(zone(w, f"access{k}", "window-access", "window-blocked", F.lit("window"), F.col("sill_height"), rect(F.lit(window), s)))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _probed(points: DataFrame, rooms: DataFrame, keys: list[str]) -> DataFrame:
+    """The first room at each probe (keys, at): keys and room_id."""
+    own = points.select("floor_id", F.struct(*keys).alias("probe"), "at")
+    return room_at(own, rooms.select("floor_id", "room_id", "ord", "polygon"), "floor_id", "probe", "room_id").select("floor_id", *[F.col(f"probe.{k}").alias(k) for k in keys], "room_id")
+
+
+def _sides(df: DataFrame, offset: Column) -> DataFrame:
+    """Two probes beside a wall at an offset along it, side -1 before side 1."""
+    d = df.withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1))))
+    return d.withColumn("at", G.point_along_wall(F.col("start"), F.col("end"), offset, (F.col("thickness") / 2 + SIDE_PROBE) * F.col("side")))
+
+
 def rooms_beside_walls(walls: DataFrame, rooms: DataFrame) -> DataFrame:
     """The first room on each side of each wall's middle: (floor_id, wall_id, side, room_id)."""
-    half = G.length(G.sub(F.col("end"), F.col("start"))) / 2
-    sides = F.explode(F.array(F.lit(1), F.lit(-1)))
-    probes = walls.select("*", sides.alias("side"))
-    at = G.point_along_wall(F.col("start"), F.col("end"), half, (F.col("thickness") / 2 + BESIDE) * F.col("side"))
-    probes = probes.select("floor_id", "wall_id", "side", at.alias("at"))
-    hits = probes.join(rooms.withColumn("_b", G.bounds(F.col("polygon"))), "floor_id")
-    box = (F.col("at.x") >= F.col("_b.min_x")) & (F.col("at.x") <= F.col("_b.max_x")) & (F.col("at.z") >= F.col("_b.min_z")) & (F.col("at.z") <= F.col("_b.max_z"))
-    inside = hits.where(box).where(G.strictly_contains(F.col("polygon"), F.col("at")))
-    found = inside.groupBy("floor_id", "wall_id", "side").agg(F.min_by("room_id", "ord").alias("room_id"))
-    return probes.select("floor_id", "wall_id", "side").join(found, ["floor_id", "wall_id", "side"], "left")
-
-
-def floor_issues(rooms: DataFrame, walls: DataFrame, doors: DataFrame) -> DataFrame:
-    """Validation of floors as issues (floor_id, code, severity, entity); NaN fails every bound.
-
-    Each rule set is one pass over its relation; references are anti-joins and overlapping openings
-    an interval join on the wall.
-    """
-    def bad(c: Column) -> Column:
-        return F.coalesce(F.isnan(c) | ~(c > 0), F.lit(True))
-
-    def per_row(df: DataFrame, entity: str, found: dict[str, tuple[str, Column]]) -> DataFrame:
-        hits = F.array_compact(F.array(*[F.when(broken, F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"))) for c, (s, broken) in found.items()]))
-        return df.select("floor_id", F.col(entity).alias("entity"), F.explode(hits).alias("h")).select("floor_id", "h.code", "h.severity", "entity")
-
-    p = F.col("polygon")
-    numbers = F.exists(p, lambda q: F.isnan(q["x"]) | F.isnan(q["z"]))
-    room_rules = per_row(rooms, "room_id", {
-        "room-polygon": ("error", F.size(p) < 3), "room-nan": ("error", numbers), "room-area": ("error", (F.size(p) >= 3) & ~(G.area(p) >= 0.05)),
-        "room-self-intersection": ("error", G.self_intersects(p)), "room-ceiling": ("error", bad(F.col("ceiling_height"))),
-    })
+    return _probed(_sides(walls, G.distance(F.col("start"), F.col("end")) / 2), rooms, ["wall_id", "side"])
+
+
+def rooms_along_walls(walls: DataFrame, rooms: DataFrame) -> DataFrame:
+    """Rooms that touch either face of a wall, probed about every ALONG metres: (floor_id, wall_id, room_id)."""
     span = G.distance(F.col("start"), F.col("end"))
-    wall_rules = per_row(walls, "wall_id", {"wall-zero": ("error", F.isnan(span) | ~(span > 1e-6)), "wall-thickness": ("error", bad(F.col("thickness")))})
-    on_wall = doors.join(walls, ["floor_id", "wall_id"])
-    begin, stop = F.col("offset") - F.col("width") / 2, F.col("offset") + F.col("width") / 2
-    door_rules = per_row(on_wall, "id", {"opening-width": ("error", bad(F.col("width"))), "opening-outside": ("error", (begin < -G.EPS) | (stop > G.distance(F.col("start"), F.col("end")) + G.EPS))})
-    missing = doors.join(walls.select("floor_id", "wall_id"), ["floor_id", "wall_id"], "left_anti").select("floor_id", F.lit("door-missing-wall").alias("code"), F.lit("error").alias("severity"), F.col("id").alias("entity"))
-    s = doors.select("floor_id", "wall_id", "id", begin.alias("a"), stop.alias("b"))
-    t = s.select("floor_id", "wall_id", F.col("id").alias("id2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    over = s.join(t, ["floor_id", "wall_id"]).where((F.col("id") < F.col("id2")) & (F.col("a") < F.col("b2") - G.EPS) & (F.col("a2") < F.col("b") - G.EPS))
-    overlap = over.select("floor_id", F.lit("opening-overlap").alias("code"), F.lit("error").alias("severity"), F.col("id").alias("entity"))
-    return union_rules(room_rules, wall_rules, door_rules, missing, overlap)
+    steps = F.least(F.lit(MOST_STEPS), F.greatest(F.lit(2), F.ceil(span / ALONG).cast("int")))
+    d = walls.withColumn("span", span).withColumn("steps", steps).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("steps"))))
+    found = _probed(_sides(d, F.col("span") * F.col("step") / F.col("steps")), rooms, ["wall_id", "side", "step"])
+    return found.where("room_id IS NOT NULL").select("floor_id", "wall_id", "room_id").distinct()
+
+
+def rooms_of_openings(openings: DataFrame, walls: DataFrame, rooms: DataFrame) -> DataFrame:
+    """Rooms on both sides of doors or windows: (floor_id, id, side, room_id); openings without a wall give no row."""
+    return _probed(_sides(openings.join(walls.select("floor_id", "wall_id", "start", "end", "thickness"), ["floor_id", "wall_id"]), F.col("offset")), rooms, ["id", "side"])
+
+
+def topology(rooms: DataFrame, walls: DataFrame, doors: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Doors with the rooms they connect, and rooms with the walls, doors and windows they touch."""
+    beside = rooms_of_openings(doors, walls, rooms)
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("room_id")))
+    connects = beside.groupBy("floor_id", "id").agg(side(-1).alias("negative"), side(1).alias("positive"))
+    linked = doors.join(connects, ["floor_id", "id"], "left")
+
+    def ids(pairs: DataFrame, of: DataFrame, key: str, name: str) -> DataFrame:
+        d = pairs.where("room_id IS NOT NULL").select("floor_id", key, "room_id").distinct().join(of.select("floor_id", F.col(key), F.col("ord").alias("_o")), ["floor_id", key])
+        return d.groupBy("floor_id", "room_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_o", key))), lambda x: x[key]).alias(name))
+
+    out = rooms
+    for part in (ids(rooms_along_walls(walls, rooms), walls, "wall_id", "wall_ids"), ids(beside, doors, "id", "door_ids"), ids(rooms_of_openings(windows, walls, rooms), windows, "id", "window_ids")):
+        out = out.join(part, ["floor_id", "room_id"], "left")
+    return linked, out
+
+
+def room_metrics(rooms: DataFrame) -> DataFrame:
+    """Area, centroid, extents and perimeter of each room."""
+    p, b = F.col("polygon"), G.bounds(F.col("polygon"))
+    return rooms.select("floor_id", "room_id", G.area(p).alias("area"), G.centroid(p).alias("centroid"), (b["max_x"] - b["min_x"]).alias("width"), (b["max_z"] - b["min_z"]).alias("depth"), G.perimeter(p).alias("perimeter"))
+
+
+def resolved_rooms(rooms: DataFrame, asked: DataFrame) -> DataFrame:
+    """The room each query (floor_id, query) means: by id, else by name, else by a name that holds or is held by it."""
+    q, name = F.lower(F.trim("query")), F.lower("name")
+    rank = F.when(F.col("room_id") == q, 0).when(name == q, 1).when(F.contains(name, q) | F.contains(q, name), 2)
+    d = asked.join(rooms.select("floor_id", "room_id", "name", "ord"), "floor_id").withColumn("rank", rank).where("rank IS NOT NULL")
+    found = d.groupBy("floor_id", "query").agg(F.min_by("room_id", F.struct("rank", "ord")).alias("room_id"))
+    return asked.join(found, ["floor_id", "query"], "left")

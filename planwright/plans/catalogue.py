@@ -5,39 +5,14 @@ Each query applies an operator to the driver's tables, whose columns stand in fo
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
-from planwright.functions import labels as L
 from planwright.operators import calibration, editing, rules, spans, spatial, statistics
+from planwright.plans.registry import query
 from planwright.sources import tables
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
-
 R = G.rounded
 
 
@@ -169,51 +144,6 @@ def bucketed_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.near(a, b, "nation", "bal", 100.0).select("s_suppkey", "c_custkey", R(F.abs(F.col("bal") - F.col("bal_right"))).alias("gap"))
 
 
-LABEL_SQL = """CASE p_partkey % 5 WHEN 0 THEN p_size || ',5 m x ' || p_size || '.25 m' WHEN 1 THEN (p_size * 100 + 1000) || ' x ' || (p_size * 10 + 2000) || ' mm'
-  WHEN 2 THEN p_size || '.75 m' WHEN 3 THEN p_size || '''6"' ELSE p_name END"""
-
-
-@query(f"""
-WITH t AS (SELECT p_partkey, p_size, {LABEL_SQL} AS text FROM part)
-SELECT p_partkey, text, CASE p_partkey % 5 WHEN 0 THEN p_size + 0.5 WHEN 1 THEN floor(((p_size * 100 + 1000) * CAST(0.001 AS DOUBLE)) * 1e6 + 0.5) / 1e6 WHEN 2 THEN p_size + 0.75
-    WHEN 3 THEN floor(CAST((p_size * 12 + 6) AS DOUBLE) * CAST(0.0254 AS DOUBLE) * 1e6 + 0.5) / 1e6 END AS width,
-  CASE p_partkey % 5 WHEN 0 THEN p_size + 0.25 WHEN 1 THEN floor(((p_size * 10 + 2000) * CAST(0.001 AS DOUBLE)) * 1e6 + 0.5) / 1e6 END AS depth FROM t""")
-def parse_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("p_size").cast("string")
-    k = F.col("p_partkey") % 5
-    text = (
-        F.when(k == 0, F.concat(s, F.lit(",5 m x "), s, F.lit(".25 m")))
-        .when(k == 1, F.concat((F.col("p_size") * 100 + 1000).cast("string"), F.lit(" x "), (F.col("p_size") * 10 + 2000).cast("string"), F.lit(" mm")))
-        .when(k == 2, F.concat(s, F.lit(".75 m")))
-        .when(k == 3, F.concat(s, F.lit("'6\"")))
-        .otherwise(F.col("p_name"))
-    )
-    d = tables.load(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
-    found = L.parse_dimension(F.col("text"))
-    return d.select("p_partkey", "text", R(found["width"]).alias("width"), R(found["depth"]).alias("depth"))
-
-
-@query("""
-WITH lex AS (SELECT unnest(['click', 'purchases', 'errors', 'signin', 'views', 'clerk']) AS entry, unnest(range(6)) AS ord),
-t AS (SELECT DISTINCT event_type AS token FROM events),
-m AS (SELECT token, entry, ord, levenshtein(token, entry) AS d FROM t, lex WHERE levenshtein(token, entry) <= CASE WHEN length(token) <= 3 THEN 0 WHEN length(token) <= 5 THEN 1 ELSE 2 END)
-SELECT token, (SELECT entry FROM m WHERE m.token = t.token ORDER BY d, ord LIMIT 1) AS entry FROM t""")
-def fuzzy_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexicon = ["click", "purchases", "errors", "signin", "views", "clerk"]
-    tokens = tables.load(spark, sf_dir, "events").select(F.col("event_type").alias("token")).distinct()
-    entries = F.array(*[F.struct(F.levenshtein("token", F.lit(e)).alias("d"), F.lit(i).alias("ord"), F.lit(e).alias("entry")) for i, e in enumerate(lexicon)])
-    near = F.array_min(F.filter(entries, lambda e: e["d"] <= L.edit_bound(F.length("token"))))
-    return tokens.select("token", near["entry"].alias("entry"))
-
-
-@query("""
-SELECT user_id, count(DISTINCT event_type) FILTER (WHERE event_type IN ('click', 'purchase', 'refund')) / 3.0 AS recall FROM events GROUP BY user_id""")
-def label_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = F.array(*map(F.lit, ("click", "purchase", "refund")))
-    found = tables.load(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("seen"))
-    return found.select("user_id", (F.size(F.array_intersect("seen", truth)) / 3.0).alias("recall"))
-
-
 @query("""
 WITH g AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS sec, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events),
 m AS (SELECT user_id, median(gap) AS med FROM g GROUP BY user_id),
@@ -258,14 +188,15 @@ def contrast_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
 WITH s AS (SELECT doc_id, CAST(length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS DOUBLE) / greatest(length(text), 1) AS letters,
   CAST(length(regexp_replace(text, '[^ \n]', '', 'g')) AS DOUBLE) / greatest(length(text), 1) AS spaces FROM documents),
-b AS (SELECT doc_id, greatest(0, least(1, (letters - 0.2) / (0.6 - 0.2), (1.05 - letters) / (1.05 - 0.9))) AS a, greatest(0, least(1, (spaces - 0.02) / (0.1 - 0.02), (0.5 - spaces) / (0.5 - 0.25))) AS c FROM s),
-g AS (SELECT doc_id, least(0.97, greatest(0.03, pow(a * c, 0.5))) AS score FROM b)
-SELECT doc_id, floor(score * 1e6 + 0.5) / 1e6 AS score, CASE WHEN score >= 0.6 THEN 'likely' WHEN score >= 0.3 THEN 'uncertain' ELSE 'unlikely' END AS verdict FROM g""")
+b AS (SELECT doc_id, greatest(0, least(1, CASE WHEN letters < CAST(0.6 AS DOUBLE) THEN 1 - (CAST(0.6 AS DOUBLE) - letters) / CAST(0.4 AS DOUBLE) WHEN letters > CAST(0.9 AS DOUBLE) THEN 1 - (letters - CAST(0.9 AS DOUBLE)) / CAST(0.4 AS DOUBLE) ELSE 1.0 END)) AS a,
+  greatest(0, least(1, CASE WHEN spaces < CAST(0.1 AS DOUBLE) THEN 1 - (CAST(0.1 AS DOUBLE) - spaces) / CAST(0.08 AS DOUBLE) WHEN spaces > CAST(0.25 AS DOUBLE) THEN 1 - (spaces - CAST(0.25 AS DOUBLE)) / CAST(0.08 AS DOUBLE) ELSE 1.0 END)) AS c FROM s),
+g AS (SELECT doc_id, round(least(CAST(0.97 AS DOUBLE), greatest(CAST(0.03 AS DOUBLE), CAST(0.03 AS DOUBLE) + CAST(0.94 AS DOUBLE) * pow(a * c, 0.5))), 3) AS score FROM b)
+SELECT doc_id, score, CASE WHEN score >= 0.6 THEN 'LIKELY_FLOOR_PLAN' WHEN score >= 0.3 THEN 'UNCERTAIN' ELSE 'UNLIKELY_FLOOR_PLAN' END AS verdict FROM g""")
 def band_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = lambda keep: F.length(F.regexp_replace("text", keep, "")).cast("double") / F.greatest(F.length("text"), F.lit(1))
     d = tables.load(spark, sf_dir, "documents").select("doc_id", share("[^a-zA-Z]").alias("letters"), share(r"[^ \n]").alias("spaces"))
-    score, word = statistics.verdict([statistics.band(F.col("letters"), 0.2, 0.6, 0.9, 1.05), statistics.band(F.col("spaces"), 0.02, 0.1, 0.25, 0.5)])
-    return d.select("doc_id", R(score).alias("score"), word.alias("verdict"))
+    score, word = statistics.verdict([statistics.band(F.col("letters"), 0.6, 0.9, 0.4), statistics.band(F.col("spaces"), 0.1, 0.25, 0.08)])
+    return d.select("doc_id", score.alias("score"), word.alias("verdict"))
 
 
 @query("""

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from planwright.plans import catalogue
+from planwright.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,15 +31,15 @@ def rows(df: pd.DataFrame) -> list[str]:
     return sorted(str(tuple(map(value, r))) for r in df[cols].astype(object).values.tolist())
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     got = entry.queries()[name](spark, SF).toPandas()
-    want = duck.execute(catalogue.oracle_sql()[name]).df()
+    want = duck.execute(registry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() >= 0
 

@@ -55,18 +55,18 @@ def floor(spark):
     return rooms, walls, doors
 
 
-def test_floor_issues(spark):
-    got = {(r.code, r.entity) for r in zones.floor_issues(*floor(spark)).collect()}
-    assert got == {("room-self-intersection", "r2"), ("room-area", "r2"), ("room-ceiling", "r2"), ("wall-zero", "w2"), ("wall-thickness", "w2"), ("opening-outside", "d4"), ("door-missing-wall", "d3"), ("opening-overlap", "d1")}
-
-
 def test_zones_and_topology(spark):
     rooms, walls, doors = floor(spark)
-    windows = doors.where("id = 'd2'").select("floor_id", "id", "wall_id", "offset", "width")
-    got = zones.functional_zones(walls, doors, windows).groupBy("zone").count().collect()
-    assert {r.zone: r["count"] for r in got} == {"swing": 2, "access0": 3, "access1": 3, "window0": 1, "window1": 1}
+    doors = doors.withColumn("note", F.lit(None).cast("string")).withColumn("ord", F.lit(0))
+    windows = doors.where("id = 'd2'").select("floor_id", "id", "ord", "wall_id", "offset", "width", F.lit(0.9).alias("sill_height"))
+    got = zones.functional_zones(walls, doors, windows).groupBy("kind").count().collect()
+    assert {r.kind: r["count"] for r in got} == {"door-swing": 2, "door-access": 6, "window-access": 2}
     beside = {(r.wall_id, r.side): r.room_id for r in zones.rooms_beside_walls(walls, rooms.where("room_id = 'r1'")).collect()}
     assert beside["w1", 1] == "r1" and beside["w1", -1] is None
+    linked, filled = zones.topology(rooms.where("room_id = 'r1'"), walls.where("wall_id = 'w1'").withColumn("ord", F.lit(0)), doors, windows)
+    assert {r.id: r.positive for r in linked.collect()} == {"d1": "r1", "d2": "r1", "d3": None, "d4": "r1"}
+    r = filled.first()
+    assert r.wall_ids == ["w1"] and sorted(r.door_ids) == ["d1", "d2", "d4"] and r.window_ids == ["d2"]
 
 
 def test_images(spark):

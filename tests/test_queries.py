@@ -39,9 +39,50 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_query_without_sql_runs(spark, name):
-    assert entry.queries()[name](spark, SF).count() >= 0
+def test_components_of_every_customer(spark):
+    rows = spark.read.parquet(f"{SF}/customer.parquet").collect()
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in rows:
+        a, b = find(r.c_nationkey), find(1000 + r.c_custkey % 40)
+        parent[max(a, b)] = min(a, b)
+    got = {r.node: r.label for r in entry.queries()["connected_components_whole"](spark, SF).collect()}
+    assert got == {x: find(x) for x in parent}
+
+
+def test_nearest_unique_match_is_greedy(spark):
+    e = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_id", "ts", "event_type").collect()
+    by = lambda t: [(r.user_id, r.event_id, r.ts.timestamp() / 3600) for r in e if r.event_type == t]
+    pairs = sorted((round(abs(x - y), 9), a, b, u) for u, a, x in by("click") for v, b, y in by("purchase") if u == v and abs(x - y) <= 0.6)
+    used, want = set(), set()
+    for _, a, b, u in pairs:
+        if ("l", a) not in used and ("r", b) not in used:
+            used |= {("l", a), ("r", b)}
+            want.add((u, a, b))
+    assert {(r.user_id, r.left_id, r.right_id) for r in entry.queries()["nearest_unique_match"](spark, SF).collect()} == want
+
+
+def test_sequential_fit_never_overlaps(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").collect()
+    # rows may share their order; the narrowest of them bounds what each takes
+    widths, placed = {}, {}
+    for r in lines:
+        key = r.l_suppkey, r.l_orderkey * 10 + r.l_linenumber
+        widths[key] = min(widths.get(key, 1e9), r.l_quantity / 10)
+    rows = entry.queries()["sequential_fit"](spark, SF).collect()
+    assert len(rows) == len(lines)
+    for r in rows:
+        if r.ok:
+            placed.setdefault(r.room, []).append((r.position, r.position + widths[r.room, r.ord]))
+    for spans in placed.values():
+        spans.sort()
+        assert all(a[1] <= b[0] + 1e-6 for a, b in zip(spans, spans[1:])) and spans[-1][1] <= 60 + 1e-6
 
 
 def test_entry(spark):

@@ -68,7 +68,7 @@ def sequential_fit(requests: DataFrame, room: str, length: str, step: float = 0.
     return requests.groupBy(room).applyInPandas(place, f"{room} {kind}, ord long, ok boolean, position double")
 
 
-#: Intents in order of precedence, with the words that show them.  Fixed values.
+#: Intents in order of precedence, with the words that show them.
 INTENTS = (
     ("question", r"\?|^(?:what|how|which|where|why)\b"),
     ("remove", r"\b(?:remove|delete|clear)\b"),

@@ -1,5 +1,7 @@
 """Placement, formatting and annotation checks."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from planwright.functions import formatting
@@ -72,11 +74,18 @@ def test_fit(spark):
 
 
 def test_annotation_checks(spark):
-    good = '{"formatVersion":1,"name":"a","image":{},"walls":[{"id":"w","kind":"interior","confidence":0.5,"rect":{}}]}'
-    bad = '{"name":"a","image":{},"extra":1,"walls":[{"id":"w","kind":"glass","confidence":2,"rect":{},"segment":{},"colour":"red"}]}'
-    got = {r.id: r for r in annotations.checked(spark.createDataFrame([(1, good), (2, bad), (3, "nonsense")], "id long, json string"), "id", "json").collect()}
-    assert got[1].ok and not got[3].ok and got[3].errors == ["not a JSON object"]
-    assert sorted(got[2].errors) == ["missing field formatVersion", "unknown field extra", "walls[0]: confidence", "walls[0]: kind", "walls[0]: one of rect and segment", "walls[0]: unknown field colour"]
+    good = {k: [] for k in annotations.LISTS} | {"formatVersion": 1, "id": "p", "name": "a", "level": 0, "source": {"method": "manual"}, "image": {}, "originPx": {"x": 0, "y": 0}, "footprint": [], "defaults": {}}
+    good["walls"] = [{"id": "w", "kind": "interior", "confidence": 0.5, "rect": {"x0": 0, "y0": 0, "x1": 9, "y1": 1}}, {"id": "v", "kind": "railing", "segment": {}}]
+    good["doors"] = [{"id": "d", "wallId": "w", "span": [1, 4], "kind": "hinged", "hinge": "min", "swing": "up"}]
+    good["rooms"] = [{"id": "r", "name": "Hall", "type": "hall", "labelSource": "inferred", "polygon": [{"x": 0, "y": 0}, {"x": 1, "y": 0}, {"x": 1, "y": 1}]}]
+    bad = {k: v for k, v in good.items() if k != "formatVersion"} | {"extra": 1}
+    bad["walls"] = [{"id": "w", "kind": "glass", "confidence": 2, "colour": "red"}]
+    bad["doors"] = [{"id": "", "wallId": "w", "span": [1], "kind": "hinged", "hinge": "min", "swing": "in", "heightMeters": 9}]
+    bad["rooms"] = [good["rooms"][0] | {"polygon": [{"x": 0, "y": 0}]}]
+    files = [(1, json.dumps(good)), (2, json.dumps(bad)), (3, "nonsense"), (4, json.dumps(good | {"windows": 5}))]
+    got = {r.id: r for r in annotations.checked(spark.createDataFrame(files, "id long, json string"), "id", "json").collect()}
+    assert got[1].ok and got[3].errors == ["not a JSON object"] and got[4].errors == ["windows: expected an array"]
+    assert sorted(got[2].errors) == sorted(["unexpected field extra", "missing field formatVersion", "walls[0]: unexpected field colour", "walls[0]: kind", "walls[0]: confidence", "walls[0]: rect or segment", "doors[0]: id", "doors[0]: span", "doors[0]: swing", "doors[0]: heightMeters", "rooms[0]: polygon"])
 
 
 def test_svg(spark):

@@ -112,7 +112,7 @@ def _folded(bits: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cells = np.zeros(1 << SKETCH_BITS, np.uint32)
+    cells = np.zeros(1 << SKETCH_BITS, np.uint16)
     names = ["doc_id", "th", "n_shingles", "node", "bits", "least", "block", "cells"]
     held: list[np.ndarray] = []
     for batch in batches:
@@ -129,7 +129,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(sizes)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
     _count_cells(cells, held)
-    np.minimum(cells, MOST_SEEN, out=cells)
     parts = [(i, _packed_cells(p)) for i, p in enumerate(cells.reshape(-1, BLOCK_CELLS)) if p.any()]
     if parts:
         none = pa.nulls(len(parts), pa.int64())
@@ -148,7 +147,8 @@ def _unpacked_cells(raw: bytes) -> np.ndarray:
 
 def _count_cells(cells: np.ndarray, held: list[np.ndarray]) -> None:
     if held:
-        np.add.at(cells, (np.concatenate(held) >> U(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+        at, n = np.unique((np.concatenate(held) >> U(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
+        cells[at] = np.minimum(cells[at] + n, MOST_SEEN)
         held.clear()
 
 

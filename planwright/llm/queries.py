@@ -1,4 +1,4 @@
-"""The queries ``opN_<name>``, N from 1 to 10: each applies its operator to its whole table."""
+"""The queries ``opN_<name>``, N from 1 to 13: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_extract, jaccard_join, line_dedup, lm_scoring, mixing, quality, substring_dedup, token_counts
+from . import chat_format, decontamination, html_extract, jaccard_join, lexical_search, line_dedup, lm_scoring, mixing, quality, source_divergence, substring_dedup, token_counts, vector_search
 from .shared import table
 
 
@@ -66,8 +66,20 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+def op11_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.searched(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.searched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring_dedup, op2_html_extraction, op3_token_counts, op4_quality_rules, op5_jaccard_join, op6_lm_scoring, op6_lm_scoring_whole, op7_line_dedup, op8_chat_format, op9_benchmark_decontamination, op10_source_mixing]
+    found = [op1_substring_dedup, op2_html_extraction, op3_token_counts, op4_quality_rules, op5_jaccard_join, op6_lm_scoring, op6_lm_scoring_whole, op7_line_dedup, op8_chat_format, op9_benchmark_decontamination, op10_source_mixing, op11_maxscore_search, op12_source_divergence, op13_lexical_search]
     return {f.__name__: f for f in found}
 
 
@@ -78,4 +90,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_chat_format": chat_format.ROTATED_SQL.format(turns="conversations"),
         "op7_line_dedup": line_dedup.RESULT_SQL.format(docs="documents"),
         "op10_source_mixing": mixing.PLAN_SQL.format(docs="documents"),
+        "op11_maxscore_search": vector_search.SEARCH_SQL.format(vectors="embeddings"),
+        "op12_source_divergence": source_divergence.AUDIT_SQL.format(docs="documents"),
+        "op13_lexical_search": lexical_search.SEARCH_SQL.format(docs="documents", items="benchmark"),
     }

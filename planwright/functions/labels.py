@@ -97,12 +97,6 @@ def label_tokens(raw: Column) -> Column:
     return F.when(raw.rlike("[()]"), F.array().cast("array<string>")).otherwise(F.transform(words, lambda w: F.when(bare(w) == "", w).otherwise(bare(w))))
 
 
-def lexicon_match(token: Column) -> Column:
-    """The nearest word of the vocabulary: (edits, ord, word, type, shown, weight), or null if too far."""
-    own = F.translate(token, "".join(X.ALPHA_CONFUSIONS), "".join(X.ALPHA_CONFUSIONS.values()))
-    entries = F.array(*[
-        F.struct(*[F.lit(v).alias(k) for k, v in (("ord", i), ("word", w), ("type", t), ("shown", s or w.capitalize()), ("weight", float(g)), ("bound", 0 if len(w) <= 3 else 1 if len(w) <= 5 else 2))])
-        for i, (w, t, s, g) in enumerate(X.LEXICON)
-    ])
-    far = F.transform(entries, lambda e: F.struct(F.levenshtein(own, e["word"]).alias("edits"), e["ord"].alias("ord"), e["word"].alias("word"), e["type"].alias("type"), e["shown"].alias("shown"), e["weight"].alias("weight"), e["bound"].alias("bound"), (own != token).cast("int").alias("changed")))
-    return F.array_min(F.filter(far, lambda e: e["edits"] <= e["bound"]))
+def as_letters(token: Column) -> Column:
+    """A token with the letters that scans mistake for digits."""
+    return F.translate(token, "".join(X.ALPHA_CONFUSIONS), "".join(X.ALPHA_CONFUSIONS.values()))

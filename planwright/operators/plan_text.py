@@ -59,6 +59,26 @@ def _shown(names: Column) -> Column:
     return F.aggregate(names, F.array().cast("array<string>"), add)
 
 
+def nearest_words(tokens: DataFrame, token: str = "token") -> DataFrame:
+    """Rows (token, best) of the tokens near a word of the vocabulary: best is the least (edits, ord, ...).
+
+    The tokens are made distinct first.  The vocabulary is a table of fixed size, a row for every
+    length that a word's edits allow, and meets the tokens on the length; the edit distance stops at 2.
+    """
+    words = [
+        (length, i, w, t, s or w.capitalize(), float(g), bound)
+        for i, (w, t, s, g) in enumerate(X.LEXICON)
+        for bound in (0 if len(w) <= 3 else 1 if len(w) <= 5 else 2,)
+        for length in range(len(w) - bound, len(w) + bound + 1)
+    ]
+    vocabulary = tokens.sparkSession.createDataFrame(words, "length int, ord int, word string, type string, shown string, weight double, bound int")
+    own = tokens.select(F.col(token).alias("token")).distinct().withColumn("own", L.as_letters(F.col("token")))
+    d = own.join(F.broadcast(vocabulary), F.length("own") == F.col("length")).withColumn("edits", F.levenshtein("own", "word", 2))
+    d = d.where(F.col("edits").between(0, F.col("bound")))
+    best = F.struct("edits", "ord", "word", "type", "shown", "weight", (F.col("own") != F.col("token")).cast("int").alias("changed"))
+    return d.groupBy("token").agg(F.min(best).alias("best"))
+
+
 def room_names(lines: DataFrame, key: list[str], text: str = "text", confidence: str = "confidence") -> DataFrame:
     """Room names among labels: key, raw, words, display, type, confidence, type_weight, corrections.
 
@@ -68,7 +88,8 @@ def room_names(lines: DataFrame, key: list[str], text: str = "text", confidence:
     base = lines.select(*key, F.col(text).alias("raw"), F.col(confidence).alias("given"))
     tokens = base.select(*key, "raw", "given", F.posexplode(L.label_tokens(F.col("raw"))).alias("pos", "token"))
     number = F.col("token").rlike(r"^\d{1,2}$")
-    known = tokens.where(~number & (F.length("token") >= 2)).select("token").distinct().withColumn("best", L.lexicon_match(F.col("token")))
+    known = tokens.where(~number & (F.length("token") >= 2)).select("token")
+    known = nearest_words(known)
     d = tokens.join(known, "token", "left").withColumn("number", number)
     odd = F.col("best").isNull() & F.col("token").rlike("^[A-Z]{3,}$") & ~F.col("token").isin(*X.NEUTRAL_WORDS)
     part = F.when(F.col("number") | F.col("best").isNotNull(), F.struct("pos", F.col("number").alias("number"), F.coalesce("best.shown", "token").alias("shown"), F.col("best.word").alias("word"), F.col("best.type").alias("type")))

@@ -80,8 +80,7 @@ SELECT token, word, type, d AS edits FROM (SELECT *, row_number() OVER (PARTITIO
 def fuzzy_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda c: F.explode(F.regexp_extract_all(c, F.lit("[A-Za-z0-9]{3,16}"), 0))
     tokens = tables.load(spark, sf_dir, "documents").select(words(F.col("text")).alias("token")).unionByName(tables.load(spark, sf_dir, "part").select(words(F.col("p_name")).alias("token")))
-    tokens = tokens.select(F.upper("token").alias("token")).distinct().withColumn("m", L.lexicon_match(F.col("token")))
-    return tokens.where("m IS NOT NULL").select("token", "m.word", "m.type", F.col("m.edits").cast("long").alias("edits"))
+    return plan_text.nearest_words(tokens.select(F.upper("token").alias("token"))).select("token", "best.word", "best.type", F.col("best.edits").cast("long").alias("edits"))
 
 
 @query("""

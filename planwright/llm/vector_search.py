@@ -14,7 +14,7 @@ Sizes: a tile has at most ``TILE`` rows.  Queries reach the tiles by broadcasts
 best k of each task and query.  The work is that of exact search: queries times rows in the worst case.
 
 Scores are sums of integers: computed in doubles where these are exact, in 64 bits or in Python's
-integers where not; a component or score beyond 64 bits becomes the nearest 64-bit integer.
+integers where not; a component or score beyond 64 bits counts as the nearest 64-bit integer.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as query
 or candidate; of vectors of unlike length, the shared leading components count; an empty vector
@@ -52,14 +52,15 @@ class _Best:
 
     def __init__(self, row_id: int, k: int):
         self.own, self.k = row_id, k
-        self.score, self.ids, self.null, self.rows = np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+        self.score, self.ids, self.null, self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
 
     @property
     def least(self):
-        """The score to reach; None while fewer than k rows are known."""
-        return self.score[-1] if len(self.score) == self.k else None
+        """The score to reach; None while fewer than k rows are known, or any score would do."""
+        return int(self.score[-1]) if len(self.score) == self.k and self.score[-1] > LEAST else None
 
     def add(self, score: np.ndarray, tile: _Tile, at: np.ndarray) -> None:
+        score = (np.clip(score, LEAST, MOST) if score.dtype == object else score).astype(np.int64)
         if self.least is not None:
             fit = score >= self.least
             score, at = score[fit], at[fit]
@@ -67,10 +68,9 @@ class _Best:
         score, at = score[other], at[other]
         if not len(at):
             return
-        score = np.concatenate([self.score, score.astype(np.int64) if score.dtype == float else score])
+        score = np.append(self.score, score)
         ids, null, rows = np.append(self.ids, tile.ids[at]), np.append(self.null, tile.null[at]), np.append(self.rows, tile.rows[at])
-        small = score.astype(np.int64) if all(LEAST < x <= MOST for x in score) else np.unique(score, return_inverse=True)[1]
-        top = np.lexsort((rows, ids, null, -small))[: self.k]
+        top = np.lexsort((rows, ids, null, ~score))[: self.k]
         self.score, self.ids, self.null, self.rows = score[top], ids[top], null[top], rows[top]
 
 
@@ -164,8 +164,7 @@ def _searcher(block, k: int):
         for _, best in queries:
             n = len(best.rows)
             if n:
-                score = [min(max(int(s), LEAST), MOST) for s in best.score]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, best.own)), pa.array(best.ids, pa.int64(), mask=best.null), pa.array(best.rows), pa.array(score, pa.int64())], names=["q", "vec_id", "row_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, best.own)), pa.array(best.ids, pa.int64(), mask=best.null), pa.array(best.rows), pa.array(best.score)], names=["q", "vec_id", "row_id", "score"])
 
     return search
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
@@ -34,6 +34,32 @@ def near(left: DataFrame, right: DataFrame, key: str, value: str, radius: float)
     return a.join(b, [key, "_cell"]).where(F.abs(F.col(value) - F.col(f"{value}_right")) <= radius).drop("_cell")
 
 
+def box_cells(p: Column, pad: Column, size: float) -> Column:
+    """Cells (cx, cz) of a square grid that a point's surroundings, ``pad`` to each side, lie in."""
+    span = lambda v: F.sequence(F.floor((v - pad) / size), F.floor((v + pad) / size))
+    return F.flatten(F.transform(span(p["x"]), lambda cx: F.transform(span(p["z"]), lambda cz: F.struct(cx.alias("cx"), cz.alias("cz")))))
+
+
+def segment_cells(a: Column, b: Column, reach: Column, size: float) -> Column:
+    """Cells (cx, cz) of a square grid that hold every point within ``reach`` of a segment.
+
+    A walk along the columns of the grid: in each, the rows that the piece of the segment near it spans.
+    """
+    x0, x1 = F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])
+    slope = F.when(x1 - x0 > G.TINY, (b["z"] - a["z"]) / (b["x"] - a["x"]))
+
+    def rows(cx: Column) -> Column:
+        near = lambda x: F.least(x1, F.greatest(x0, x))
+        at = lambda x: a["z"] + (x - a["x"]) * slope
+        left, right = near(cx * size - reach), near((cx + 1) * size + reach)
+        low = F.coalesce(F.least(at(left), at(right)), F.least(a["z"], b["z"]))
+        high = F.coalesce(F.greatest(at(left), at(right)), F.greatest(a["z"], b["z"]))
+        span = F.sequence(F.floor((low - reach) / size), F.floor((high + reach) / size))
+        return F.transform(span, lambda cz: F.struct(cx.alias("cx"), cz.alias("cz")))
+
+    return F.flatten(F.transform(F.sequence(F.floor((x0 - reach) / size), F.floor((x1 + reach) / size)), rows))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, label): least node of each connected component, by hooking to least neighbours.
 

@@ -37,6 +37,8 @@ from .terms import LETTERS, terms
 MIN_DF, SMOOTH, SCALE, DEPTH = 30, 5, 10**9, 50
 #: Distinct (group, term) cells that a map task holds; terms and cells of a tile; cells of a pair square.
 FLUSH, TILE_TERMS, TILE_CELLS, SQUARE = 300_000, 512, 4_000_000, 1_000_000
+#: Places where a language's terms meet its number of blocks.
+SALTS = 256
 COUNTED = "lang string, source string, term binary, n long, df long"
 FOUND = "lang string, source string, part string, item string, value long"
 
@@ -139,7 +141,10 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     heads = groups.join(totals, ["lang", "source"], "left").join(langs, "lang")
     heads = heads.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "source", F.lit(None).cast("binary").alias("term"), F.lit(0).cast("long").alias("n"), F.coalesce("total", F.lit(0)).alias("total"), "kept")
     none = F.lit(None).cast("long")
-    cells = kept.join(langs.select("lang", "blocks"), "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "source", "term", "n", none.alias("total"), none.alias("kept"))
+    # a language may hold a third of all terms, so it meets its number of blocks in SALTS places
+    salted = langs.select("lang", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    cells = kept.withColumn("salt", F.pmod(F.xxhash64("source", "term"), F.lit(SALTS))).join(salted, ["lang", "salt"])
+    cells = cells.select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "source", "term", "n", none.alias("total"), none.alias("kept"))
     found = written(heads.unionByName(cells).groupBy("lang", "block").applyInArrow(_tile, FOUND), "term-tiles")
 
     sums = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
-from planwright.operators import wall_moves
+from planwright.operators import documents, wall_moves
 from planwright.plans.registry import query
 from planwright.sources import tables
 
@@ -82,3 +82,42 @@ def wall_moves_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (walls, rooms, got.openings.select("floor_id", F.col("offset").alias("door_at"))):
         out = out.join(part, "floor_id", "left")
     return out.select(F.col("floor_id").alias("c_custkey"), "code", "subject", *[G.rounded(F.col(c), 4).alias(c) for c in ("mid_x", "arm_x", "door_at", "left_area")], F.coalesce("n_rooms", F.lit(0)).alias("n_rooms"))
+
+
+@query("""
+WITH d AS (SELECT user_id, event_id, ts, event_type, value, CAST(3 + user_id % 5 AS DOUBLE) AS long FROM events),
+j AS (SELECT *, CASE event_type WHEN 'error' THEN NULL WHEN 'purchase' THEN value / 50 > 0 AND long / 2 - value / 100 >= -0.001 ELSE TRUE END AS ok FROM d),
+k AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM j WHERE ok IS NULL OR ok),
+steps AS (SELECT user_id, least(200, count(*) FILTER (WHERE ok AND before IS DISTINCT FROM event_type)) AS n_undo FROM k GROUP BY user_id)
+SELECT j.user_id, count(*) FILTER (WHERE ok) AS n_done, count(*) FILTER (WHERE NOT ok) AS n_refused, any_value(n_undo) AS n_undo,
+  coalesce(arg_max(value, struct_pack(a := ts, b := event_id)) FILTER (WHERE event_type = 'click'), 0) AS turned, coalesce(arg_max(value, struct_pack(a := ts, b := event_id)) FILTER (WHERE event_type = 'view'), -1) AS named,
+  coalesce(arg_max(value, struct_pack(a := ts, b := event_id)) FILTER (WHERE event_type = 'signup'), -1) AS lit, coalesce(arg_max(value, struct_pack(a := ts, b := event_id)) FILTER (WHERE event_type = 'purchase' AND ok), 40) AS door,
+  CASE WHEN count(*) FILTER (WHERE event_type = 'purchase' AND ok) > 0 THEN 'user' ELSE 'plan' END AS door_source
+FROM j JOIN steps USING (user_id) GROUP BY j.user_id""")
+def document_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's events as commands on a plan of their own: clicks turn a chair, views rename its room, and so on."""
+    events = tables.load(spark, sf_dir, "events")
+    v = F.col("value").cast("string")
+    kinds = {"click": ('{"type":"furniture/update","id":"chair","patch":{"rotation":%s}}', v), "view": ('{"type":"room/rename","roomId":"room","name":"%s"}', v), "signup": ('{"type":"room/renovate","roomId":"room","patch":{"lighting":%s}}', v), "purchase": ('{"type":"door/update","id":"door","patch":{"width":%s}}', (F.col("value") / 50).cast("string"))}
+    command = F.lit(None).cast("string")
+    for kind, (form, what) in kinds.items():
+        command = F.when(F.col("event_type") == kind, F.format_string(form, what)).otherwise(command)
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    edits = events.select("user_id", place.alias("seq"), F.when(F.col("event_type") == "error", "end").otherwise("dispatch").alias("action"), command.alias("command"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("key"))
+    start = F.format_string(
+        '{"floors":[{"walls":[{"id":"wall","kind":"interior","start":[0,0],"end":[%s,0],"thickness":0.1}],"rooms":[{"id":"room","name":"-1","renovation":{"lighting":-1}}],'
+        '"doors":[{"id":"door","wallId":"wall","offset":%s,"width":0.8,"height":2,"sources":{"geometry":"plan"}}],"furniture":[{"id":"chair","roomId":"room","rotation":0}]}]}',
+        (3 + F.col("user_id") % 5).cast("string"), ((3 + F.col("user_id") % 5) / 2).cast("string"),
+    )
+    first = events.select("user_id").distinct().select("user_id", F.lit(0).alias("seq"), F.lit("load").alias("action"), start.alias("command"), F.lit(None).cast("string").alias("key"))
+    out = documents.folded(edits.unionByName(first).withColumnRenamed("user_id", "doc"))
+    g = out.groupBy("doc").agg(
+        F.count_if(F.col("ok") & (F.col("action") == "dispatch")).alias("n_done"), F.count_if(~F.col("ok")).alias("n_refused"), F.max("state").alias("state"),
+    )
+    at = lambda path: F.get_json_object("state", "$." + path)
+    floor = "document.floors[0]."
+    number = lambda path: at(floor + path).cast("double")
+    return g.select(
+        F.col("doc").cast("long").alias("user_id"), "n_done", "n_refused", F.json_array_length(at("past")).cast("long").alias("n_undo"), number("furniture[0].rotation").alias("turned"), number("rooms[0].name").alias("named"),
+        number("rooms[0].renovation.lighting").alias("lit"), F.round(number("doors[0].width") * 50, 6).alias("door"), at(floor + "doors[0].sources.geometry").alias("door_source"),
+    )

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
-from planwright.operators import documents, wall_moves
+from planwright.operators import documents, fitting, wall_moves
 from planwright.plans.registry import query
 from planwright.sources import tables
+from planwright.sources.furniture import catalog
 
 #: Depth of the floors that customers get.
 DEEP = 5.0
@@ -121,3 +122,37 @@ def document_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc").cast("long").alias("user_id"), "n_done", "n_refused", F.json_array_length(at("past")).cast("long").alias("n_undo"), number("furniture[0].rotation").alias("turned"), number("rooms[0].name").alias("named"),
         number("rooms[0].renovation.lighting").alias("lit"), F.round(number("doors[0].width") * 50, 6).alias("door"), at(floor + "doors[0].sources.geometry").alias("door_source"),
     )
+
+
+#: What customers ask for, by the remainder of their key: catalogue id, width, depth, clearance in front, whether the longest wall is preferred.
+WISHES = (("sofa-3", 2.2, 0.9, 0.6, 1), ("bookshelf", 0.8, 0.32, 0.6, 0), ("desk", 1.2, 0.6, 0.8, 0), ("wardrobe", 1.0, 0.6, 0.7, 0), ("throne", None, None, None, 0), ("bed-king", 1.6, 2.1, 0.6, 1))
+
+
+@query(f"""
+WITH wish(k, item, w, d, front, longest) AS (VALUES {", ".join(f"({i}, '{n}', {w or 'NULL'}, {d or 'NULL'}, {f or 'NULL'}, {g})" for i, (n, w, d, f, g) in enumerate(WISHES))}),
+c AS (SELECT c_custkey, item, CAST(w AS DOUBLE) AS w, CAST(d AS DOUBLE) AS d, CAST(front AS DOUBLE) AS front, longest, CAST(1.35 + (c_nationkey % 5) * 0.6 AS DOUBLE) AS wide, CAST(1.55 + (c_custkey // 6 % 4) * 0.55 AS DOUBLE) AS deep FROM customer JOIN wish ON k = c_custkey % 6),
+e AS (SELECT *, CASE WHEN item = 'throne' THEN 'unknown-item' WHEN NOT ((w <= wide AND d <= deep) OR (w <= deep AND d <= wide)) THEN 'too-large' END AS first,
+  CASE WHEN wide >= w AND d + 0.02 <= deep + 0.005 THEN CASE WHEN d + 0.02 + front <= deep + 0.005 THEN 0 ELSE 1 END END AS south,
+  CASE WHEN deep >= w AND d + 0.02 <= wide + 0.005 THEN CASE WHEN d + 0.02 + front <= wide + 0.005 THEN 0 ELSE 1 END END AS east FROM c),
+f AS (SELECT *, coalesce(first, CASE WHEN south IS NULL AND east IS NULL THEN 'no-valid-position' END) AS failure, east IS NULL OR (south IS NOT NULL AND (south < east OR (south = east AND NOT (longest = 1 AND deep > wide)))) AS is_south,
+  CASE WHEN wide >= w THEN 2 * CAST(floor((wide / 2 - w / 2 + 1e-9) / 0.05) AS INT) + 1 ELSE 0 END AS n_south, CASE WHEN deep >= w THEN 2 * CAST(floor((deep / 2 - w / 2 + 1e-9) / 0.05) AS INT) + 1 ELSE 0 END AS n_east FROM e)
+SELECT c_custkey, failure, CASE WHEN failure IS NULL THEN floor(CASE WHEN is_south THEN wide / 2 ELSE wide - d / 2 - 0.02 END * 10000 + 0.5) / 10000 END AS x, CASE WHEN failure IS NULL THEN floor(CASE WHEN is_south THEN d / 2 + 0.02 ELSE deep / 2 END * 10000 + 0.5) / 10000 END AS z,
+  CASE WHEN failure IS NULL THEN CASE WHEN is_south THEN south ELSE east END ELSE -1 END AS n_issues,
+  CASE WHEN first IS NOT NULL THEN 0 WHEN failure IS NULL AND CASE WHEN is_south THEN south ELSE east END = 0 AND CASE WHEN is_south THEN n_east = 0 OR NOT (longest = 1 AND deep > wide) ELSE n_south = 0 OR (longest = 1 AND deep > wide) END THEN 1
+    ELSE 2 * n_south + 2 * n_east END::BIGINT AS tried FROM f""")
+def fitted_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bare room and a piece of furniture for every customer."""
+    c = tables.load(spark, sf_dir, "customer")
+    wide, deep = 1.35 + F.col("c_nationkey") % 5 * 0.6, 1.55 + F.floor(F.col("c_custkey") / 6) % 4 * 0.55
+    rooms = c.select(F.col("c_custkey").alias("floor_id"), F.lit("room").alias("room_id"), F.lit(0).alias("ord"), F.array(_at(0, 0), _at(wide, 0), _at(wide, deep), _at(0, deep)).alias("polygon"))
+    item = F.element_at(F.array(*[F.lit(w[0]) for w in WISHES]), (F.col("c_custkey") % len(WISHES) + 1).cast("int"))
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    asked = c.select(F.col("c_custkey").alias("floor_id"), F.lit("wish").alias("request_id"), F.lit(0).alias("ord"), F.lit("room").alias("room_id"), item.alias("catalog_id"), *[null("double", k) for k in ("width", "depth", "height")], null("string", "prefer_wall"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    pt = "struct<x:double,z:double>"
+    walls = none(f"floor_id long, wall_id string, start {pt}, end {pt}, thickness double")
+    fixtures = none(f"floor_id long, id string, footprint array<{pt}>")
+    furniture = none(f"floor_id long, item_id string, room_id string, category string, ord long, position {pt}, rotation double, width double, depth double, height double, elevation double, collides boolean, front_clearance double")
+    zones = none(f"floor_id long, zone_id string, kind string, issue string, source_id string, label string, min_item_top double, polygon array<{pt}>")
+    got, _ = fitting.fitted(asked, catalog(spark), rooms, walls, fixtures, furniture, zones)
+    return got.select(F.col("floor_id").alias("c_custkey"), "failure", G.rounded(F.col("position.x"), 4).alias("x"), G.rounded(F.col("position.z"), 4).alias("z"), F.when(F.col("ok"), F.size("issues")).otherwise(-1).alias("n_issues"), "tried")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
+from planwright.sources.lineage import cut
 
 
 def room_at(points: DataFrame, rooms: DataFrame, key: str, point_id: str, room_id: str) -> DataFrame:
@@ -61,20 +62,23 @@ def segment_cells(a: Column, b: Column, reach: Column, size: float) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Rows (node, label): least node of each connected component, by hooking to least neighbours.
+    """Rows (node, label): least node of each connected component, for every node of ``edges`` (u, v).
 
-    Each round takes the least label among neighbours, then the label of that label, and cuts lineage
-    with a checkpoint where the session has a folder for it; it ends when no label changes.
+    Large and small stars by turns: every node's neighbours are hung on the least of them, first those
+    above it, then those below.  A chain shortens by a factor in every round, so rounds grow with the
+    logarithm of its length; lineage is cut after each, and it ends when the edges stay as they are.
     """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    folder = not edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
-    labels = both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node"))
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    now, seen = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
     while True:
-        least = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        hooked = labels.join(least.withColumnRenamed("u", "node"), "node").select("node", F.least("label", "m").alias("near"), F.col("label").alias("old"))
-        above = hooked.select(F.col("node").alias("near"), F.col("near").alias("far"))
-        new = hooked.join(above, "near").select("node", F.least("near", "far").alias("label"), (F.least("near", "far") < F.col("old")).alias("moved"))
-        new = new.checkpoint() if folder else new.cache()
-        labels = new.select("node", "label")
-        if not new.where("moved").take(1):
-            return labels
+        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if mark == seen:
+            break
+        seen = mark
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        below = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = large.join(below, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        now = cut(hung.unionByName(below.select("u", F.col("m").alias("v"))).distinct())
+    return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))

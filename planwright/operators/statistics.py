@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planwright.operators.spatial import near
+from planwright.sources.lineage import cut
+
 #: Ranges into which a group's values are dealt.
 PARTS = 1024
 
@@ -102,21 +104,18 @@ def precision_recall(df: DataFrame, by: list[str], found: Column, true: Column)
 def nearest_unique(left: DataFrame, right: DataFrame, key: str, radius: float) -> DataFrame:
     """Greedy one-to-one matches per key: nearest pair first, each side used once.
 
-    Both sides have (key, id, at).  Claims depend on each other, so a key is one group in Python;
-    the distance filter keeps its pairs few.
+    Both sides have (key, id, at).  Pairs within the radius meet in cells.  A pair that is the nearest of
+    both its sides is taken, whatever is taken elsewhere; the pairs of its sides drop out, and the next
+    round looks at the rest, until none is left.
     """
-    pairs = left.select(key, F.col("id").alias("left_id"), F.col("at").alias("_l")).join(right.select(key, F.col("id").alias("right_id"), F.col("at").alias("_r")), key)
-    pairs = pairs.withColumn("gap", F.abs(F.col("_l") - F.col("_r"))).where(F.col("gap") <= radius).drop("_l", "_r")
-    kind = pairs.schema[key].dataType.simpleString()
-
-    def claim(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["gap", "left_id", "right_id"])
-        left_used, right_used, rows = set(), set(), []
-        for k, a, b, g in group[[key, "left_id", "right_id", "gap"]].itertuples(index=False):
-            if a not in left_used and b not in right_used:
-                left_used.add(a)
-                right_used.add(b)
-                rows.append((k, a, b, g))
-        return pd.DataFrame(rows, columns=[key, "left_id", "right_id", "gap"])
-
-    return pairs.groupBy(key).applyInPandas(claim, f"{key} {kind}, left_id long, right_id long, gap double")
+    a, b = left.select(key, F.col("id").alias("left_id"), "at"), right.select(key, F.col("id").alias("right_id"), "at")
+    pairs = cut(near(a, b, key, "at", radius).select(key, "left_id", "right_id", F.abs(F.col("at") - F.col("at_right")).alias("gap")))
+    order = F.struct("gap", "left_id", "right_id")
+    taken = pairs.limit(0)
+    while pairs.take(1):
+        ranked = pairs.select("*", *[F.min(order).over(Window.partitionBy(key, side)).alias(f"_{side}") for side in ("left_id", "right_id")])
+        won = cut(ranked.where((F.col("_left_id") == order) & (F.col("_right_id") == order)).select(*pairs.columns))
+        taken = taken.unionByName(won)
+        pairs = pairs.join(won.select(key, "left_id"), [key, "left_id"], "left_anti").join(won.select(key, "right_id"), [key, "right_id"], "left_anti")
+        pairs = cut(pairs.select(*won.columns))
+    return taken

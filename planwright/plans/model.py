@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from planwright.functions import geometry as G
 from planwright.operators import gaps, placement, review, spatial, structure, validation, zones
 from planwright.plans.registry import query
-from planwright.sources import tables
+from planwright.sources import projects, tables
 
 R = G.rounded
 
@@ -208,3 +208,25 @@ def component_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = c.select(key.alias("v"))
     links = ends.join(known, "v").select("u", "v").unionByName(known.select(F.col("v").alias("u"), "v"))
     return spatial.components(links)
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_custkey, CASE o_orderkey % 10 WHEN 0 THEN 'File is not valid JSON.' WHEN 1 THEN 'Unrecognised project format.' WHEN 2 THEN 'Project schema v3 is newer than v2.' WHEN 3 THEN 'No migration from schema v0.' WHEN 4 THEN 'Project apartment has no floors.' END AS error, o_orderkey % 10 = 5 AS new FROM orders)
+SELECT k AS o_orderkey, error, CASE WHEN error IS NULL THEN 2 ELSE -1 END AS version, CASE WHEN error IS NULL THEN CASE WHEN new THEN 'measured' WHEN o_custkey % 3 = 0 THEN 'user' ELSE 'plan-geometry' END END AS wall_source,
+  CASE WHEN error IS NULL AND NOT new THEN 'assumed' END AS height_source, CASE WHEN error IS NULL AND NOT new THEN CASE WHEN o_custkey % 4 = 3 THEN 'high' WHEN o_custkey % 4 = 2 THEN 'medium' ELSE 'low' END END AS grade FROM o""")
+def projects_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A save file per order, of every version and kind of damage."""
+    k, c = F.col("o_orderkey") % 10, F.col("o_custkey")
+    wall = F.when(k == 5, '{"id":"w","sources":{"geometry":"measured"}}').when(c % 3 == 0, '{"id":"w","source":"user"}').otherwise('{"id":"w"}')
+    samples = F.array_join(F.transform(F.sequence(F.lit(0), c % 4), lambda i: F.when(i == 0, F.lit('{"accepted":false}')).otherwise(F.lit('{"roomId":"r","accepted":true}'))), ",")
+    version = F.when(k == 2, "3").when(k == 3, "0").when(k.isin(4, 5), "2").otherwise("1")
+    form = F.when(k == 1, "drawing").otherwise("plans/apartment-project")
+    floors = F.when(k == 4, F.lit("")).otherwise(F.concat(F.lit('"floors":[{"walls":['), wall, F.lit("]}],")))
+    text = F.concat(F.lit('{"format":"'), form, F.lit('","schemaVersion":'), version, F.lit(',"apartment":{'), floors, F.lit('"coordinateSystem":{"plan":{"calibration":{"method":"labels","maxResidual":0.01,"samples":['), samples, F.lit("]}}}}}"))
+    files = tables.load(spark, sf_dir, "orders").select("o_orderkey", F.when(k == 0, F.concat(F.lit("{"), text)).otherwise(text).alias("json"))
+    d = projects.loaded(files, "o_orderkey", "json")
+    at = lambda path: F.get_json_object("document", "$." + path)
+    return d.select(
+        F.col("id").alias("o_orderkey"), "error", F.coalesce(at("schemaVersion").cast("int"), F.lit(-1)).alias("version"), at("floors[0].walls[0].sources.geometry").alias("wall_source"), at("floors[0].heightSource").alias("height_source"),
+        at("coordinateSystem.plan.calibration.confidence").alias("grade"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
-from planwright.operators import gaps, placement, review, spatial, structure, validation, zones
+from planwright.operators import gaps, intents, placement, review, spatial, structure, validation, zones
 from planwright.plans.registry import query
 from planwright.sources import projects, tables
 
@@ -230,3 +230,44 @@ def projects_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("o_orderkey"), "error", F.coalesce(at("schemaVersion").cast("int"), F.lit(-1)).alias("version"), at("floors[0].walls[0].sources.geometry").alias("wall_source"), at("floors[0].heightSource").alias("height_source"),
         at("coordinateSystem.plan.calibration.confidence").alias("grade"),
     )
+
+
+#: Words dealt over parts: floors and walls with what they stand for, and pieces of furniture.
+FLOORS = (("walnut", "floor-walnut"), ("marble", "floor-marble"), ("light oak", "floor-light-oak"), ("timber", "floor-oak"))
+WALLS = (("cream", "paint-cream"), ("sage", "paint-sage"), ("white", "paint-white"))
+PIECES = (("sofa", "sofa-3"), ("king size bed", "bed-king"), ("bookcase", "bookshelf"), ("desk", "desk"), ("tv stand", "tv-unit"))
+
+
+def _dealt(words: tuple, k: Column, j: int = 0) -> Column:
+    return F.element_at(F.array(*[F.lit(w[j]) for w in words]), (k % len(words) + 1).cast("int"))
+
+
+def _sql_dealt(words: tuple, k: str, j: int = 0) -> str:
+    return f"[{', '.join(repr(w[j]) for w in words)}][CAST({k} % {len(words)} + 1 AS INT)]"
+
+
+@query(f"""
+WITH d AS (SELECT p_partkey AS k, p_partkey % 6 AS form, p_size AS s FROM part)
+SELECT k AS p_partkey, ['place_furniture', 'check_fit', 'renovate', 'remove_furniture', 'describe_room', 'unknown'][CAST(form + 1 AS INT)] AS action,
+  CASE form WHEN 0 THEN CASE s % 3 WHEN 0 THEN 'living' WHEN 1 THEN 'hall' ELSE 'bed2' END WHEN 1 THEN CASE WHEN s % 2 = 0 THEN 'bed1' ELSE 'bed2' END WHEN 2 THEN CASE WHEN s % 2 = 0 THEN 'bed1' ELSE 'bed1,bed2,living,hall' END WHEN 4 THEN 'hall' ELSE '' END AS rooms,
+  CASE form WHEN 0 THEN rtrim(repeat('dining-chair,', CAST(least(8, s % 9 + 1) AS INT)), ',') WHEN 1 THEN {_sql_dealt(PIECES, "s", 1)} WHEN 3 THEN {_sql_dealt(PIECES, "s", 1)} ELSE '' END AS furniture,
+  CASE WHEN form = 2 THEN {_sql_dealt(FLOORS, "s", 1)} END AS floor, CASE WHEN form = 2 THEN {_sql_dealt(WALLS, "k", 1)} END AS wall FROM d""")
+def intents_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence per part, made of its number and size, in a flat of four rooms; every sixth is the part's own name."""
+    d = tables.load(spark, sf_dir, "part")
+    k, s = F.col("p_partkey"), F.col("p_size")
+    where = F.when(s % 3 == 0, "living room").when(s % 3 == 1, "corridor").otherwise("smallest bedroom")
+    forms = [
+        F.concat(F.lit("Please put "), (s % 9 + 1).cast("string"), F.lit(" dining chairs in the "), where, F.lit(".")), F.concat(F.lit("Can a "), _dealt(PIECES, s), F.lit(" fit in bedroom "), (s % 2 + 1).cast("string"), F.lit("?")),
+        F.concat(F.lit("Renovate "), F.when(s % 2 == 0, "the bedroom").otherwise("every room"), F.lit(" with "), _dealt(FLOORS, s), F.lit(" flooring and "), _dealt(WALLS, k), F.lit(" walls")),
+        F.concat(F.lit("Get rid of the "), _dealt(PIECES, s)), F.lit("Describe the entrance"), F.col("p_name"),
+    ]
+    text = forms[5]
+    for i, form in enumerate(forms[:5]):
+        text = F.when(k % 6 == i, form).otherwise(text)
+    asked = d.select(k.alias("ask_id"), k.alias("plan_id"), text.alias("text"), _null("string", "selected_room_id"))
+    flat = [("bed1", "Bedroom 1", "bedroom", 14.0), ("bed2", "Bedroom 2", "bedroom", 11.0), ("living", "Salon", "living", 25.0), ("hall", "Lobby", "hall", 6.0)]
+    rooms = d.select(k.alias("plan_id"), F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(r).alias("room_id"), F.lit(n).alias("name"), F.lit(t).alias("type"), F.lit(a).alias("area")) for i, (r, n, t, a) in enumerate(flat)])).alias("r")).select("plan_id", "r.*")
+    got = intents.parsed(asked, rooms).select("ask_id", F.explode("intents").alias("i"))
+    listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    return got.select(F.col("ask_id").alias("p_partkey"), "i.action", listed("i.room_ids").alias("rooms"), listed("i.furniture").alias("furniture"), F.col("i.patch")["floorMaterialId"].alias("floor"), F.col("i.patch")["wallMaterialId"].alias("wall"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
-from planwright.operators import gaps, intents, placement, review, spatial, structure, validation, zones
+from planwright.operators import gaps, intents, placement, review, sanitize, spatial, structure, validation, zones
 from planwright.plans.registry import query
 from planwright.sources import projects, tables
 
@@ -271,3 +271,26 @@ def intents_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = intents.parsed(asked, rooms).select("ask_id", F.explode("intents").alias("i"))
     listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
     return got.select(F.col("ask_id").alias("p_partkey"), "i.action", listed("i.room_ids").alias("rooms"), listed("i.furniture").alias("furniture"), F.col("i.patch")["floorMaterialId"].alias("floor"), F.col("i.patch")["wallMaterialId"].alias("wall"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, CAST(60 + o_custkey % 7 * 30 AS DOUBLE) AS long, o_orderkey % 9 = 0 AS flat FROM orders),
+d AS (SELECT k, long, flat, CAST(l_linenumber * 30 - 40 AS DOUBLE) AS a, CAST(l_linenumber * 30 - 40 + 1 + l_suppkey % 29 AS DOUBLE) AS b FROM lineitem JOIN o ON l_orderkey = k),
+c AS (SELECT *, greatest(a, 0) AS lo, least(b, long) AS hi FROM d),
+e AS (SELECT *, CASE WHEN flat THEN 'wall-gone' WHEN hi - lo < greatest(2, (b - a) / 2) THEN 'outside-wall' ELSE 'kept' END AS fate FROM c)
+SELECT k AS o_orderkey, count(*) FILTER (WHERE fate = 'kept') AS n_kept, count(*) FILTER (WHERE fate = 'wall-gone') AS n_wall_gone, count(*) FILTER (WHERE fate = 'outside-wall') AS n_outside, coalesce(sum(hi - lo) FILTER (WHERE fate = 'kept'), 0) AS total FROM e GROUP BY k""")
+def sanitized_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wall per order with a door per line: doors cut to the wall, dropped beyond it, and gone with it."""
+    k = F.col("o_orderkey")
+    o = tables.load(spark, sf_dir, "orders").select(k.cast("string").alias("plan_id"), (60 + F.col("o_custkey") % 7 * 30).cast("double").alias("long"), (k % 9 == 0).alias("flat"))
+    rect = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("long").alias("x1"), F.when(F.col("flat"), 0.0).otherwise(10.0).alias("y1"))
+    walls = o.select("plan_id", F.lit("w").alias("id"), rect.alias("rect"), _null("struct<a:struct<x:double,z:double>,b:struct<x:double,z:double>,thickness:double>", "segment"))
+    at = (F.col("l_linenumber") * 30 - 40).cast("double")
+    doors = tables.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("plan_id"), F.col("l_linenumber").cast("string").alias("id"), F.col("l_linenumber").cast("int").alias("ord"), F.lit("w").alias("wall_id"), F.lit("hinged").alias("kind"), F.lit(0.9).alias("confidence"), at.alias("span_from"), (at + 1 + F.col("l_suppkey") % 29).alias("span_to"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    shapes = "plan_id string, id string, polygon array<struct<x:double,z:double>>"
+    got = sanitize.sanitized(walls, doors, doors.limit(0), none(shapes), none(shapes), none("plan_id string, polygon array<struct<x:double,z:double>>"))
+    notes = got.notes.where("element_id <> 'w'").groupBy("plan_id").agg(F.count_if(F.col("repair") == "wall-gone").alias("gone"), F.count_if(F.col("repair") == "outside-wall").alias("outside"))
+    kept = got.doors.groupBy("plan_id").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.col("span_to") - F.col("span_from")).alias("total"))
+    d = doors.select("plan_id").distinct().join(notes, "plan_id", "left").join(kept, "plan_id", "left").fillna(0, ["gone", "outside", "kept"]).fillna(0.0, ["total"])
+    return d.select(F.col("plan_id").cast("long").alias("o_orderkey"), F.col("kept").alias("n_kept"), F.col("gone").alias("n_wall_gone"), F.col("outside").alias("n_outside"), "total")

@@ -275,7 +275,7 @@ def intents_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH o AS (SELECT o_orderkey AS k, CAST(60 + o_custkey % 7 * 30 AS DOUBLE) AS long, o_orderkey % 9 = 0 AS flat FROM orders),
-d AS (SELECT k, long, flat, CAST(l_linenumber * 30 - 40 AS DOUBLE) AS a, CAST(l_linenumber * 30 - 40 + 1 + l_suppkey % 29 AS DOUBLE) AS b FROM lineitem JOIN o ON l_orderkey = k),
+d AS (SELECT k, long, flat, CAST(l_linenumber * 30 - 40 AS DOUBLE) AS a, CAST(l_linenumber * 30 - 40 + 1 + supp % 29 AS DOUBLE) AS b FROM (SELECT l_orderkey, l_linenumber, max(l_suppkey) AS supp FROM lineitem GROUP BY ALL) JOIN o ON l_orderkey = k),
 c AS (SELECT *, greatest(a, 0) AS lo, least(b, long) AS hi FROM d),
 e AS (SELECT *, CASE WHEN flat THEN 'wall-gone' WHEN hi - lo < greatest(2, (b - a) / 2) THEN 'outside-wall' ELSE 'kept' END AS fate FROM c)
 SELECT k AS o_orderkey, count(*) FILTER (WHERE fate = 'kept') AS n_kept, count(*) FILTER (WHERE fate = 'wall-gone') AS n_wall_gone, count(*) FILTER (WHERE fate = 'outside-wall') AS n_outside, coalesce(sum(hi - lo) FILTER (WHERE fate = 'kept'), 0) AS total FROM e GROUP BY k""")
@@ -286,7 +286,8 @@ def sanitized_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rect = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("long").alias("x1"), F.when(F.col("flat"), 0.0).otherwise(10.0).alias("y1"))
     walls = o.select("plan_id", F.lit("w").alias("id"), rect.alias("rect"), _null("struct<a:struct<x:double,z:double>,b:struct<x:double,z:double>,thickness:double>", "segment"))
     at = (F.col("l_linenumber") * 30 - 40).cast("double")
-    doors = tables.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("plan_id"), F.col("l_linenumber").cast("string").alias("id"), F.col("l_linenumber").cast("int").alias("ord"), F.lit("w").alias("wall_id"), F.lit("hinged").alias("kind"), F.lit(0.9).alias("confidence"), at.alias("span_from"), (at + 1 + F.col("l_suppkey") % 29).alias("span_to"))
+    lines = tables.load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_suppkey").alias("l_suppkey"))
+    doors = lines.select(F.col("l_orderkey").cast("string").alias("plan_id"), F.col("l_linenumber").cast("string").alias("id"), F.col("l_linenumber").cast("int").alias("ord"), F.lit("w").alias("wall_id"), F.lit("hinged").alias("kind"), F.lit(0.9).alias("confidence"), at.alias("span_from"), (at + 1 + F.col("l_suppkey") % 29).alias("span_to"))
     none = lambda schema: spark.createDataFrame([], schema)
     shapes = "plan_id string, id string, polygon array<struct<x:double,z:double>>"
     got = sanitize.sanitized(walls, doors, doors.limit(0), none(shapes), none(shapes), none("plan_id string, polygon array<struct<x:double,z:double>>"))

@@ -1,4 +1,6 @@
-"""Gaps between walls where openings may be: to the next wall on the same line, or to the wall a ray meets.
+"""Gaps between walls: where openings may be, and where room outlines stay open.
+
+An opening's gap leads to the next wall on the same line, or to the wall a ray meets; a closure joins a free end to another or to a wall.
 
 Walls are rows (plan_id, wall_id, a, b, thickness) in pixels, their fill the rectangle of their thickness;
 ``profiles`` gives each plan's main thickness.  Walls and the corridors ahead of their ends meet in cells of
@@ -13,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
-from planwright.operators.spatial import segment_cells
+from planwright.operators.spatial import box_cells, segment_cells
+from planwright.operators.structure import contacts, suppressed
 from planwright.sources.lineage import cut
 
 #: Longest gap in main thicknesses, greatest ratio of thicknesses on one line, and degrees between which the tolerance of directions lies.
@@ -22,6 +25,10 @@ LONGEST, RATIO, DEGREES = 30.0, 1.35, (3.0, 8.0)
 REACH, LEAST_ON_LINE, LEAST_TO_WALL = 1.5, 1.0, 2.0
 #: Fixed value: cosine from which a wall met is no wall across.
 ALONGSIDE = 0.5
+#: Reach of a closing line in main thicknesses, its shortest length, and how far it may leave a wall's direction or the axes, in degrees.
+CLOSING, LEAST_CLOSING, AHEAD, AXIAL = 12.0, 2.0, 15.0, 10.0
+#: Share of a length that a line along an axis may lead back, and cosine from which a wall ahead runs alongside.
+BACK, PARALLEL = 0.2, 0.9
 #: Width of a cell in pixels.
 CELL = 96.0
 
@@ -98,23 +105,70 @@ def found(walls: DataFrame, profiles: DataFrame) -> DataFrame:
     return d.where(F.col("mutual").isNull() | (F.col("wall_id") < F.col("other_id"))).select(*out.columns)
 
 
+def _within(p: Column, step: Column, o: Column, over: Column, beside: Column) -> Column:
+    """Where a line from ``p`` along ``step`` runs within a wall's fill, with slack at its ends and beside it: (enter, leave) or null."""
+    v = G.sub(p, o["a"])
+    parts = (G.dot(v, o["d"]), G.dot(step, o["d"]), -over, o["length"] + over), (G.cross(o["d"], v), G.cross(o["d"], step), -o["thickness"] / 2 - beside, o["thickness"] / 2 + beside)
+    enter, leave = [], []
+    for at, speed, low, high in parts:
+        still, inside, endless = F.abs(speed) < 1e-12, (at >= low) & (at <= high), F.lit(float("inf"))
+        enter.append(F.when(still, F.when(inside, -endless).otherwise(endless)).otherwise(F.least((low - at) / speed, (high - at) / speed)))
+        leave.append(F.when(still, F.when(inside, endless).otherwise(-endless)).otherwise(F.greatest((low - at) / speed, (high - at) / speed)))
+    first, last = F.greatest(*enter), F.least(*leave)
+    return F.when(last >= first, F.struct(first.alias("enter"), last.alias("leave")))
+
+
 def _crossed(w: Column, o: Column, tip: Column, sign: Column) -> Column:
-    """Where the ray ahead of an end runs within another wall's fill: (enter, leave) in pixels from the end, null if nowhere.
+    """Where the ray ahead of an end runs within another wall's fill: (enter, leave) in pixels from the end, null if nowhere."""
+    return _within(G.add(w["a"], G.scale(w["d"], tip)), G.scale(w["d"], sign), o, F.lit(1.0), F.lit(REACH))
+
+
+def free_ends(walls: DataFrame) -> DataFrame:
+    """Ends of walls that meet no other wall: plan_id, wall_id, key (0 at a, 1 at b), p and dir (outward)."""
+    d = G.wall_direction(F.col("a"), F.col("b"))
+    ends = F.array(F.struct(F.lit(0).alias("key"), F.col("a").alias("p"), G.scale(d, F.lit(-1.0)).alias("dir")), F.struct(F.lit(1).alias("key"), F.col("b").alias("p"), d.alias("dir")))
+    every = walls.select("plan_id", "wall_id", "thickness", F.explode(ends).alias("e")).select("plan_id", "wall_id", "thickness", "e.*")
+    return every.join(contacts(walls).select("plan_id", "wall_id", "key").distinct(), ["plan_id", "wall_id", "key"], "left_anti")
+
+
+def closures(walls: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Lines that close room outlines at free wall ends: plan_id, wall_id, key, to_wall, to_key (null on a wall's side), a, b, length.
 
-    The fill is a rectangle in the other wall's axes, so that the ray's stretch in it is that of two slabs.
+    A free end is joined to the nearest of the free ends ahead and of the wall straight ahead, unless a wall stands
+    between.  Ends are taken in the order of their walls; one that an earlier end was joined to is done.
     """
-    p = G.add(w["a"], G.scale(w["d"], tip))
-    v, step = G.sub(p, o["a"]), G.scale(w["d"], sign)
-
-    def slab(at: Column, speed: Column, low: Column, high: Column) -> tuple[Column, Column]:
-        still = F.abs(speed) < 1e-12
-        inside = (at >= low) & (at <= high)
-        first, last = (low - at) / speed, (high - at) / speed
-        nowhere = F.lit(float("inf"))
-        return F.when(still, F.when(inside, -nowhere).otherwise(nowhere)).otherwise(F.least(first, last)), F.when(still, F.when(inside, nowhere).otherwise(-nowhere)).otherwise(F.greatest(first, last))
-
-    half = o["thickness"] / 2 + REACH
-    e1, l1 = slab(G.dot(v, o["d"]), G.dot(step, o["d"]), F.lit(-1.0), o["length"] + 1)
-    e2, l2 = slab(G.cross(o["d"], v), G.cross(o["d"], step), -half, half)
-    enter, leave = F.greatest(e1, e2), F.least(l1, l2)
-    return F.when(leave >= enter, F.struct(enter.alias("enter"), leave.alias("leave")))
+    ends = cut(free_ends(walls).join(profiles.select("plan_id", (F.col("major") * CLOSING).alias("reach")), "plan_id"))
+    p, direction, reach = F.col("p"), F.col("dir"), F.col("reach")
+    one = ends.withColumn("cell", F.explode(box_cells(p, reach, CELL)))
+    two = ends.select("plan_id", F.struct("wall_id", "key", "p", "thickness").alias("g"), F.explode(box_cells(p, F.lit(0.0), CELL)).alias("cell"))
+    g = F.col("g")
+    v = G.sub(g["p"], p)
+    far, straight = G.length(v), G.dot(v, direction)
+    ahead = straight / far >= math.cos(math.radians(AHEAD))
+    axial = (F.least(F.abs(v["x"]), F.abs(v["z"])) / far <= math.sin(math.radians(AXIAL))) & (straight > -BACK * far)
+    pairs = one.join(two, ["plan_id", "cell"]).where((g["wall_id"] != F.col("wall_id")) & far.between(F.lit(LEAST_CLOSING), reach) & (ahead | axial))
+    to_end = pairs.select(*ends.columns, g["wall_id"].alias("to_wall"), g["key"].alias("to_key"), g["p"].alias("q"), far.alias("far"), F.greatest("thickness", g["thickness"]).alias("pad"))
+
+    o = F.col("o")
+    fill = _walls(walls, "o").withColumn("cell", F.explode(segment_cells(o["a"], o["b"], o["thickness"] / 2 + 1, CELL)))
+    rays = ends.withColumn("cell", F.explode(segment_cells(p, G.add(p, G.scale(direction, reach)), F.lit(0.0), CELL)))
+    hits = rays.join(fill, ["plan_id", "cell"]).where(o["wall_id"] != F.col("wall_id")).withColumn("s", _within(p, direction, o, F.lit(0.0), F.lit(0.5)))
+    hits = hits.where((F.col("s.leave") >= LEAST_CLOSING) & (F.col("s.enter") <= reach))
+    first = F.struct(F.greatest(F.lit(LEAST_CLOSING), "s.enter").alias("far"), o["wall_id"].alias("to_wall"), F.abs(G.dot(o["d"], direction)).alias("turn"))
+    host = hits.groupBy(*ends.columns).agg(F.min(first).alias("h")).where(F.col("h.turn") <= PARALLEL)
+    to_wall = host.select(*ends.columns, "h.to_wall", F.lit(None).cast("int").alias("to_key"), G.add(p, G.scale(direction, F.col("h.far"))).alias("q"), F.col("h.far").alias("far"), F.col("thickness").alias("pad"))
+
+    lines = cut(to_end.unionByName(to_wall).dropDuplicates(["plan_id", "wall_id", "key", "to_wall", "to_key"]))
+    q, pad = F.col("q"), F.col("pad")
+    step = G.normalize(G.sub(q, p))
+    met = lines.withColumn("cell", F.explode(segment_cells(p, q, F.lit(0.0), CELL))).join(fill, ["plan_id", "cell"]).withColumn("s", _within(p, step, o, F.lit(0.0), F.lit(0.0)))
+    blocked = met.where("s IS NOT NULL").where(F.least("s.leave", F.col("far") - pad) - F.greatest("s.enter", pad) > 0).select("plan_id", "wall_id", "key", "to_wall", "to_key").distinct()
+    match = [F.col(f"l.{c}").eqNullSafe(F.col(f"x.{c}")) for c in ("plan_id", "wall_id", "key", "to_wall", "to_key")]
+    clear = lines.alias("l").join(blocked.alias("x"), match, "left_anti")
+    rank = F.struct("far", F.col("to_key").isNull().alias("side"), "to_wall", "to_key")
+    best = clear.groupBy("plan_id", "wall_id", "key").agg(F.min_by(F.struct("to_wall", "to_key", F.col("p").alias("a"), F.col("q").alias("b"), F.col("far").alias("length")), rank).alias("c")).select("plan_id", "wall_id", "key", "c.*")
+    best = cut(best)
+    end = lambda w, k: F.struct("plan_id", F.col(w).alias("wall_id"), F.col(k).alias("key"))
+    items = best.withColumn("id", end("wall_id", "key")).withColumn("rank", F.col("id"))
+    joined = best.where("to_key IS NOT NULL").select(end("wall_id", "key").alias("u"), end("to_wall", "to_key").alias("v")).where(F.col("u") < F.col("v"))
+    return suppressed(items, joined).select(*best.columns)

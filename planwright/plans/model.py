@@ -295,3 +295,22 @@ def sanitized_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = got.doors.groupBy("plan_id").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.col("span_to") - F.col("span_from")).alias("total"))
     d = doors.select("plan_id").distinct().join(notes, "plan_id", "left").join(kept, "plan_id", "left").fillna(0, ["gone", "outside", "kept"]).fillna(0.0, ["total"])
     return d.select(F.col("plan_id").cast("long").alias("o_orderkey"), F.col("kept").alias("n_kept"), F.col("gone").alias("n_wall_gone"), F.col("outside").alias("n_outside"), "total")
+
+
+@query("""
+WITH s AS (SELECT p_partkey AS k, CAST(p_size * 3 AS DOUBLE) AS far, p_partkey % 2 AS across FROM part)
+SELECT k AS p_partkey, 'own' AS wall_id, 1 AS key, 'other' AS to_wall, CASE across WHEN 1 THEN -1 ELSE 0 END AS to_key, CASE across WHEN 1 THEN far - 4.5 ELSE far END AS length FROM s WHERE (across = 1 AND far > 10 AND far - 4.5 <= 96) OR (across = 0 AND far > 8 AND far <= 96)""")
+def wall_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wall that stops short of another on its line or across, for every part: the line that closes the gap."""
+    d, k = tables.load(spark, sf_dir, "part"), F.col("p_partkey")
+    at = 100 + (F.col("p_size") * 3).cast("double")
+    wall = lambda n, a, b: F.struct(F.lit(n).alias("wall_id"), a.alias("a"), b.alias("b"), F.lit(8.0).alias("thickness"))
+    # the other wall comes later in the order of ends
+    other = F.when(k % 2 == 1, wall("other", _p(at, -50), _p(at, 50))).otherwise(wall("other", _p(at, 0), _p(at + 100, 0)))
+    walls = d.select(k.alias("plan_id"), F.explode(F.array(wall("own", _p(0, 0), _p(100, 0)), other)).alias("w")).select("plan_id", "w.*")
+    got = gaps.closures(walls, d.select(k.alias("plan_id"), F.lit(8.0).alias("major")))
+    # either end may tell of a line between two: told from the first wall
+    ends = got.select("plan_id", "wall_id", "key", "to_wall", F.coalesce("to_key", F.lit(-1)).alias("to_key"), "length")
+    back = (F.col("wall_id") == "other") & (F.col("to_wall") == "own")
+    turned = ends.select("plan_id", F.when(back, "own").otherwise(F.col("wall_id")).alias("wall_id"), F.when(back, F.col("to_key")).otherwise(F.col("key")).alias("key"), F.when(back, "other").otherwise(F.col("to_wall")).alias("to_wall"), F.when(back, F.col("key")).otherwise(F.col("to_key")).alias("to_key"), "length")
+    return turned.select(F.col("plan_id").alias("p_partkey"), "wall_id", "key", "to_wall", "to_key", R(F.col("length"), 4).alias("length"))

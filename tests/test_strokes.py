@@ -152,3 +152,63 @@ def test_components_of_a_very_long_chain(spark, n):
     e = spark.range(n).select(((F.col("id") * 7919) % n).alias("u"), ((F.col("id") * 7919 + 7919) % n).alias("v")).where(f"u <> {n - 7919}")
     got = spatial.components(e.unionByName(spark.createDataFrame([(n + 5, n + 5)], "u long, v long"))).groupBy("label").count().collect()
     assert {r.label: r["count"] for r in got} == {0: n, n + 5: 1}
+
+
+def brute_closures(rows, major):
+    geo = {n: (a, b, math.dist(a, b), ((b[0] - a[0]) / math.dist(a, b), (b[1] - a[1]) / math.dist(a, b)), t) for _, n, a, b, t, _ in rows}
+    touched = {(n, k) for _, n, k, _ in brute_contacts(rows)}
+    free = [(n, k, w[k], (w[3][0] * (2 * k - 1), w[3][1] * (2 * k - 1))) for n, w in sorted(geo.items()) for k in (0, 1) if (n, k) not in touched]
+    reach = 12 * major
+
+    def within(p, s, o, beside):
+        a, _, long, d, t = o
+        lo, hi = -math.inf, math.inf
+        v = (p[0] - a[0], p[1] - a[1])
+        for at, speed, low, high in ((v[0] * d[0] + v[1] * d[1], s[0] * d[0] + s[1] * d[1], 0, long), (d[0] * v[1] - d[1] * v[0], d[0] * s[1] - d[1] * s[0], -t / 2 - beside, t / 2 + beside)):
+            if abs(speed) < 1e-12:
+                if not low <= at <= high:
+                    return None
+            else:
+                lo, hi = max(lo, min((low - at) / speed, (high - at) / speed)), min(hi, max((low - at) / speed, (high - at) / speed))
+        return (lo, hi) if hi >= lo else None
+
+    def clear(p, q, pad):
+        far = math.dist(p, q)
+        s = ((q[0] - p[0]) / far, (q[1] - p[1]) / far)
+        return not any((c := within(p, s, o, 0)) and min(c[1], far - pad) > max(c[0], pad) for o in geo.values())
+
+    out, done = set(), set()
+    for n, k, p, d in free:
+        if (n, k) in done:
+            continue
+        options = []
+        for m, j, q, _ in free:
+            far = math.dist(p, q)
+            if m == n or not 2 <= far <= reach:
+                continue
+            v = (q[0] - p[0], q[1] - p[1])
+            ahead = v[0] * d[0] + v[1] * d[1]
+            if ahead / far >= math.cos(math.radians(15)) or (min(abs(v[0]), abs(v[1])) / far <= math.sin(math.radians(10)) and ahead > -0.2 * far):
+                if clear(p, q, max(geo[n][4], geo[m][4])):
+                    options.append((far, False, m, j))
+        hits = sorted((max(2.0, c[0]), m) for m, o in geo.items() if m != n and (c := within(p, d, o, 0.5)) and c[1] >= 2 and c[0] <= reach)
+        if hits and abs(geo[hits[0][1]][3][0] * d[0] + geo[hits[0][1]][3][1] * d[1]) <= 0.9:
+            far = hits[0][0]
+            if clear(p, (p[0] + d[0] * far, p[1] + d[1] * far), geo[n][4]):
+                options.append((far, True, hits[0][1], None))
+        if options:
+            far, side, m, j = min(options, key=lambda x: x[:3])
+            out.add((n, k, m, j, round(far, 5)))
+            if not side:
+                done.add((m, j))
+    return out
+
+
+def test_closures_equal_brute_force(spark):
+    rows = [r for seed in (7, 8, 9) for r in scattered(seed, 45)]
+    profiles = spark.createDataFrame([(str(s), 14.0) for s in (7, 8, 9)], "plan_id string, major double")
+    got = gaps.closures(spark.createDataFrame(rows, WALLS), profiles).collect()
+    for seed in (7, 8, 9):
+        want = brute_closures([r for r in rows if r[0] == str(seed)], 14.0)
+        assert {(r.wall_id, r.key, r.to_wall, r.to_key, round(r.length, 5)) for r in got if r.plan_id == str(seed)} == want
+    assert sum(r.to_key is not None for r in got) > 5 and sum(r.to_key is None for r in got) > 5

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
-from planwright.operators import gaps, intents, placement, review, sanitize, spatial, structure, validation, zones
+from planwright.operators import answers, gaps, intents, placement, review, sanitize, spatial, structure, validation, zones
 from planwright.plans.registry import query
 from planwright.sources import projects, tables
 
@@ -314,3 +314,30 @@ def wall_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = (F.col("wall_id") == "other") & (F.col("to_wall") == "own")
     turned = ends.select("plan_id", F.when(back, "own").otherwise(F.col("wall_id")).alias("wall_id"), F.when(back, F.col("to_key")).otherwise(F.col("key")).alias("key"), F.when(back, "other").otherwise(F.col("to_wall")).alias("to_wall"), F.when(back, F.col("key")).otherwise(F.col("to_key")).alias("to_key"), "length")
     return turned.select(F.col("plan_id").alias("p_partkey"), "wall_id", "key", "to_wall", "to_key", R(F.col("length"), 4).alias("length"))
+
+
+@query("""
+WITH d AS (SELECT p_partkey AS k, p_partkey % 8 AS form, p_size AS s FROM part),
+e AS (SELECT *, CASE form WHEN 1 THEN 'Unknown room "garage". Known rooms: hall, bath.' WHEN 2 THEN CASE WHEN s % 12 BETWEEN 1 AND 8 THEN NULL ELSE 'Quantity for "plant" must be an integer 1–8.' END WHEN 3 THEN 'Response is not valid JSON.' WHEN 4 THEN CASE WHEN s % 2 = 1 THEN 'Unknown floor material "lava".,renovate needs "style" or "finishes".' END
+  WHEN 5 THEN CASE WHEN s % 50 BETWEEN 6 AND 40 THEN NULL ELSE 'minimumWalkway must be a number of metres between 0.3 and 2.' END WHEN 6 THEN '[1] Unknown intent "fly". Allowed: fit_furniture, check_fit, renovate, remove_furniture, describe_room.' WHEN 7 THEN 'Unexpected field "size" for remove_furniture.' END AS errors FROM d)
+SELECT k AS p_partkey, errors IS NULL AS ok, coalesce(errors, '') AS errors, CASE WHEN errors IS NULL THEN ['describe_room', '', 'place_furniture', '', 'renovate', 'check_fit'][CAST(form + 1 AS INT)] ELSE '' END AS action,
+  CASE WHEN errors IS NULL AND form = 2 THEN s % 12 WHEN errors IS NULL AND form = 5 THEN 1 ELSE 0 END AS n_items FROM e""")
+def answers_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language model's answer per part, sound or broken by its size, in a flat of two rooms."""
+    d = tables.load(spark, sf_dir, "part")
+    k, s = F.col("p_partkey"), F.col("p_size")
+    size = s.cast("string")
+    forms = [
+        F.lit('{"intent":"describe_room","room":"hall"}'), F.lit('{"intent":"describe_room","room":"garage"}'), F.concat(F.lit('{"intent":"fit_furniture","room":"hall","items":[{"type":"plant","quantity":'), (s % 12).cast("string"), F.lit("}]}")),
+        F.concat(F.lit("The size is "), size), F.concat(F.lit('{"intent":"renovate","room":"hall","finishes":{"floor":"'), F.when(s % 2 == 1, "lava").otherwise("Walnut"), F.lit('"}}')),
+        F.concat(F.lit('{"intent":"check_fit","room":"hall","items":[{"type":"desk"}],"constraints":{"minimumWalkway":'), (s % 50 / 20).cast("string"), F.lit("}}")), F.lit('[{"intent":"describe_room","room":"hall"},{"intent":"fly"}]'), F.concat(F.lit('{"intent":"remove_furniture","items":[{"type":"desk"}],"size":'), size, F.lit("}")),
+    ]
+    text = forms[7]
+    for i, form in enumerate(forms[:7]):
+        text = F.when(k % 8 == i, form).otherwise(text)
+    asked = d.select(k.alias("answer_id"), k.alias("plan_id"), text.alias("text"), _null("string", "selected_room_id"))
+    room = lambda i, r, n, t: F.struct(F.lit(i).alias("ord"), F.lit(r).alias("room_id"), F.lit(n).alias("name"), F.lit(t).alias("type"), F.lit(5.0).alias("area"))
+    rooms = d.select(k.alias("plan_id"), F.explode(F.array(room(0, "hall", "Hall", "hall"), room(1, "bath", "Bathroom", "bathroom"))).alias("r")).select("plan_id", "r.*")
+    first = F.get("intents", 0)
+    got = answers.checked(asked, rooms)
+    return got.select(F.col("answer_id").alias("p_partkey"), "ok", F.array_join("errors", ",").alias("errors"), F.coalesce(first["action"], F.lit("")).alias("action"), F.coalesce(F.size(first["furniture"]), F.lit(0)).alias("n_items"))

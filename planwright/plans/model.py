@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
-from planwright.operators import answers, gaps, intents, placement, review, sanitize, spatial, structure, validation, zones
+from planwright.operators import answers, gaps, intents, placement, renovation, review, sanitize, solids, spatial, structure, validation, zones
 from planwright.plans.registry import query
 from planwright.sources import projects, tables
 
@@ -341,3 +341,42 @@ def answers_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.get("intents", 0)
     got = answers.checked(asked, rooms)
     return got.select(F.col("answer_id").alias("p_partkey"), "ok", F.array_join("errors", ",").alias("errors"), F.coalesce(first["action"], F.lit("")).alias("action"), F.coalesce(F.size(first["furniture"]), F.lit(0)).alias("n_items"))
+
+
+@query("""
+WITH d AS (SELECT p_partkey AS k, CAST(5 + p_partkey % 4 AS DOUBLE) AS long, CAST(2 + p_size % 4 * 0.2 AS DOUBLE) AS door, CAST(p_size % 3 * 0.45 AS DOUBLE) AS sill FROM part),
+t AS (SELECT *, least(CAST(2.5 AS DOUBLE), sill + 1.5) AS top FROM d)
+SELECT k AS p_partkey, CAST(3 AS BIGINT) AS n_solid, CASE WHEN sill > 0 THEN 1 ELSE 0 END AS n_sill, CASE WHEN door < 2.499 THEN 1 ELSE 0 END + CASE WHEN sill + 1.5 < 2.499 THEN 1 ELSE 0 END AS n_lintel, floor((long * 2.5 - 0.8 * least(door, 2.5) - (top - sill)) * 0.2 * 10000 + 0.5) / 10000 AS volume FROM t""")
+def wall_solids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wall with a door and a window per part, as boxes."""
+    d, k = tables.load(spark, sf_dir, "part"), F.col("p_partkey")
+    walls = d.select(k.alias("floor_id"), F.lit("w").alias("wall_id"), _p(0, 0).alias("start"), _p((5 + k % 4).cast("double"), 0).alias("end"), F.lit(0.2).alias("thickness"), F.lit(2.5).alias("height"))
+    own = [k.alias("floor_id"), F.lit("o").alias("id"), F.lit(0).alias("ord"), F.lit("w").alias("wall_id")]
+    doors = d.select(*own, F.lit(1.5).alias("offset"), F.lit(0.8).alias("width"), (2 + F.col("p_size") % 4 * 0.2).alias("height"))
+    windows = d.select(*own, F.lit(3.5).alias("offset"), F.lit(1.0).alias("width"), F.lit(1.5).alias("height"), (F.col("p_size") % 3 * 0.45).alias("sill_height"))
+    boxes = solids.pieces(walls, solids.opening_spans(doors, windows))
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    counts = boxes.groupBy("floor_id").agg(of("solid").alias("n_solid"), of("sill").cast("int").alias("n_sill"), of("lintel").cast("int").alias("n_lintel"))
+    whole = counts.join(solids.volumes(walls, boxes), "floor_id")
+    return whole.select(F.col("floor_id").alias("p_partkey"), "n_solid", "n_sill", "n_lintel", R(F.col("volume"), 4).alias("volume"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey, ['hall', 'bath', 'attic'][CAST(o_orderkey % 3 + 1 AS INT)] AS room, 'finish-' || o_orderkey % 7 AS finish, 'floor-' || o_orderkey % 5 AS floor FROM orders)
+SELECT o_custkey, arg_max(finish, o_orderkey) FILTER (WHERE room <> 'attic') AS shared_door, arg_max(finish, o_orderkey) FILTER (WHERE room = 'hall') AS hall_door, arg_max(floor, o_orderkey) FILTER (WHERE room = 'bath') AS bath_floor,
+  coalesce(sum(CASE room WHEN 'hall' THEN 3 WHEN 'bath' THEN 2 END), 0)::BIGINT AS n_commands FROM o GROUP BY o_custkey""")
+def renovations_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flat per customer, renovated once per order: two rooms share a door, a third one isn't there."""
+    o = tables.load(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    room = F.element_at(F.array(*map(F.lit, ("hall", "bath", "attic"))), (key % 3 + 1).cast("int"))
+    finish, floor = F.concat(F.lit("finish-"), (key % 7).cast("string")), F.concat(F.lit("floor-"), (key % 5).cast("string"))
+    asked = o.select(F.col("o_custkey").alias("plan_id"), F.lit(0).alias("ask_id"), key.alias("ord"), room.alias("room_id"), F.create_map(F.lit("doorMaterialId"), finish, F.lit("floorMaterialId"), floor).alias("patch"))
+    flat = F.array(F.struct(F.lit("hall").alias("room_id"), F.array(F.lit("shared"), F.lit("front")).alias("door_ids"), F.array(F.lit("v")).alias("window_ids")), F.struct(F.lit("bath").alias("room_id"), F.array(F.lit("shared")).alias("door_ids"), F.array(F.lit("v")).alias("window_ids")))
+    plans = o.select(F.col("o_custkey").alias("plan_id")).distinct()
+    found = renovation.commands(asked, plans.select("plan_id", F.explode(flat).alias("r")).select("plan_id", "r.*"))
+    left = renovation.finished(found)
+    of = lambda i, f: F.max(F.when((F.col("id") == i) & (F.col("field") == f), F.col("value")))
+    last = left.groupBy("plan_id").agg(of("shared", "materialId").alias("shared_door"), of("front", "materialId").alias("hall_door"), of("bath", "floorMaterialId").alias("bath_floor"))
+    counts = found.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_commands"))
+    return plans.join(last, "plan_id", "left").join(counts, "plan_id", "left").fillna(0, ["n_commands"]).withColumnRenamed("plan_id", "o_custkey")

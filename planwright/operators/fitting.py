@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
 from planwright.operators import placement
-from planwright.sources.lineage import cut
+from planwright.sources.lineage import cut, spread
 
 #: Fixed values, in metres: steps along a wall and of the grid; what a turned pose costs.
 STEP, GRID, TURNED = 0.05, 0.1, 0.05
@@ -95,7 +95,7 @@ def anchored(asked: DataFrame, furniture: DataFrame) -> DataFrame:
 def _tried(poses: DataFrame, asked: DataFrame, world: dict[str, DataFrame], furniture: DataFrame) -> DataFrame:
     """Poses with their issues, and whether they may be taken: no hard issue, within the room."""
     d = poses.join(asked.select(*KEY, "room_id", "polygon", "width", "depth", "height", "collides", "front_clearance"), [*KEY])
-    d = d.withColumn("item_id", F.to_json(F.array(F.col("request_id").cast("string"), F.col("place").cast("string")))).withColumn("elevation", F.lit(0.0))
+    d = spread(d, *KEY, "place").withColumn("item_id", F.to_json(F.array(F.col("request_id").cast("string"), F.col("place").cast("string")))).withColumn("elevation", F.lit(0.0))
     own = placement.footprint(F.col("position"), F.col("width"), F.col("depth"), F.col("rotation"))
     items = cut(d.withColumn("within", G.contains_polygon(F.col("polygon"), own, placement.TOLERANCE)).drop("polygon"))
     issues = placement.placement_issues(items.drop("request_id", "place", "score", "order", "within"), world["rooms"], world["walls"], world["fixtures"], furniture, world["zones"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
 from planwright.operators.rules import union_rules
+from planwright.sources.lineage import spread
 
 #: The constraints of a placement.
 WALKING_CLEARANCE, WALL_GAP, TOLERANCE = 0.6, 0.02, 0.005
@@ -62,9 +63,10 @@ def placement_issues(items: DataFrame, rooms: DataFrame, walls: DataFrame, fixtu
     space in front.  A blocked swing says all about its door, and a door counts one access zone.
     """
     own = footprint(F.col("position"), F.col("width"), F.col("depth"), F.col("rotation"))
-    a = items.withColumn("polygon", own).withColumn("box", G.bounds(F.col("polygon")))
+    a = spread(items, "floor_id", "item_id").withColumn("polygon", own).withColumn("box", G.bounds(F.col("polygon")))
     r = rooms.select("floor_id", F.col("room_id").alias("in_room"), "ord", F.col("polygon").alias("room_polygon"))
-    held = a.join(r, "floor_id").where(G.contains_polygon(F.col("room_polygon"), F.col("polygon"), TOLERANCE))
+    inside = (F.col("box.min_x") >= F.col("room_box.min_x") - TOLERANCE) & (F.col("box.max_x") <= F.col("room_box.max_x") + TOLERANCE) & (F.col("box.min_z") >= F.col("room_box.min_z") - TOLERANCE) & (F.col("box.max_z") <= F.col("room_box.max_z") + TOLERANCE)
+    held = a.join(r.withColumn("room_box", G.bounds(F.col("room_polygon"))), "floor_id").where(inside).where(G.contains_polygon(F.col("room_polygon"), F.col("polygon"), TOLERANCE))
     rank = F.struct((F.col("in_room") != F.col("room_id")).alias("other"), "ord")
     home = held.groupBy("floor_id", "item_id").agg(F.min_by(F.struct("in_room", "room_polygon"), rank).alias("home"))
     a = a.join(home, ["floor_id", "item_id"], "left")

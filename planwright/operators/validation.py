@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
 from planwright.operators.rules import union_rules
+from planwright.sources.lineage import spread
 
 SCHEMA_VERSION = 2
 #: Overlap of rooms that is let pass, in square metres, and tolerance of spans on walls.
@@ -73,7 +74,7 @@ def room_issues(rooms: DataFrame, materials: DataFrame | None = None) -> DataFra
         "room-polygon-vertices": ("error", few), "room-polygon-nan": ("error", wild), "room-area": ("error", sound & (G.area(p) < 0.05)), "room-self-intersection": ("error", sound & G.self_intersects(p)),
         "room-duplicate-vertex": ("error", sound & close), "room-ceiling": ("error", sound & _bad(F.col("ceiling_height"))),
     })
-    whole = rooms.where(~few)
+    whole = spread(rooms.where(~few), *ISSUE)
     if materials is not None:
         used = rooms.where(sound).select(*ISSUE, "id", F.explode("material_ids").alias("material_id"))
         own = union_rules(own, _issue(used.join(materials.select("material_id"), "material_id", "left_anti"), "warning", "unknown-material", "room"))

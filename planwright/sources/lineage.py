@@ -20,3 +20,12 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="planwright-lineage-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over as many tasks as the session's shuffles have, or its cores if these are more.
+
+    For rows that are few bytes but much work, which Spark would otherwise gather in a few tasks by size.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
 from planwright.operators.spatial import room_at
+from planwright.sources.lineage import shuffled
 
 #: Free depth on both sides of doors and in front of windows, in metres.
 DOOR_CLEARANCE, WINDOW_CLEARANCE = 0.8, 0.3
@@ -72,12 +73,24 @@ def rooms_beside_walls(walls: DataFrame, rooms: DataFrame) -> DataFrame:
 
 
 def rooms_along_walls(walls: DataFrame, rooms: DataFrame) -> DataFrame:
-    """Rooms that touch either face of a wall, probed about every ALONG metres: (floor_id, wall_id, room_id)."""
-    span = G.distance(F.col("start"), F.col("end"))
+    """Rooms that touch either face of a wall, probed about every ALONG metres: (floor_id, wall_id, room_id).
+
+    Walls meet the rooms near them first; probes are made of the pairs, so that they stay where the join by
+    floor has put them, and only those in a room's bounds are held against its outline.
+    """
+    start, end = F.col("start"), F.col("end")
+    span = G.distance(start, end)
     steps = F.least(F.lit(MOST_STEPS), F.greatest(F.lit(2), F.ceil(span / ALONG).cast("int")))
-    d = walls.withColumn("span", span).withColumn("steps", steps).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("steps"))))
-    found = _probed(_sides(d, F.col("span") * F.col("step") / F.col("steps")), rooms, ["wall_id", "side", "step"])
-    return found.where("room_id IS NOT NULL").select("floor_id", "wall_id", "room_id").distinct()
+    d = walls.select("floor_id", "wall_id", "start", "end", span.alias("span"), steps.alias("steps"), (F.col("thickness") / 2 + SIDE_PROBE).alias("out"), G.wall_direction(start, end).alias("d"), G.wall_normal(start, end).alias("n"))
+    r = rooms.select("floor_id", "room_id", "ord", "polygon", G.bounds(F.col("polygon")).alias("b"))
+    b = F.col("b")
+    beside = [(F.least(start[c], end[c]) - F.col("out") <= b[f"max_{c}"]) & (F.greatest(start[c], end[c]) + F.col("out") >= b[f"min_{c}"]) for c in ("x", "z")]
+    pairs = d.join(r, "floor_id").where(beside[0] & beside[1]).withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("steps"))))
+    at = F.col("at")
+    pairs = pairs.withColumn("at", G.add(G.add(start, G.scale(F.col("d"), F.col("span") * F.col("step") / F.col("steps"))), G.scale(F.col("n"), F.col("out") * F.col("side"))))
+    inside = (at["x"] >= b["min_x"]) & (at["x"] <= b["max_x"]) & (at["z"] >= b["min_z"]) & (at["z"] <= b["max_z"])
+    hits = pairs.where(inside).where(G.strictly_contains(F.col("polygon"), at))
+    return hits.groupBy("floor_id", "wall_id", "side", "step").agg(F.min_by("room_id", "ord").alias("room_id")).select("floor_id", "wall_id", "room_id").distinct()
 
 
 def rooms_of_openings(openings: DataFrame, walls: DataFrame, rooms: DataFrame) -> DataFrame:
@@ -94,12 +107,12 @@ def topology(rooms: DataFrame, walls: DataFrame, doors: DataFrame, windows: Data
 
     def ids(pairs: DataFrame, of: DataFrame, key: str, name: str) -> DataFrame:
         d = pairs.where("room_id IS NOT NULL").select("floor_id", key, "room_id").distinct().join(of.select("floor_id", F.col(key), F.col("ord").alias("_o")), ["floor_id", key])
-        return d.groupBy("floor_id", "room_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_o", key))), lambda x: x[key]).alias(name))
+        return shuffled(d.groupBy("floor_id", "room_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_o", key))), lambda x: x[key]).alias(name)))
 
     out = rooms
     for part in (ids(rooms_along_walls(walls, rooms), walls, "wall_id", "wall_ids"), ids(beside, doors, "id", "door_ids"), ids(rooms_of_openings(windows, walls, rooms), windows, "id", "window_ids")):
         out = out.join(part, ["floor_id", "room_id"], "left")
-    return linked, out
+    return shuffled(linked), shuffled(out)
 
 
 def room_metrics(rooms: DataFrame) -> DataFrame:

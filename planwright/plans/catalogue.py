@@ -131,9 +131,9 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0 = F.col("n_nationkey") * 40.0 - 100
     corner = lambda x, z: G.point(x, F.lit(z))
     rooms = nation.select(F.col("n_regionkey").alias("plan"), F.col("n_nationkey").alias("room"), F.col("n_nationkey").alias("ord"), F.array(corner(x0, 10.5), corner(x0 + 60, 10.5), corner(x0 + 60, 80.5), corner(x0, 80.5)).alias("polygon"))
-    points = tables.load(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    points = tables.load(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     points = points.select(F.col("n_regionkey").alias("plan"), "c_custkey", G.point(F.col("c_acctbal") / 10, F.col("c_custkey") % 97).alias("at"))
-    return spatial.room_at(points, rooms, "plan", "c_custkey", "room")
+    return spatial.room_at(points, F.broadcast(rooms), "plan", "c_custkey", "room")
 
 
 @query("""

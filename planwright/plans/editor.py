@@ -26,7 +26,7 @@ def _customer_floors(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     The customer's key picks what is odd about the floor: a wall short of another, one that runs on, a
     third wall at a joint, a railing, an outline off its wall.
     """
-    c = tables.load(spark, sf_dir, "customer")
+    c = tables.dealt(spark, sf_dir, "customer", "c_custkey")
     k, s = F.col("c_custkey") % 13, (F.col("c_custkey") * 5 + F.col("c_nationkey")) % 7
     wide = (4 + F.col("c_nationkey") % 5).cast("double")
     d = c.select(F.col("c_custkey").alias("floor_id"), k.alias("k"), s.alias("s"), wide.alias("w"), (wide / 2).alias("mid"))
@@ -142,7 +142,7 @@ SELECT c_custkey, failure, CASE WHEN failure IS NULL THEN floor(CASE WHEN is_sou
     ELSE 2 * n_south + 2 * n_east END::BIGINT AS tried FROM f""")
 def fitted_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bare room and a piece of furniture for every customer."""
-    c = tables.load(spark, sf_dir, "customer")
+    c = tables.dealt(spark, sf_dir, "customer", "c_custkey")
     wide, deep = 1.35 + F.col("c_nationkey") % 5 * 0.6, 1.55 + F.floor(F.col("c_custkey") / 6) % 4 * 0.55
     rooms = c.select(F.col("c_custkey").alias("floor_id"), F.lit("room").alias("room_id"), F.lit(0).alias("ord"), F.array(_at(0, 0), _at(wide, 0), _at(wide, deep), _at(0, deep)).alias("polygon"))
     item = F.element_at(F.array(*[F.lit(w[0]) for w in WISHES]), (F.col("c_custkey") % len(WISHES) + 1).cast("int"))

@@ -52,7 +52,7 @@ SELECT * FROM i""")
 def validated_apartments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An apartment per customer with a door per order; keys pick what is wrong with each."""
     k = F.col("k")
-    c = tables.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_custkey").cast("string").alias("apartment_id"))
+    c = tables.dealt(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("k"), F.col("c_custkey").cast("string").alias("apartment_id"))
     apartments = c.select("apartment_id", F.when(k % 11 == 0, 1).otherwise(2).alias("schema_version"))
     f = c.where(k % 13 != 0).withColumn("floor_id", F.lit("f"))
     sources = F.create_map(F.lit("geometry"), F.lit("plan")).alias("sources")
@@ -85,7 +85,7 @@ SELECT k AS p_partkey, zone_id, issue, floor((pos - w / 2) * 10000 + 0.5) / 1000
   floor(CASE WHEN side > 0 THEN 0.1 ELSE -0.1 - deep END * 10000 + 0.5) / 10000 AS min_z, floor(CASE WHEN side > 0 THEN 0.1 + deep ELSE -0.1 END * 10000 + 0.5) / 10000 AS max_z, floor(w * deep * 10000 + 0.5) / 10000 AS area FROM z""")
 def opening_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must stay free about a door and a window, for every part."""
-    d = tables.load(spark, sf_dir, "part").withColumn("floor_id", F.col("p_partkey"))
+    d = tables.dealt(spark, sf_dir, "part", "p_partkey").withColumn("floor_id", F.col("p_partkey"))
     k = F.col("p_partkey")
     walls = d.select("floor_id", F.lit("w").alias("wall_id"), _p(0, 0).alias("start"), _p(8, 0).alias("end"), F.lit(0.2).alias("thickness"))
     kind = F.element_at(F.array(*map(F.lit, ("hinged", "double", "sliding", "bifold", "opening"))), (k % 5 + 1).cast("int"))
@@ -100,7 +100,7 @@ WITH d AS (SELECT p_partkey AS k, p_size FROM part)
 SELECT k AS p_partkey, CASE WHEN k % 3 = 0 THEN NULL ELSE 'south' END AS negative, CASE WHEN p_size % 2 = 0 THEN 'west' ELSE 'east' END AS positive, CASE WHEN p_size % 2 = 0 THEN 'door' ELSE '' END AS west_doors, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'door' END AS east_doors, 'wall' AS west_walls FROM d""")
 def door_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rooms that a door connects, and the doors and walls of rooms, for every part."""
-    d = tables.load(spark, sf_dir, "part").withColumn("floor_id", F.col("p_partkey"))
+    d = tables.dealt(spark, sf_dir, "part", "p_partkey").withColumn("floor_id", F.col("p_partkey"))
     room = lambda n, i, p, where=None: F.struct(F.lit(n).alias("room_id"), F.lit(i).alias("ord"), p.alias("polygon")) if where is None else F.when(where, F.struct(F.lit(n).alias("room_id"), F.lit(i).alias("ord"), p.alias("polygon")))
     rooms = d.select("floor_id", F.explode(F.array_compact(F.array(room("west", 0, _box(0, 0.1, 3, 3)), room("east", 1, _box(3.1, 0.1, 6, 3)), room("south", 2, _box(0, -3, 6, -0.1), F.col("p_partkey") % 3 != 0)))).alias("r")).select("floor_id", "r.*")
     walls = d.select("floor_id", F.lit("wall").alias("wall_id"), F.lit(0).alias("ord"), _p(0, 0).alias("start"), _p(6, 0).alias("end"), F.lit(0.2).alias("thickness"))
@@ -166,7 +166,7 @@ h AS (SELECT *, CASE WHEN (share < 0.15 AND (score < 0.35 OR fit < 0.5)) OR (lin
 SELECT k AS c_custkey, fate, floor(score * 1000000 + 0.5) / 1000000 AS score, floor(share * 10000 + 0.5) / 10000 AS cluster, CAST(links AS DOUBLE) / 2 AS connectivity, floor(CASE fate WHEN 'doubtful' THEN least(c, score + 0.1) ELSE c END * 100 + 0.5) / 100 AS confidence FROM h""")
 def structure_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box of walls and a stroke in it for every customer: is the stroke a wall?"""
-    c, k = tables.load(spark, sf_dir, "customer"), F.col("c_custkey")
+    c, k = tables.dealt(spark, sf_dir, "customer", "c_custkey"), F.col("c_custkey")
     thick = F.element_at(F.array(*[F.lit(float(t)) for t in (4, 6, 9, 12, 16)]), (F.col("c_nationkey") % 5 + 1).cast("int"))
     wall = lambda n, a, b, t, sure: F.struct(F.lit(n).alias("wall_id"), a.alias("a"), b.alias("b"), t.alias("thickness"), sure.alias("confidence"))
     box = [wall(f"w{i}", _p(*a), _p(*b), F.lit(12.0), F.lit(0.9)) for i, (a, b) in enumerate([((0, 0), (400, 0)), ((400, 0), (400, 300)), ((0, 300), (400, 300)), ((0, 0), (0, 300))])]
@@ -183,7 +183,7 @@ SELECT k AS p_partkey, CASE across WHEN 1 THEN 'to-wall' ELSE 'collinear' END AS
 WHERE (across = 1 AND far - t / 2 - 1.5 > 2 AND far - t / 2 - 1.5 <= 240) OR (across = 0 AND t = 8 AND off = 0 AND far > 1 AND far <= 240)""")
 def wall_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wall and another ahead of it, on its line or across, for every part: the gap between them."""
-    d, k = tables.load(spark, sf_dir, "part"), F.col("p_partkey")
+    d, k = tables.dealt(spark, sf_dir, "part", "p_partkey"), F.col("p_partkey")
     at, off = 100 + (F.col("p_size") * 6 - 5).cast("double"), F.when(k % 5 == 0, 40.0).otherwise(0.0)
     thick = F.when(k % 3 == 0, 12.0).otherwise(8.0)
     wall = lambda n, a, b, t: F.struct(F.lit(n).alias("wall_id"), a.alias("a"), b.alias("b"), t.alias("thickness"))
@@ -254,7 +254,7 @@ SELECT k AS p_partkey, ['place_furniture', 'check_fit', 'renovate', 'remove_furn
   CASE WHEN form = 2 THEN {_sql_dealt(FLOORS, "s", 1)} END AS floor, CASE WHEN form = 2 THEN {_sql_dealt(WALLS, "k", 1)} END AS wall FROM d""")
 def intents_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sentence per part, made of its number and size, in a flat of four rooms; every sixth is the part's own name."""
-    d = tables.load(spark, sf_dir, "part")
+    d = tables.dealt(spark, sf_dir, "part", "p_partkey")
     k, s = F.col("p_partkey"), F.col("p_size")
     where = F.when(s % 3 == 0, "living room").when(s % 3 == 1, "corridor").otherwise("smallest bedroom")
     forms = [
@@ -302,7 +302,7 @@ WITH s AS (SELECT p_partkey AS k, CAST(p_size * 3 AS DOUBLE) AS far, p_partkey %
 SELECT k AS p_partkey, 'own' AS wall_id, 1 AS key, 'other' AS to_wall, CASE across WHEN 1 THEN -1 ELSE 0 END AS to_key, CASE across WHEN 1 THEN far - 4.5 ELSE far END AS length FROM s WHERE (across = 1 AND far > 10 AND far - 4.5 <= 96) OR (across = 0 AND far > 8 AND far <= 96)""")
 def wall_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wall that stops short of another on its line or across, for every part: the line that closes the gap."""
-    d, k = tables.load(spark, sf_dir, "part"), F.col("p_partkey")
+    d, k = tables.dealt(spark, sf_dir, "part", "p_partkey"), F.col("p_partkey")
     at = 100 + (F.col("p_size") * 3).cast("double")
     wall = lambda n, a, b: F.struct(F.lit(n).alias("wall_id"), a.alias("a"), b.alias("b"), F.lit(8.0).alias("thickness"))
     # the other wall comes later in the order of ends
@@ -324,7 +324,7 @@ SELECT k AS p_partkey, errors IS NULL AS ok, coalesce(errors, '') AS errors, CAS
   CASE WHEN errors IS NULL AND form = 2 THEN s % 12 WHEN errors IS NULL AND form = 5 THEN 1 ELSE 0 END AS n_items FROM e""")
 def answers_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A language model's answer per part, sound or broken by its size, in a flat of two rooms."""
-    d = tables.load(spark, sf_dir, "part")
+    d = tables.dealt(spark, sf_dir, "part", "p_partkey")
     k, s = F.col("p_partkey"), F.col("p_size")
     size = s.cast("string")
     forms = [
@@ -349,7 +349,7 @@ t AS (SELECT *, least(CAST(2.5 AS DOUBLE), sill + 1.5) AS top FROM d)
 SELECT k AS p_partkey, CAST(3 AS BIGINT) AS n_solid, CASE WHEN sill > 0 THEN 1 ELSE 0 END AS n_sill, CASE WHEN door < 2.499 THEN 1 ELSE 0 END + CASE WHEN sill + 1.5 < 2.499 THEN 1 ELSE 0 END AS n_lintel, floor((long * 2.5 - 0.8 * least(door, 2.5) - (top - sill)) * 0.2 * 10000 + 0.5) / 10000 AS volume FROM t""")
 def wall_solids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wall with a door and a window per part, as boxes."""
-    d, k = tables.load(spark, sf_dir, "part"), F.col("p_partkey")
+    d, k = tables.dealt(spark, sf_dir, "part", "p_partkey"), F.col("p_partkey")
     walls = d.select(k.alias("floor_id"), F.lit("w").alias("wall_id"), _p(0, 0).alias("start"), _p((5 + k % 4).cast("double"), 0).alias("end"), F.lit(0.2).alias("thickness"), F.lit(2.5).alias("height"))
     own = [k.alias("floor_id"), F.lit("o").alias("id"), F.lit(0).alias("ord"), F.lit("w").alias("wall_id")]
     doors = d.select(*own, F.lit(1.5).alias("offset"), F.lit(0.8).alias("width"), (2 + F.col("p_size") % 4 * 0.2).alias("height"))

@@ -19,7 +19,17 @@ def cut(df: DataFrame) -> DataFrame:
         if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="planwright-lineage-"))
-    return df.checkpoint(eager=True)
+    return shuffled(df.checkpoint(eager=True))
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, which joins deal by key instead of copying it to the driver and all executors.
+
+    Spark judges a relation by the compressed files behind it, however many rows its functions make of
+    theirs: a few megabytes may stand for gigabytes.  A relation small whatever the tables, under
+    ``broadcast`` on the other side of a join, still goes to all executors.
+    """
+    return df.hint("merge")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -28,4 +38,4 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     For rows that are few bytes but much work, which Spark would otherwise gather in a few tasks by size.
     """
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+    return shuffled(df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys))

@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planwright.sources.lineage import shuffled, spread
+
+#: Tables that stay as they are, however large the others.
+FIXED = ("nation", "region")
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df if name in FIXED else shuffled(df)
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table over many tasks by its key: for queries that make much of each of its rows, which may be few bytes in few files."""
+    return spread(load(spark, sf_dir, name), key)
 
 
 def manifests(spark: SparkSession, folder: str, ranks: dict[str, int]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
-from planwright.sources.lineage import cut
+from planwright.sources.lineage import cut, shuffled
 
 
 def room_at(points: DataFrame, rooms: DataFrame, key: str, point_id: str, room_id: str) -> DataFrame:
@@ -19,7 +19,7 @@ def room_at(points: DataFrame, rooms: DataFrame, key: str, point_id: str, room_i
     at = F.col("at")
     inside = (at["x"] >= F.col("_b.min_x")) & (at["x"] <= F.col("_b.max_x")) & (at["z"] >= F.col("_b.min_z")) & (at["z"] <= F.col("_b.max_z"))
     hits = points.join(r, key).where(inside).where(G.strictly_contains(F.col("polygon"), at))
-    found = hits.groupBy(key, point_id).agg(F.min_by(room_id, "ord").alias(room_id))
+    found = shuffled(hits.groupBy(key, point_id).agg(F.min_by(room_id, "ord").alias(room_id)))
     return points.select(key, point_id).join(found, [key, point_id], "left")
 
 

@@ -270,7 +270,7 @@ def nearest_unique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH c AS (SELECT p_brand, p_partkey, p_size, pos, abs(pos / 10.0 - p_size / 2.0) + 100 * CASE WHEN pos > p_size * 8 THEN 1 ELSE 0 END AS total FROM part, range(0, 201, 20) AS r(pos))
 SELECT p_brand, p_partkey, floor(total * 1e6 + 0.5) / 1e6 AS total, CAST(pos AS BIGINT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_partkey ORDER BY total, pos) AS k FROM c) WHERE k = 1""")
 def best_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tables.load(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(200).cast("long"), F.lit(20).cast("long"))).alias("pos"))
+    c = tables.dealt(spark, sf_dir, "part", "p_partkey").select("p_brand", "p_partkey", "p_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(200).cast("long"), F.lit(20).cast("long"))).alias("pos"))
     total = F.abs(F.col("pos") / 10.0 - F.col("p_size") / 2.0) + 100 * F.when(F.col("pos") > F.col("p_size") * 8, 1).otherwise(0)
     return editing.best_candidate(c, ["p_brand", "p_partkey"], total, "pos", "pos").withColumn("total", R(F.col("total")))
 

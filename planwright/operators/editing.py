@@ -37,18 +37,22 @@ def best_candidate(candidates: DataFrame, request: list[str], total: Column, ord
 
 
 def sequential_fit(requests: DataFrame, room: str, length: str, step: float = 0.1) -> DataFrame:
-    """Places requests of each room along its wall in order; each placed item blocks the later ones.
+    """Places requests of each room along its wall in order (the narrower first of equals); each placed item blocks the later ones.
 
     ``requests``: room, ord, width, and the wall's length.  Placement depends on earlier placements,
-    so a room is one group in Python.
+    so a room is one group in Python.  A room only fills up: what is as wide as an item that found no
+    place there, or wider, finds none either and isn't looked at.
     """
     kind = requests.schema[room].dataType.simpleString()
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        free = None
-        for r in group.sort_values("ord").itertuples(index=False):
-            room_length, width = float(getattr(r, length)), float(r.width)
+        group = group.sort_values(["ord", "width"])
+        starts: list[float | None] = []
+        free, hopeless = None, {}
+        for room_length, width in zip(group[length].astype(float).tolist(), group["width"].astype(float).tolist(), strict=True):
+            if width >= hopeless.get(room_length, np.inf):
+                starts.append(None)
+                continue
             if free is None:
                 free = np.arange(int(room_length / step + 1e-9) + 1) * step
                 taken = np.zeros(0), np.zeros(0)
@@ -62,8 +66,11 @@ def sequential_fit(requests: DataFrame, room: str, length: str, step: float = 0.
                 start = float(slots[np.argmin(np.round(np.abs(slots + width / 2 - room_length / 2), 9))])
                 k = int(np.searchsorted(taken[0], start))
                 taken = np.insert(taken[0], k, start), np.insert(taken[1], k, start + width)
-            rows.append((getattr(r, room), int(r.ord), bool(len(slots)), start if len(slots) else None))
-        return pd.DataFrame(rows, columns=[room, "ord", "ok", "position"])
+            else:
+                hopeless[room_length] = min(hopeless.get(room_length, np.inf), width)
+            starts.append(start if len(slots) else None)
+        position = pd.Series(starts, index=group.index, dtype=object)
+        return pd.DataFrame({room: group[room], "ord": group["ord"], "ok": position.notna(), "position": position})
 
     return requests.groupBy(room).applyInPandas(place, f"{room} {kind}, ord long, ok boolean, position double")
 

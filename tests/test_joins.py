@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from planwright.operators import zones
+from planwright.operators import editing, zones
 from planwright.sources import lineage, tables
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +38,23 @@ def test_a_probe_along_a_wall_belongs_to_the_first_room(spark):
     rooms = spark.createDataFrame([(1, "first", 0, box(0.0, 3.0)), (1, "hidden", 1, box(1.0, 2.0)), (1, "beyond", 2, box(2.0, 6.0)), (1, "far", 3, [(9.0, 9.0), (10.0, 9.0), (9.0, 10.0)])], f"floor_id long, room_id string, ord int, polygon array<{pt}>")
     walls = spark.createDataFrame([(1, "wall", (0.0, 0.0), (6.0, 0.0), 0.2), (2, "other", (0.0, 0.0), (6.0, 0.0), 0.2)], f"floor_id long, wall_id string, start {pt}, end {pt}, thickness double")
     assert sorted(map(tuple, zones.rooms_along_walls(walls, rooms).collect())) == [(1, "wall", "beyond"), (1, "wall", "first")]
+
+
+def test_items_of_one_place_in_the_order_fit_the_same_way_however_they_arrive(spark):
+    items = [(1, i // 3, w, 3.0) for i, w in enumerate([0.5, 0.9, 0.2, 1.4, 0.3, 0.3, 0.8, 2.9, 0.1, 0.4, 0.6, 0.2])]
+    fitted = lambda rows: sorted(map(tuple, editing.sequential_fit(spark.createDataFrame(rows, "room long, ord long, width double, length double"), "room", "length").collect()), key=str)
+    got = fitted(items)
+    assert got == fitted(items[::-1])
+    assert len(got) == len(items)
+    # as if every item were looked at
+    taken, want = [], []
+    for _, k, w, _ in sorted(items, key=lambda x: (x[1], x[2])):
+        free = [s for s in (i * 0.1 for i in range(31)) if s + w <= 3 + 1e-9 and all(s + w <= a + 1e-9 or b <= s + 1e-9 for a, b in taken)]
+        start = min(free, key=lambda s: (round(abs(s + w / 2 - 1.5), 9), s), default=None)
+        taken += [(start, start + w)] if free else []
+        want.append((1, k, bool(free), start))
+    assert got == sorted(want, key=str)
+
+
+def test_rows_made_of_few_bytes_go_to_many_tasks(spark):
+    assert "RoundRobin" in (plan := entry.queries()["best_pose"](spark, SF)._jdf.queryExecution().executedPlan().toString()) or "REPARTITION_BY_NUM" in plan

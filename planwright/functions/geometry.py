@@ -1,6 +1,7 @@
 """Plan geometry as column expressions: points are structs (x, z), polygons arrays of points.
 
-Everything stays in generated code: rings are walked with higher-order functions.
+Rings are walked with higher-order functions; tests of a whole polygon against another, which take every
+edge of the one with every edge of the other, are the Arrow functions of ``rings``.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, types
 from pyspark.sql import functions as F
 
+from planwright.functions import rings
+
 #: Tolerance, in metres, within which a point counts as on an edge.
 EPS = 5e-4
 TINY = 1e-12
@@ -252,22 +255,12 @@ def convex_distance(a: Column, b: Column) -> Column:
 
 def contains_polygon(outer: Column, inner: Column, tolerance: float = EPS) -> Column:
     """Whether a polygon lies in another: vertices and edge middles inside and no edges that cross."""
-    def middle(e):
-        return point((e["a"]["x"] + e["b"]["x"]) / 2, (e["a"]["z"] + e["b"]["z"]) / 2)
-
-    ring = edges(inner)
-    crossing = F.exists(ring, lambda e: F.exists(edges(outer), lambda f: properly_intersect(e["a"], e["b"], f["a"], f["b"])))
-    return F.forall(inner, lambda p: contains(outer, p, tolerance)) & F.forall(ring, lambda e: contains(outer, middle(e), tolerance)) & ~crossing
+    return rings.contains(outer, inner, tolerance)
 
 
 def protrusion(inner: Column, outer: Column, step: float = 0.05) -> Column:
     """How far a polygon reaches out of another, its edges sampled every ``step`` metres."""
-    def samples(e):
-        n = F.greatest(F.lit(1), F.ceil(distance(e["a"], e["b"]) / step)).cast("int")
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: add(e["a"], scale(sub(e["b"], e["a"]), i / n)))
-
-    points = F.flatten(F.transform(edges(inner), samples))
-    return F.coalesce(F.array_max(F.transform(points, lambda p: F.when(contains(outer, p), F.lit(0.0)).otherwise(distance_to_boundary(p, outer)))), F.lit(0.0))
+    return rings.protrusion(inner, outer, step, EPS)
 
 
 def approximate_overlap(a: Column, b: Column, cell: float = 0.05, most: int = 10_000) -> Column:
@@ -295,9 +288,14 @@ POINT = types.StructType([types.StructField("x", types.DoubleType()), types.Stru
 
 
 @F.pandas_udf(types.ArrayType(types.ArrayType(POINT)))
-def convex_parts(polygons: pd.Series) -> pd.Series:
-    """Convex pieces of simple polygons: a convex one itself, else the triangles of ear clipping."""
-    return polygons.map(lambda ring: [[{"x": x, "z": z} for x, z in part] for part in _parts([(p["x"], p["z"]) for p in ring])])
+def _clipped(polygons: pd.Series) -> pd.Series:
+    return polygons.map(lambda ring: None if ring is None else [[{"x": x, "z": z} for x, z in part] for part in _parts([(p["x"], p["z"]) for p in ring])])
+
+
+def convex_parts(polygon: Column | str) -> Column:
+    """Convex pieces of a simple polygon: a convex one itself, else the triangles of ear clipping."""
+    p = F.col(polygon) if isinstance(polygon, str) else polygon
+    return F.coalesce(_clipped(F.when(~is_convex(p), p)), F.array(p))
 
 
 def _turn(a: tuple, b: tuple, c: tuple) -> float:
@@ -328,7 +326,7 @@ def _parts(ring: list[tuple]) -> list[list[tuple]]:
 
 def parts_overlap_depth(a: Column, b: Column) -> Column:
     """Greatest overlap depth of two sets of convex pieces, as ``convex_parts`` gives them."""
-    return F.array_max(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: overlap_depth(x, y)))))
+    return rings.parts_depth(a, b)
 
 
 def collinear_overlap(a0: Column, a1: Column, b0: Column, b1: Column, tolerance: Column) -> Column:

@@ -35,16 +35,17 @@ def front_clearance(position: Column, width: Column, depth: Column, rotation: Co
 
 def obstacles(walls: DataFrame, fixtures: DataFrame, furniture: DataFrame, zones: DataFrame) -> DataFrame:
     """What items may meet: floor_id, kind, issue, other_id, rank, min_item_top, parts (convex) and their bounds."""
-    cols = lambda kind, issue, other, rank, top, polygon: [F.lit(kind).alias("kind"), issue.alias("issue"), other.cast("string").alias("other_id"), rank.alias("rank"), top.cast("double").alias("min_item_top"), polygon.alias("polygon")]
+    cols = lambda kind, issue, other, rank, top, polygon, parts: [F.lit(kind).alias("kind"), issue.alias("issue"), other.cast("string").alias("other_id"), rank.alias("rank"), top.cast("double").alias("min_item_top"), parts(polygon).alias("parts"), G.bounds(polygon).alias("box")]
+    # rectangles are convex as they are made
+    whole, split = lambda d, rect: d.withColumn("polygon", rect), G.convex_parts
     none, zero = F.lit(None), F.lit("")
     f = furniture.where("collides")
-    rows = union_rules(
-        walls.select("floor_id", *cols("wall", F.lit("wall-collision"), F.col("wall_id"), zero, none, G.wall_footprint(F.col("start"), F.col("end"), F.col("thickness")))),
-        fixtures.select("floor_id", *cols("fixture", F.lit("fixture-collision"), F.col("id"), zero, none, F.col("footprint"))),
-        f.select("floor_id", *cols("furniture", F.lit("furniture-collision"), F.col("item_id"), zero, none, footprint(F.col("position"), F.col("width"), F.col("depth"), F.col("rotation")))),
-        zones.select("floor_id", *cols("zone", F.col("issue"), F.col("source_id"), F.col("zone_id"), F.col("min_item_top"), F.col("polygon"))),
+    return union_rules(
+        whole(walls, G.wall_footprint(F.col("start"), F.col("end"), F.col("thickness"))).select("floor_id", *cols("wall", F.lit("wall-collision"), F.col("wall_id"), zero, none, F.col("polygon"), F.array)),
+        fixtures.select("floor_id", *cols("fixture", F.lit("fixture-collision"), F.col("id"), zero, none, F.col("footprint"), split)),
+        whole(f, footprint(F.col("position"), F.col("width"), F.col("depth"), F.col("rotation"))).select("floor_id", *cols("furniture", F.lit("furniture-collision"), F.col("item_id"), zero, none, F.col("polygon"), F.array)),
+        zones.select("floor_id", *cols("zone", F.col("issue"), F.col("source_id"), F.col("zone_id"), F.col("min_item_top"), F.col("polygon"), split)),
     )
-    return rows.select("floor_id", "kind", "issue", "other_id", "rank", "min_item_top", G.convex_parts("polygon").alias("parts"), G.bounds(F.col("polygon")).alias("box"))
 
 
 def _boxes_meet(a: str, b: str) -> Column:
@@ -87,7 +88,8 @@ def placement_issues(items: DataFrame, rooms: DataFrame, walls: DataFrame, fixtu
     need = a.where("collides AND front_clearance > 0").withColumn("zone", front_clearance(F.col("position"), F.col("width"), F.col("depth"), F.col("rotation"), F.col("front_clearance")))
     need = need.withColumn("zone_box", G.bounds(F.col("zone")))
     room = F.col("home.room_polygon")
-    short = need.where(room.isNotNull()).select("floor_id", "item_id", F.when(~G.contains_polygon(room, F.col("zone"), TOLERANCE), G.protrusion(F.col("zone"), room)).otherwise(F.lit(0.0)).alias("amount"))
+    beyond = F.when(~G.contains_polygon(room, F.col("zone"), TOLERANCE), F.col("zone"))
+    short = need.where(room.isNotNull()).select("floor_id", "item_id", G.protrusion(beyond, room).alias("amount"))
     others = obstacles(walls, fixtures, furniture, zones).where("kind IN ('fixture', 'furniture')")
     near = need.drop("box").join(others, "floor_id").where(_boxes_meet("zone_box", "box") & (F.col("other_id") != F.col("item_id").cast("string")) | (F.col("kind") == "fixture") & _boxes_meet("zone_box", "box"))
     short = short.unionByName(near.select("floor_id", "item_id", G.parts_overlap_depth(F.array("zone"), F.col("parts")).alias("amount")))

@@ -92,3 +92,16 @@ def test_svg(spark):
     d = spark.createDataFrame([(1, 2, box(0.0, 0.0, 1.0, 1.0), "red"), (1, 1, box(0.0, 0.0, 2.0, 2.0), "white")], f"plan_id long, ord int, polygon array<{PT}>, fill string")
     text = annotations.svg(d, 10, 10).first().svg
     assert text.index("white") < text.index("red") and text.count("<polygon") == 2
+
+
+def test_pairs_of_polygons_are_held_against_each_other_in_batches(spark):
+    """Rings of unlike sizes, degenerate and null ones in one batch, and enough pairs for several slices."""
+    angle = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (1.2, 4.0), (1.2, 2.0), (0.0, 2.0)]
+    square, thin = [(1.5, 0.5), (2.5, 0.5), (2.5, 1.5), (1.5, 1.5)], [(1.0, 1.0), (1.0, 1.0), (2.0, 2.0)]
+    pairs = [(angle, square), (angle, [(0.2, 1.0), (0.8, 1.0), (0.5, 3.0)]), (angle, thin), (angle, None), (None, square), (square, angle)]
+    d = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], f"i int, a array<{PT}>, b array<{PT}>").crossJoin(spark.range(3000)).coalesce(1)
+    got = d.select("i", G.contains_polygon(F.col("a"), F.col("b")).alias("held"), F.round(G.protrusion(F.col("b"), F.col("a")), 2).alias("out"), F.round(G.parts_overlap_depth(F.array("a"), F.array("b")), 2).alias("depth")).distinct().collect()
+    assert sorted((r.i, r.held, r.out) for r in got if r.i != 5) == [(0, True, 0.0), (1, False, 0.74), (2, True, 0.0), (3, None, 0.0), (4, None, 0.0)]
+    assert {r.i: r.depth for r in got}[0] == 1.0 and {r.i: r.depth for r in got}[3] is None
+    plan = d.select(G.contains_polygon(F.col("a"), F.col("b")))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "exists(" not in plan

@@ -50,15 +50,23 @@ def wall_geometry(walls: DataFrame) -> DataFrame:
     flat = _positive(w) & _positive(h)
     line = F.when(w >= h, F.struct(G.point(r["x0"], mid_y).alias("a"), G.point(r["x1"], mid_y).alias("b"), h.alias("t"))).otherwise(F.struct(G.point(mid_x, r["y0"]).alias("a"), G.point(mid_x, r["y1"]).alias("b"), w.alias("t")))
     drawn = F.when(r.isNotNull(), F.when(flat, line)).otherwise(F.when(s.isNotNull(), F.struct(s["a"].alias("a"), s["b"].alias("b"), s["thickness"].alias("t"))))
-    d = walls.withColumn("_g", drawn)
-    d = d.withColumn("_v", G.sub(F.col("_g.b"), F.col("_g.a"))).withColumn("_l", G.length(F.col("_v")))
-    d = d.withColumn("_g", F.when(_positive(F.col("_l")) & _positive(F.col("_g.t")), F.col("_g")))
-    along_x = F.abs(F.col("_v.x")) >= F.abs(F.col("_v.z"))
-    back = F.when(along_x, F.col("_v.x")).otherwise(F.col("_v.z")) < 0
-    a, b = F.when(back, F.col("_g.b")).otherwise(F.col("_g.a")), F.when(back, F.col("_g.a")).otherwise(F.col("_g.b"))
-    known = F.col("_g").isNotNull()
-    d = d.withColumns({"a": F.when(known, a), "b": F.when(known, b), "thickness_px": F.col("_g.t"), "length_px": F.when(known, F.col("_l")), "dominant": F.when(known, F.when(along_x, "x").otherwise("y"))})
-    return d.withColumn("dir", F.when(known, G.scale(G.sub(F.col("b"), F.col("a")), 1 / F.col("length_px")))).drop("_g", "_v", "_l")
+
+    def measured(g: Column) -> Column:
+        v = G.sub(g["b"], g["a"])
+
+        def turned(m: Column) -> Column:
+            along_x = F.abs(m["v"]["x"]) >= F.abs(m["v"]["z"])
+            back = F.when(along_x, m["v"]["x"]).otherwise(m["v"]["z"]) < 0
+            ends = F.struct(F.when(back, g["b"]).otherwise(g["a"]).alias("a"), F.when(back, g["a"]).otherwise(g["b"]).alias("b"))
+            dominant = F.when(along_x, "x").otherwise("y")
+            whole = lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), g["t"].alias("thickness_px"), m["l"].alias("length_px"), dominant.alias("dominant"), G.scale(G.sub(e["b"], e["a"]), 1 / m["l"]).alias("dir"))
+            return F.when(_positive(m["l"]) & _positive(g["t"]), G.let(ends, whole))
+
+        return G.let(F.struct(v.alias("v"), G.length(v).alias("l")), turned)
+
+    # one column with each step computed once: as columns of their own, Spark repeats every step within the next
+    d = walls.withColumn("_g", G.let(drawn, measured))
+    return d.withColumns({k: F.col(f"_g.{k}") for k in ("a", "b", "thickness_px", "length_px", "dominant", "dir")}).drop("_g")
 
 
 def kept(df: DataFrame) -> DataFrame:

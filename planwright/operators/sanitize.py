@@ -67,7 +67,11 @@ def _settled(openings: Column) -> Column:
             F.when(apart, notes).when(alike, F.array_append(notes, told("merged", last, o, MEANING))).when(wins, F.array_append(notes, told("weaker-dropped", o, last, UNCERTAIN))).otherwise(F.array_append(notes, told("weaker-dropped", last, o, UNCERTAIN))).cast(f"array<{note}>").alias("notes"),
         )
 
-    return F.aggregate(openings, start, step)
+    # where each stands apart from the one before it, the fold would keep them all
+    n = F.size(openings) - 1
+    clear = F.forall(F.zip_with(F.slice(openings, 1, n), F.slice(openings, 2, n), lambda a, b: b["from"] >= a["to"] - OVERLAP), lambda c: F.coalesce(c, F.lit(False)))
+    whole = F.struct(openings.cast(f"array<{OPENING}>").alias("kept"), F.array().cast(f"array<{note}>").alias("notes"))
+    return F.when(clear, whole).otherwise(F.aggregate(openings, start, step))
 
 
 def sanitized(walls: DataFrame, doors: DataFrame, windows: DataFrame, rooms: DataFrame, fixtures: DataFrame, outlines: DataFrame) -> Sanitized:
@@ -90,7 +94,7 @@ def sanitized(walls: DataFrame, doors: DataFrame, windows: DataFrame, rooms: Dat
     low, high = F.greatest(F.lit(0.0), "from"), F.least("length_px", "to")
     fits = F.coalesce(high - low >= F.greatest(F.lit(LEAST_SPAN), 0.5 * (F.col("to") - F.col("from"))), F.lit(False))
     one = F.struct(low.alias("from"), "rank", F.col("ord").cast("int").alias("ord"), high.alias("to"), "id", "what", "kind", F.col("confidence").cast("double").alias("confidence"))
-    settled = on.where(fits).groupBy("plan_id", "wall_id").agg(_settled(F.sort_array(F.collect_list(one))).alias("s"))
+    settled = on.where(fits).groupBy("plan_id", "wall_id").agg(F.sort_array(F.collect_list(one)).alias("o")).select("plan_id", "wall_id", _settled(F.col("o")).alias("s"))
     kept = settled.select("plan_id", "wall_id", F.explode("s.kept").alias("o")).join(g, ["plan_id", "wall_id"])
     ends = F.sort_array(F.array(*[axis("a") + axis("dir") * F.col(f"o.{k}") for k in ("from", "to")]))
     kept = kept.select("plan_id", "o.id", "o.what", F.col("o.confidence").alias("_confidence"), F.round(F.get(ends, 0), 2).alias("_from"), F.round(F.get(ends, 1), 2).alias("_to"))

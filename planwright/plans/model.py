@@ -282,7 +282,7 @@ SELECT k AS o_orderkey, count(*) FILTER (WHERE fate = 'kept') AS n_kept, count(*
 def sanitized_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wall per order with a door per line: doors cut to the wall, dropped beyond it, and gone with it."""
     k = F.col("o_orderkey")
-    o = tables.load(spark, sf_dir, "orders").select(k.cast("string").alias("plan_id"), (60 + F.col("o_custkey") % 7 * 30).cast("double").alias("long"), (k % 9 == 0).alias("flat"))
+    o = tables.dealt(spark, sf_dir, "orders", "o_orderkey").select(k.cast("string").alias("plan_id"), (60 + F.col("o_custkey") % 7 * 30).cast("double").alias("long"), (k % 9 == 0).alias("flat"))
     rect = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("long").alias("x1"), F.when(F.col("flat"), 0.0).otherwise(10.0).alias("y1"))
     walls = o.select("plan_id", F.lit("w").alias("id"), rect.alias("rect"), _null("struct<a:struct<x:double,z:double>,b:struct<x:double,z:double>,thickness:double>", "segment"))
     at = (F.col("l_linenumber") * 30 - 40).cast("double")

@@ -1,6 +1,9 @@
 """Repairs of extracted plans."""
 
+from pyspark.sql import functions as F
+
 from planwright.operators import sanitize
+from planwright.operators.annotated import wall_geometry
 
 PT = "struct<x:double,z:double>"
 OPENINGS = "plan_id string, id string, ord int, wall_id string, kind string, confidence double, span_from double, span_to double, extra string"
@@ -34,3 +37,21 @@ def test_sanitized(spark):
         ("p", "wall-without-geometry", "flat", None), ("p", "wall-without-geometry", "bare", None), ("p", "wall-gone", "d4", "flat"), ("p", "wall-gone", "d8", "none"), ("p", "outside-wall", "d5", "w"), ("p", "merged", "d1", "d2"),
         ("p", "weaker-dropped", "d1", "v2"), ("p", "weaker-dropped", "v1", "d3"), ("p", "room-dropped", "r2", None), ("p", "room-dropped", "r3", None), ("q", "room-dropped", "r4", None), ("q", "room-dropped", "r5", None), ("p", "outline-dropped", None, None),
     }
+
+
+def test_geometry_of_walls_is_computed_once(spark):
+    point = "struct<x:double,z:double>"
+    rows = [("r", (0.0, 0.0, 60.0, 10.0), None), ("flat", (0.0, 0.0, 60.0, 0.0), None), ("s", None, ((0.0, 9.0), (0.0, 1.0), 2.0)), ("none", None, None)]
+    d = wall_geometry(spark.createDataFrame(rows, f"id string, rect struct<x0:double,y0:double,x1:double,y1:double>, segment struct<a:{point},b:{point},thickness:double>"))
+    got = {r.id: (r.a and tuple(r.a), r.b and tuple(r.b), r.thickness_px, r.length_px, r.dominant, r.dir and tuple(r.dir)) for r in d.collect()}
+    assert got == {"r": ((0.0, 5.0), (60.0, 5.0), 10.0, 60.0, "x", (1.0, 0.0)), "s": ((0.0, 1.0), (0.0, 9.0), 2.0, 8.0, "y", (0.0, 1.0)), "flat": (None,) * 6, "none": (None,) * 6}
+    assert d._jdf.queryExecution().optimizedPlan().toString().lower().count("hypot(") == 1
+
+
+def test_openings_that_stand_apart_are_kept_as_those_of_the_fold(spark):
+    door = lambda a, b, i: (a, 0, i, b, f"d{i}", "door", "hinged", None)
+    rows = [("apart", [door(0.0, 5.0, 0), door(4.6, 9.0, 1), door(9.0, 12.0, 2)]), ("over", [door(0.0, 5.0, 0), door(4.0, 9.0, 1), door(9.0, 12.0, 2)]), ("one", [door(1.0, 2.0, 0)])]
+    got = {r.w: r.s for r in spark.createDataFrame(rows, f"w string, o array<{sanitize.OPENING}>").select("w", sanitize._settled(F.col("o")).alias("s")).collect()}
+    assert {k: ([(o["from"], o["to"], o["id"]) for o in s.kept], [n.repair for n in s.notes]) for k, s in got.items()} == {
+        "apart": ([(0.0, 5.0, "d0"), (4.6, 9.0, "d1"), (9.0, 12.0, "d2")], []), "over": ([(0.0, 9.0, "d0"), (9.0, 12.0, "d2")], ["merged"]), "one": ([(1.0, 2.0, "d0")], []),
+    }

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, types
 from pyspark.sql import functions as F
 
 from planwright.functions import finishes as X
+from planwright.functions.geometry import let
 from planwright.sources.furniture import ITEMS
 
 #: Most pieces of one kind that a mention counts.
@@ -24,11 +25,11 @@ INTENT = "struct<action:string,room_ids:array<string>,furniture:array<string>,pr
 
 
 @functools.cache
-def _phrases() -> list[tuple[re.Pattern, str]]:
-    """Patterns of all names and keywords of the catalogue, longest first."""
+def _phrases() -> list[tuple[str, re.Pattern, str]]:
+    """All names and keywords of the catalogue with their patterns, longest first."""
     named = [(p, item[0]) for item in ITEMS for p in (item[1].lower(), *item[4])]
     number = "|".join(X.NUMBER_WORDS)
-    return [(re.compile(rf"(?:\b(\d|{number})\s+)?\b{re.escape(p)}(?:e?s)?(?:\s+{X.NOUNS})?\b", re.ASCII), i) for p, i in sorted(named, key=lambda x: -len(x[0]))]
+    return [(p, re.compile(rf"(?:\b(\d|{number})\s+)?\b{re.escape(p)}(?:e?s)?(?:\s+{X.NOUNS})?\b", re.ASCII), i) for p, i in sorted(named, key=lambda x: -len(x[0]))]
 
 
 def _mentioned(text: str | None) -> list[str]:
@@ -36,8 +37,9 @@ def _mentioned(text: str | None) -> list[str]:
     t = " " + re.sub("[,.!?;]", " ", (text or "").lower()) + " "
     claimed: list[tuple[int, int]] = []
     found = []
-    for pattern, item in _phrases():
-        for m in pattern.finditer(t):
+    for phrase, pattern, item in _phrases():
+        # most phrases don't occur, which is cheaper to see without their pattern
+        for m in pattern.finditer(t) if phrase in t else ():
             if not any(m.start() < b and a < m.end() for a, b in claimed):
                 claimed.append(m.span())
                 count = m[1] or "1"
@@ -62,20 +64,22 @@ def finish_patch(text: Column) -> Column:
 
     A surface takes the words of its own clause, else those of the next, unless that is about another surface.
     """
-    parts = F.split(text, r",|\band\b|\bwith\b|\bto\b|;")
+    def clauses(parts: Column, k: int) -> Column:
+        def around(about: Column) -> Column:
+            own, after = F.get(parts, about - 1), F.get(parts, about)
+            other = F.lit(False)
+            for j, s in enumerate(X.SUBJECTS):
+                other = other | after.rlike(s) if j != k else other
+            return F.struct(F.when(about > 0, own).alias("own"), F.when((about > 0) & ~other, after).alias("after"))
 
-    def clauses(k: int) -> tuple[Column, Column]:
-        about = F.array_position(F.transform(parts, lambda p: p.rlike(X.SUBJECTS[k])), True).cast("int")
-        own, after = F.get(parts, about - 1), F.get(parts, about)
-        other = F.lit(False)
-        for j, s in enumerate(X.SUBJECTS):
-            other = other | after.rlike(s) if j != k else other
-        return F.when(about > 0, own), F.when((about > 0) & ~other, after)
+        return let(F.array_position(F.transform(parts, lambda p: p.rlike(X.SUBJECTS[k])), True).cast("int"), around)
 
-    pick = lambda k, table: F.coalesce(*[_first(c, table) for c in clauses(k)])
-    colour = F.regexp_extract(F.concat_ws(" ", *clauses(1)), r"(?i)#[0-9a-f]{6}\b", 0)
-    values = pick(0, X.FLOOR_WORDS), pick(1, X.WALL_WORDS), pick(2, X.CEILING_WORDS), F.when(colour != "", F.lower(colour)), _first(text, X.LIGHT_WORDS)
-    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.array(*values)), lambda _, v: v.isNotNull())
+    # clauses are found once: Spark would find them again for every word that is looked for
+    pick = lambda parts, k, table: let(clauses(parts, k), lambda c: F.coalesce(_first(c["own"], table), _first(c["after"], table)))
+    coloured = lambda parts: let(clauses(parts, 1), lambda c: F.regexp_extract(F.concat_ws(" ", c["own"], c["after"]), r"(?i)#[0-9a-f]{6}\b", 0))
+    colour = lambda parts: let(coloured(parts), lambda c: F.when(c != "", F.lower(c)))
+    values = let(F.split(text, r",|\band\b|\bwith\b|\bto\b|;"), lambda parts: F.array(pick(parts, 0, X.FLOOR_WORDS), pick(parts, 1, X.WALL_WORDS), pick(parts, 2, X.CEILING_WORDS), colour(parts), _first(text, X.LIGHT_WORDS)))
+    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, FIELDS)), values), lambda _, v: v.isNotNull())
 
 
 def preset_of(text: Column) -> Column:
@@ -103,22 +107,26 @@ def matched_rooms(text: Column, rooms: Column, selected: Column) -> Column:
     meant = lambda a, note=None: F.struct(a.alias("ids"), (F.lit(None).cast("string") if note is None else note).alias("note"))
     ranked = F.array_min(F.transform(F.filter(rooms, lambda r: F.contains(text, F.lower(r["name"]))), lambda r, i: F.struct((-F.length(r["name"])).alias("n"), i.alias("i"), r["id"].alias("id"), F.lower(r["name"]).alias("name"))))
     beds = F.transform(F.array_sort(F.transform(F.filter(rooms, lambda r: r["type"] == "bedroom"), lambda r, i: F.struct((-r["area"]).alias("a"), i.alias("i"), r["id"].alias("id"), r["name"].alias("name")))), lambda b: b)
-    word, number = F.regexp_extract(text, X.BEDROOM, 1), F.regexp_extract(text, X.BEDROOM, 2)
-    place = F.create_map(*[F.lit(x) for pair in X.ORDINALS.items() for x in pair])[number]
-    numbered = F.get(F.filter(beds, lambda b: F.endswith(F.lower(b["name"]), F.concat(F.lit(" "), place.cast("string")))), 0)
-    least, largest = F.get(beds, F.least(F.lit(1), F.size(beds) - 1)), F.get(beds, 0)
-    several = F.format_string("There are %d bedrooms; I used %s (the largest). Say \"%s\" for the other.", F.size(beds), largest["name"], F.get(beds, 1)["name"])
-    bedroom = (
-        F.when((number != "") & numbered.isNotNull(), meant(F.array(numbered["id"])))
-        .when(word.rlike("small|second|spare"), meant(F.array(least["id"]), F.concat(F.lit("Using "), least["name"], F.lit(" (the smaller bedroom)."))))
-        .otherwise(meant(F.array(largest["id"]), F.when((F.size(beds) > 1) & (word == ""), several)))
-    )
-    out = F.when(text.rlike(X.EVERYWHERE), meant(ids(F.filter(rooms, lambda r: r["type"] != "storage")))).when(text.rlike(r"\bhere\b|\bthis room\b") & selected.isNotNull(), meant(F.array(selected)))
-    out = out.when(ranked.isNotNull() & (ranked["name"] != "bedroom"), meant(F.array(ranked["id"]))).when(text.rlike(X.BEDROOM) & (F.size(beds) > 0), bedroom)
-    for alias, kinds in X.TYPE_ALIASES:
-        first = F.get(F.filter(rooms, lambda r: r["type"].isin(*kinds)), 0)  # noqa: B023
-        out = out.when(text.rlike(rf"\b{alias}\b") & first.isNotNull(), meant(F.array(first["id"])))
-    return out
+    def chosen(v: Column) -> Column:
+        ranked, beds, word, number = (v[k] for k in ("ranked", "beds", "word", "number"))
+        place = F.create_map(*[F.lit(x) for pair in X.ORDINALS.items() for x in pair])[number]
+        numbered = F.get(F.filter(beds, lambda b: F.endswith(F.lower(b["name"]), F.concat(F.lit(" "), place.cast("string")))), 0)
+        least, largest = F.get(beds, F.least(F.lit(1), F.size(beds) - 1)), F.get(beds, 0)
+        several = F.format_string("There are %d bedrooms; I used %s (the largest). Say \"%s\" for the other.", F.size(beds), largest["name"], F.get(beds, 1)["name"])
+        bedroom = (
+            F.when((number != "") & numbered.isNotNull(), meant(F.array(numbered["id"])))
+            .when(word.rlike("small|second|spare"), meant(F.array(least["id"]), F.concat(F.lit("Using "), least["name"], F.lit(" (the smaller bedroom)."))))
+            .otherwise(meant(F.array(largest["id"]), F.when((F.size(beds) > 1) & (word == ""), several)))
+        )
+        out = F.when(text.rlike(X.EVERYWHERE), meant(ids(F.filter(rooms, lambda r: r["type"] != "storage")))).when(text.rlike(r"\bhere\b|\bthis room\b") & selected.isNotNull(), meant(F.array(selected)))
+        out = out.when(ranked.isNotNull() & (ranked["name"] != "bedroom"), meant(F.array(ranked["id"]))).when(text.rlike(X.BEDROOM) & (F.size(beds) > 0), bedroom)
+        for alias, kinds in X.TYPE_ALIASES:
+            first = F.get(F.filter(rooms, lambda r: r["type"].isin(*kinds)), 0)  # noqa: B023
+            out = out.when(text.rlike(rf"\b{alias}\b") & first.isNotNull(), meant(F.array(first["id"])))
+        return out
+
+    found = F.struct(ranked.alias("ranked"), beds.alias("beds"), F.regexp_extract(text, X.BEDROOM, 1).alias("word"), F.regexp_extract(text, X.BEDROOM, 2).alias("number"))
+    return let(found, chosen)
 
 
 def parsed(asked: DataFrame, rooms: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sentences with known intents."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from planwright.operators import intents
 
@@ -47,3 +48,9 @@ def test_presets(spark):
     d = spark.createDataFrame([("classic-luxe", "bathroom"), ("industrial", "hall"), ("warm-modern", "balcony"), ("baroque", "hall")], "preset string, type string")
     got = [r.p for r in d.select(intents.preset_patch(d.preset, d.type).alias("p")).collect()]
     assert got[0]["floorMaterialId"] == "floor-marble" and got[0]["doorMaterialId"] == "wood-white" and got[1]["windowMaterialId"] == "aluminium-dark" and got[2] == {} and got[3] is None
+
+
+def test_clauses_are_found_once(spark):
+    d = spark.createDataFrame([("paint the walls sage, oak floor and white ceiling with warm light",)], "t string").select(intents.finish_patch(F.col("t")).alias("patch"))
+    assert d.first().patch == {"floorMaterialId": "floor-oak", "wallMaterialId": "paint-sage", "ceilingMaterialId": "ceiling-white", "lighting": "warm"}
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

@@ -263,6 +263,16 @@ def protrusion(inner: Column, outer: Column, step: float = 0.05) -> Column:
     return rings.protrusion(inner, outer, step, EPS)
 
 
+def overhang(inner: Column, outer: Column, held: float, step: float = 0.05) -> Column:
+    """``protrusion`` of a polygon that ``contains_polygon`` doesn't hold within ``held``, 0 of one that it does."""
+    return rings.overhang(inner, outer, step, EPS, held)
+
+
+def contains_each(outers: Column, inner: Column, tolerance: float = EPS) -> Column:
+    """``contains_polygon`` for each polygon of an array."""
+    return rings.contains_each(outers, inner, tolerance)
+
+
 def approximate_overlap(a: Column, b: Column, cell: float = 0.05, most: int = 10_000) -> Column:
     """Common area of two simple polygons, from a grid over their common bounds of at most about ``most`` cells."""
     def counted(v):
@@ -329,6 +339,11 @@ def parts_overlap_depth(a: Column, b: Column) -> Column:
     return rings.parts_depth(a, b)
 
 
+def parts_overlap_depths(many: Column, own: Column) -> Column:
+    """``parts_overlap_depth`` of one set of convex pieces with each of an array of such sets."""
+    return rings.depths(many, own)
+
+
 def collinear_overlap(a0: Column, a1: Column, b0: Column, b1: Column, tolerance: Column) -> Column:
     """Length over which two segments lie on one line, within a tolerance, and overlap."""
     def shared(d):

@@ -10,13 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, types
 from pyspark.sql import functions as F
 
 #: Lengths that count as none, and least cross product of lines that cross.
 TINY, CROSSING = 1e-12, 1e-9
-#: Most numbers in a temporary array.
-SLICE = 1 << 20
+#: Most numbers in a temporary array: few enough to stay near the processor.
+SLICE = 1 << 15
 
 
 def _rings(polygons: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,7 +32,7 @@ def _rings(polygons: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _pairs(a: pa.ListArray, b: pa.ListArray, cost) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places of pairs with their rings, (n, vertices, 2) each; pairs with a null are left out."""
     (sa, na, pa_), (sb, nb, pb) = _rings(a), _rings(b)
-    for ka, kb in {(int(x), int(y)) for x, y in zip(na, nb, strict=True) if x >= 0 and y >= 0}:
+    for ka, kb in np.unique(np.column_stack([na, nb])[(na >= 0) & (nb >= 0)], axis=0).tolist():
         found = np.flatnonzero((na == ka) & (nb == kb))
         step = max(1, SLICE // max(1, cost(ka, kb)))
         for at in range(0, len(found), step):
@@ -73,8 +74,7 @@ def _cross_any(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (apart(side(p, q, r), side(p, q, s)) & apart(side(r, s, p), side(r, s, q))).any((1, 2))
 
 
-@F.arrow_udf(types.BooleanType())
-def _contains(outer: pa.Array, inner: pa.Array, tolerance: pa.Array) -> pa.Array:
+def _held(outer: pa.Array, inner: pa.Array, tolerance: pa.Array) -> pa.Array:
     out, known = np.zeros(len(outer), bool), np.zeros(len(outer), bool)
     near = tolerance.to_numpy(zero_copy_only=False)
     for i, ring, own in _pairs(outer, inner, lambda k, n: 2 * k * n):
@@ -89,8 +89,7 @@ def _contains(outer: pa.Array, inner: pa.Array, tolerance: pa.Array) -> pa.Array
     return pa.array(out, mask=~known)
 
 
-@F.arrow_udf(types.DoubleType())
-def _protrusion(inner: pa.Array, outer: pa.Array, step: pa.Array, tolerance: pa.Array) -> pa.Array:
+def _outside(inner: pa.Array, outer: pa.Array, step: pa.Array, tolerance: pa.Array) -> pa.Array:
     out, known = np.zeros(len(outer)), np.zeros(len(outer), bool)
     size, near = step.to_numpy(zero_copy_only=False), tolerance.to_numpy(zero_copy_only=False)
     for i, own, ring in _pairs(inner, outer, lambda k, n: k * n * 4):
@@ -98,20 +97,32 @@ def _protrusion(inner: pa.Array, outer: pa.Array, step: pa.Array, tolerance: pa.
         if not own.shape[1]:
             continue
         to = _next(own) - own
-        n = np.maximum(1, np.ceil(np.hypot(to[..., 0], to[..., 1]) / size[i][:, None])).astype(np.int64)
-        each = n.ravel()
+        each = np.maximum(1, np.ceil(np.hypot(to[..., 0], to[..., 1]) / size[i][:, None])).astype(np.int64).ravel()
         ends = np.cumsum(each)
+        x, z, to_x, to_z = (np.ascontiguousarray(v[..., c]).ravel() for v in (own, to) for c in (0, 1))
+        sides = np.ascontiguousarray(np.stack([ring[..., 0], ring[..., 1], _next(ring)[..., 1], *np.moveaxis(_next(ring) - ring, 2, 0)]).transpose(2, 0, 1))
         # samples of all edges behind each other, in slices: an edge may be long, and a row's worst sample is kept
-        per = max(1, SLICE // max(1, ring.shape[1]))
-        for at in range(0, int(ends[-1]) if len(ends) else 0, per):
-            k = np.arange(at, min(at + per, int(ends[-1])))
-            e = np.searchsorted(ends, k, "right")
-            share = (k - (ends[e] - each[e])) / each[e]
-            row = e // own.shape[1]
-            p = (own.reshape(-1, 2)[e] + to.reshape(-1, 2)[e] * share[:, None])[:, None]
-            beyond = ~_odd(p, ring[row])[:, 0]
-            row = row[beyond]
-            far = _to_edges(p[beyond], ring[row])[:, 0].min(1, initial=np.inf)
+        total = int(ends[-1]) if len(ends) else 0
+        for at in range(0, total, SLICE):
+            stop = min(at + SLICE, total)
+            e = np.arange(np.searchsorted(ends, at, "right"), np.searchsorted(ends, stop - 1, "right") + 1)
+            e = np.repeat(e, np.minimum(ends[e], stop) - np.maximum(ends[e] - each[e], at))
+            share = (np.arange(at, stop) - (ends[e] - each[e])) / each[e]
+            p, q, row = x[e] + to_x[e] * share, z[e] + to_z[e] * share, e // own.shape[1]
+            beyond = np.ones(len(row), bool)
+            for side in sides:
+                a, c, end, dx, dz = (v[row] for v in side)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    beyond ^= ((c > q) != (end > q)) & (p < dx * (q - c) / dz + a)
+            p, q, row = p[beyond], q[beyond], row[beyond]
+            far = np.full(len(row), np.inf)
+            for side in sides:
+                a, c, _, dx, dz = (v[row] for v in side)
+                vx, vz = p - a, q - c
+                squared = dx * dx + dz * dz
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    t = np.where(squared < 1e-18, 0.0, np.fmax(0.0, np.fmin(1.0, (vx * dx + vz * dz) / squared)))
+                far = np.minimum(far, np.hypot(vx - dx * t, vz - dz * t))
             np.maximum.at(out, i[row], np.where(far <= near[i[row]], 0.0, far))
     return pa.array(out, mask=~known)
 
@@ -132,8 +143,7 @@ def _depth(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(apart.any(1), first, np.where(good.any(1), np.where(good, d, np.inf).min(1, initial=np.inf), np.nan))
 
 
-@F.arrow_udf(types.DoubleType())
-def _parts_depth(a: pa.Array, b: pa.Array) -> pa.Array:
+def _deepest(a: pa.Array, b: pa.Array) -> pa.Array:
     def parts(x: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
         size = np.where(x.is_valid().to_numpy(zero_copy_only=False), np.diff(x.offsets.to_numpy()), 0)
         return x.offsets.to_numpy()[:-1].astype(np.int64), size.astype(np.int64), x.values
@@ -153,6 +163,34 @@ def _parts_depth(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, mask=np.isneginf(out))
 
 
+def _each(f, many: pa.Array, *one: pa.Array) -> pa.Array:
+    """``f`` of every member of a list with its row's ``one``, as lists."""
+    rows = pc.list_parent_indices(many)
+    ends = np.cumsum(np.where(many.is_valid().to_numpy(zero_copy_only=False), np.diff(many.offsets.to_numpy()), 0))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), f(pc.list_flatten(many), *[x.take(rows) for x in one]))
+
+
+def _held_by_each(outers: pa.Array, inner: pa.Array, tolerance: pa.Array) -> pa.Array:
+    return _each(_held, outers, inner, tolerance)
+
+
+def _depth_in_each(many: pa.Array, own: pa.Array) -> pa.Array:
+    return _each(_deepest, many, own)
+
+
+def _beyond(inner: pa.Array, outer: pa.Array, step: pa.Array, tolerance: pa.Array, held: pa.Array) -> pa.Array:
+    outside = pc.invert(_held(outer, inner, held))
+    rows = pc.indices_nonzero(outside)
+    out = np.zeros(len(inner))
+    out[rows.to_numpy()] = _outside(*[x.take(rows) for x in (inner, outer, step, tolerance)]).to_numpy(zero_copy_only=False)
+    return pa.array(out, mask=~outside.is_valid().to_numpy(zero_copy_only=False))
+
+
+_contains, _contains_each = F.arrow_udf(_held, types.BooleanType()), F.arrow_udf(_held_by_each, types.ArrayType(types.BooleanType()))
+_protrusion, _overhang = F.arrow_udf(_outside, types.DoubleType()), F.arrow_udf(_beyond, types.DoubleType())
+_parts_depth, _depths = F.arrow_udf(_deepest, types.DoubleType()), F.arrow_udf(_depth_in_each, types.ArrayType(types.DoubleType()))
+
+
 def contains(outer: Column, inner: Column, tolerance: float) -> Column:
     return _contains(outer, inner, F.lit(float(tolerance)))
 
@@ -163,3 +201,18 @@ def protrusion(inner: Column, outer: Column, step: float, tolerance: float) -> C
 
 def parts_depth(a: Column, b: Column) -> Column:
     return _parts_depth(a, b)
+
+
+def contains_each(outers: Column, inner: Column, tolerance: float) -> Column:
+    """``contains`` for each ring of an array."""
+    return _contains_each(outers, inner, F.lit(float(tolerance)))
+
+
+def overhang(inner: Column, outer: Column, step: float, tolerance: float, held: float) -> Column:
+    """``protrusion``, but 0 where ``contains`` holds within ``held``."""
+    return F.coalesce(_overhang(inner, outer, F.lit(float(step)), F.lit(float(tolerance)), F.lit(float(held))), F.lit(0.0))
+
+
+def depths(many: Column, own: Column) -> Column:
+    """``parts_depth`` of ``own`` with each set of parts in an array."""
+    return _depths(many, own)

@@ -23,8 +23,8 @@ STEP, GRID, TURNED = 0.05, 0.1, 0.05
 ANCHORS = (("coffee-table", "sofa", 0.45, False), ("office-chair", "desk", 0.05, True), ("dining-chair", "dining-table", -0.15, True), ("rug", "sofa", 0.2, False))
 #: Fixed value: a rug without a sofa lies under the bed.
 UNDER = ("rug", "bed")
-#: Poses tried first.
-FIRST = 48
+#: Poses of a score up to this are tried first; most poses of one request, and about how many of all, that a task looks at.
+NEAR, SHARE, TASK = 0.0, 4096, 200_000
 KEY = "floor_id", "request_id"
 FURNITURE = ("floor_id", "item_id", "room_id", "category", "ord", "position", "rotation", "width", "depth", "height", "elevation", "collides", "front_clearance")
 
@@ -34,44 +34,69 @@ def _inward(a: Column, b: Column, turn: Column) -> Column:
     return G.scale(n, F.signum(turn))
 
 
-def wall_poses(asked: DataFrame) -> DataFrame:
+def _ring(polygon: Column) -> Column:
+    return F.transform(G.edges(polygon), lambda e, i: F.struct(i.alias("edge"), G.distance(e["a"], e["b"]).alias("span"), e["a"].alias("a"), e["b"].alias("b")))
+
+
+def _slots(span: Column, width: Column) -> Column:
+    """How many slots there are on either side of an edge's middle."""
+    return F.floor((span / 2 - width / 2 + 1e-9) / STEP).cast("int")
+
+
+def _places(low: Column, high: Column, inset: Column) -> Column:
+    """Coordinates of the grid between two bounds."""
+    steps = F.greatest(F.lit(-1), F.floor((high - low - 2 * inset + 1e-9) / GRID)).cast("int") + 1
+    return F.filter(F.transform(F.sequence(F.lit(0), steps), lambda i: low + inset + i * GRID), lambda v: v <= high - inset + 1e-9)
+
+
+def wall_poses(asked: DataFrame, tried=None) -> DataFrame:
     """Poses with the back to each edge that is long enough, from its middle outward; score 10 a rank and the way from the middle.
 
-    ``asked``: floor_id, request_id, polygon, width, depth, prefer_wall.
+    ``asked``: floor_id, request_id, polygon, width, depth, prefer_wall, shares and share (a request of many poses comes
+    in as many rows as it has shares); its columns come back with position, rotation, score and order.  ``tried`` keeps
+    poses by their score.
     """
-    d = asked.withColumn("turn", G.signed_area(F.col("polygon"))).select(*KEY, "width", "depth", "prefer_wall", "turn", F.posexplode(G.edges(F.col("polygon"))).alias("edge", "e"))
-    d = d.withColumn("span", G.distance(F.col("e.a"), F.col("e.b"))).where("span >= width")
-    longest = F.when(F.col("prefer_wall") == "longest", -F.col("span")).otherwise(F.lit(0.0))
-    d = d.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy(longest, "edge")) - 1)
-    steps = F.floor((F.col("span") / 2 - F.col("width") / 2 + 1e-9) / STEP).cast("int")
-    slot = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), steps), lambda k: F.when(k == 0, F.array(k)).otherwise(F.array(-k, k)))))
-    d = d.withColumns({"d": G.wall_direction(F.col("e.a"), F.col("e.b")), "n": _inward(F.col("e.a"), F.col("e.b"), F.col("turn"))}).withColumn("slot", slot)
+    long_enough = F.filter(_ring(F.col("polygon")), lambda e: e["span"] >= F.col("width"))
+    by_rank = F.array_sort(F.transform(long_enough, lambda e: F.struct(F.when(F.col("prefer_wall") == "longest", -e["span"]).otherwise(F.lit(0.0)).alias("longest"), *[e[k].alias(k) for k in ("edge", "span", "a", "b")])))
+    d = asked.withColumn("turn", G.signed_area(F.col("polygon"))).select("*", F.posexplode(by_rank).alias("rank", "e"))
+    d = d.withColumns({"span": F.col("e.span"), "way": G.wall_direction(F.col("e.a"), F.col("e.b")), "normal": _inward(F.col("e.a"), F.col("e.b"), F.col("turn"))})
+    scored = lambda k: (F.col("rank") * 10 + F.abs(k * STEP)).cast("double")
+    slots = F.sequence(-_slots(F.col("span"), F.col("width")), _slots(F.col("span"), F.col("width")))
+    own = F.filter(slots, lambda k: (F.pmod(k, "shares") == F.col("share")) & (F.lit(True) if tried is None else tried(scored(k))))
+    d = d.withColumn("slot", F.explode(own))
     at = F.col("span") / 2 + F.col("slot") * STEP
-    position = G.add(G.add(F.col("e.a"), G.scale(F.col("d"), at)), G.scale(F.col("n"), F.col("depth") / 2 + placement.WALL_GAP))
-    score = F.col("rank") * 10 + F.abs(F.col("slot") * STEP)
+    position = G.add(G.add(F.col("e.a"), G.scale(F.col("way"), at)), G.scale(F.col("normal"), F.col("depth") / 2 + placement.WALL_GAP))
     order = F.struct(F.col("rank").cast("double").alias("a"), F.abs("slot").cast("double").alias("b"), F.col("slot").cast("double").alias("c"), F.lit(0.0).alias("d"))
-    return d.select(*KEY, position.alias("position"), G.facing(F.col("n")).alias("rotation"), score.cast("double").alias("score"), order.alias("order"))
+    return d.select(*asked.columns, position.alias("position"), G.facing(F.col("normal")).alias("rotation"), scored(F.col("slot")).alias("score"), order.alias("order"))
 
 
-def free_poses(asked: DataFrame) -> DataFrame:
+def free_poses(asked: DataFrame, tried=None) -> DataFrame:
     """Poses on a grid over the room's bounds, nearest first to the anchor or else the centre, as it stands there or turned.
 
-    ``asked``: floor_id, request_id, polygon, width, depth, anchor (point, rotation) or null.
+    ``asked`` and ``tried`` as for ``wall_poses``, with anchor (point, rotation) or null.
     """
     p = F.col("polygon")
-    ring = F.transform(G.edges(p), lambda e, i: F.struct(G.distance(e["a"], e["b"]).alias("span"), (-i).alias("first"), e["a"].alias("a"), e["b"].alias("b")))
+    ring = F.transform(_ring(p), lambda e: F.struct(e["span"].alias("span"), (-e["edge"]).alias("first"), e["a"].alias("a"), e["b"].alias("b")))
     d = asked.withColumns({"box": G.bounds(p), "longest": F.array_max(ring), "turn": G.signed_area(p), "inset": F.least("width", "depth") / 2})
     base = F.coalesce("anchor.rotation", G.facing(_inward(F.col("longest.a"), F.col("longest.b"), F.col("turn"))))
     d = d.withColumns({"target": F.coalesce("anchor.point", G.centroid(p)), "base": base})
-    along = lambda low, high: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(-1), F.floor((high - low - 2 * F.col("inset") + 1e-9) / GRID)).cast("int") + 1), lambda i: low + F.col("inset") + i * GRID)
-    inside = lambda v, high: v <= high - F.col("inset") + 1e-9
     b = F.col("box")
-    d = d.withColumn("x", F.explode(along(b["min_x"], b["max_x"]))).where(inside(F.col("x"), b["max_x"])).withColumn("z", F.explode(along(b["min_z"], b["max_z"]))).where(inside(F.col("z"), b["max_z"]))
+    d = d.select("*", F.posexplode(_places(b["min_x"], b["max_x"], F.col("inset"))).alias("column", "x")).where(F.pmod("column", "shares") == F.col("share")).withColumn("z", F.explode(_places(b["min_z"], b["max_z"], F.col("inset"))))
     d = d.withColumn("turned", F.explode(F.when(F.col("anchor").isNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     at = G.point(F.col("x"), F.col("z"))
-    score = G.distance(at, F.col("target")) + F.col("turned") * TURNED
-    order = F.struct(score.alias("a"), F.col("x").alias("b"), F.col("z").alias("c"), F.col("turned").cast("double").alias("d"))
-    return d.select(*KEY, at.alias("position"), (F.col("base") + F.col("turned") * (math.pi / 2)).alias("rotation"), score.alias("score"), order.alias("order"))
+    d = d.withColumn("score", G.distance(at, F.col("target")) + F.col("turned") * TURNED)
+    if tried is not None:
+        d = d.where(tried(F.col("score")))
+    order = F.struct(F.col("score").alias("a"), F.col("x").alias("b"), F.col("z").alias("c"), F.col("turned").cast("double").alias("d"))
+    return d.select(*asked.columns, at.alias("position"), (F.col("base") + F.col("turned") * (math.pi / 2)).alias("rotation"), "score", order.alias("order"))
+
+
+def _counted(anchor: Column) -> Column:
+    """How many poses a request has."""
+    b, inset = G.bounds(F.col("polygon")), F.least("width", "depth") / 2
+    walls = F.aggregate(F.filter(_ring(F.col("polygon")), lambda e: e["span"] >= F.col("width")), F.lit(0).cast("long"), lambda n, e: n + 2 * _slots(e["span"], F.col("width")) + 1)
+    free = F.size(_places(b["min_x"], b["max_x"], inset)).cast("long") * F.size(_places(b["min_z"], b["max_z"], inset)) * F.when(anchor.isNull(), 2).otherwise(1)
+    return F.when(F.col("against_wall"), walls).otherwise(free)
 
 
 def anchored(asked: DataFrame, furniture: DataFrame) -> DataFrame:
@@ -92,19 +117,25 @@ def anchored(asked: DataFrame, furniture: DataFrame) -> DataFrame:
     return asked.join(best, [*KEY], "left")
 
 
-def _tried(poses: DataFrame, asked: DataFrame, world: dict[str, DataFrame], furniture: DataFrame) -> DataFrame:
-    """Poses with their issues, and whether they may be taken: no hard issue, within the room."""
-    d = poses.join(asked.select(*KEY, "room_id", "polygon", "width", "depth", "height", "collides", "front_clearance"), [*KEY])
-    d = spread(d, *KEY, "place").withColumn("item_id", F.to_json(F.array(F.col("request_id").cast("string"), F.col("place").cast("string")))).withColumn("elevation", F.lit(0.0))
-    own = placement.footprint(F.col("position"), F.col("width"), F.col("depth"), F.col("rotation"))
-    items = cut(d.withColumn("within", G.contains_polygon(F.col("polygon"), own, placement.TOLERANCE)).drop("polygon"))
-    issues = placement.placement_issues(items.drop("request_id", "place", "score", "order", "within"), world["rooms"], world["walls"], world["fixtures"], furniture, world["zones"])
-    one = F.struct("code", "severity", "other_id", "amount")
-    found = issues.groupBy("floor_id", "item_id").agg(F.sort_array(F.collect_list(one)).alias("issues"))
-    out = items.join(found, ["floor_id", "item_id"], "left").withColumn("issues", F.coalesce("issues", F.array().cast("array<struct<code:string,severity:string,other_id:string,amount:double>>")))
+def _best(asked: DataFrame, tried) -> DataFrame:
+    """The best pose that may be taken (no hard issue, within the room), the closest that may not, and whether the first of all ends the search.
+
+    One row per request of which a pose was looked at.
+    """
+    poses = wall_poses(asked.where("against_wall"), tried).unionByName(free_poses(asked.where("NOT against_wall"), tried))
+    d = placement.judged(poses)
     hard = F.filter("issues", lambda i: i["severity"] == "hard")
     badness = F.size(hard) * 10 + F.aggregate(hard, F.lit(0.0), lambda s, i: s + F.coalesce(i["amount"], F.lit(1.0)))
-    return cut(out.select(*KEY, "place", "position", "rotation", "score", "issues", ((F.size(hard) == 0) & F.col("within")).alias("fits"), badness.alias("badness")))
+    fits, total = (F.size(hard) == 0) & F.col("within"), F.size("issues") * 100 + F.col("score")
+    d = d.select(
+        *KEY, F.when(fits, F.struct(total.alias("total"), "order", "position", "rotation", "issues")).alias("best"), F.when(~fits, F.struct(badness.alias("badness"), "order", "position", "rotation", F.col("issues").alias("violations"))).alias("closest"),
+        (fits & (F.size("issues") == 0)).alias("settled"), (fits & (F.size("issues") == 0) & (F.col("score") == 0)).alias("stop"),
+    )
+    return _merged(d)
+
+
+def _merged(d: DataFrame) -> DataFrame:
+    return d.groupBy(*KEY).agg(F.min("best").alias("best"), F.min("closest").alias("closest"), F.bool_or("settled").alias("settled"), F.bool_or("stop").alias("stop"))
 
 
 def fitted(requests: DataFrame, catalog: DataFrame, rooms: DataFrame, walls: DataFrame, fixtures: DataFrame, furniture: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -131,34 +162,29 @@ def fitted(requests: DataFrame, catalog: DataFrame, rooms: DataFrame, walls: Dat
     result = [_failed(d.where("failure IS NOT NULL"))]
     live = d.where("failure IS NULL")
     furniture = furniture.select(*FURNITURE)
-    last = live.agg(F.max("round")).first()[0] or 0
-    for k in range(1, last + 1):
+    rounds = live.groupBy("round").agg(F.count(F.lit(1)), F.sum(_counted(F.lit(None)))).collect()
+    for k, requests, poses in sorted(map(tuple, rounds)):
         asked = live.where(F.col("round") == k)
         free = anchored(asked.where("NOT against_wall"), furniture)
-        poses = wall_poses(asked.where("against_wall")).unionByName(free_poses(free))
-        poses = cut(poses.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy("order"))))
-        counts = poses.groupBy(*KEY).agg(F.max("place").alias("n"))
-        none = asked.join(counts, [*KEY], "left_anti").withColumn("failure", F.lit("no-wall-long-enough"))
-        first = _tried(poses.where(F.col("place") <= FIRST), asked, world, furniture)
-        settled = first.where(F.col("fits") & (F.size("issues") == 0)).select(*KEY).distinct()
-        rest = poses.where(F.col("place") > FIRST).join(settled, [*KEY], "left_anti")
-        seen = first.unionByName(_tried(rest, asked, world, furniture)) if rest.take(1) else first
-        total = F.size("issues") * 100 + F.col("score")
-        pose = F.struct("position", "rotation", "issues", "score")
-        best = seen.groupBy(*KEY).agg(
-            F.min_by(pose, F.when(F.col("fits"), F.struct(total, "place"))).alias("best"), F.min_by(F.struct("position", "rotation", F.col("issues").alias("violations")), F.when(~F.col("fits"), F.struct("badness", "place"))).alias("closest"),
-            F.min(F.when(F.col("fits") & (F.size("issues") == 0) & (F.col("score") == 0), F.col("place"))).alias("stop"),
-        ).join(counts, [*KEY])
-        best = asked.join(best, [*KEY])
+        asked = asked.where("against_wall").unionByName(free, allowMissingColumns=True).withColumn("n", _counted(F.col("anchor")))
+        asked = placement.surrounded(asked, KEY, furniture=furniture, **world)
+        asked = cut(spread(asked, *KEY, tasks=requests // TASK))
+        result.append(_failed(asked.where("n = 0").withColumn("failure", F.lit("no-wall-long-enough"))))
+        seen = cut(_best(asked.withColumns({"shares": F.lit(1), "share": F.lit(0)}), lambda score: score <= NEAR))
+        rest = asked.join(seen.where("settled").select(*KEY), [*KEY], "left_anti").withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int"))
+        rest = rest.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        seen = _merged(seen.unionByName(_best(spread(rest, *KEY, "share", tasks=poses // TASK), lambda score: ~(score <= NEAR))))
+        best = asked.join(seen, [*KEY])
         placed = F.col("best").isNotNull()
+        closest = F.struct("closest.position", "closest.rotation", "closest.violations")
         out = best.select(
             *KEY, placed.alias("ok"), F.when(~placed, "no-valid-position").alias("failure"), "best.position", "best.rotation", "width", "depth", "height", F.col("best.issues").alias("issues"),
-            F.coalesce("stop", "n").cast("long").alias("tried"), F.when(~placed, F.col("closest")).alias("closest"), "room_id", "category", "collides", "front_clearance", "ord",
+            F.when(F.col("stop"), F.lit(1).cast("long")).otherwise(F.col("n")).alias("tried"), F.when(~placed & F.col("closest").isNotNull(), closest).alias("closest"), "room_id", "category", "collides", "front_clearance", "ord",
         )
         out = cut(out)
-        result += [_failed(none), out.select(*result[0].columns)]
+        result.append(out.select(*result[0].columns))
         new = out.where("ok").select("floor_id", F.col("request_id").cast("string").alias("item_id"), "room_id", "category", F.lit(2**40 + k).alias("ord"), "position", "rotation", "width", "depth", "height", F.lit(0.0).alias("elevation"), "collides", "front_clearance")
-        furniture = cut(furniture.unionByName(new))
+        furniture = furniture.unionByName(new)
     whole = result[0]
     for part in result[1:]:
         whole = whole.unionByName(part)

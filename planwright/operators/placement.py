@@ -48,9 +48,13 @@ def obstacles(walls: DataFrame, fixtures: DataFrame, furniture: DataFrame, zones
     )
 
 
-def _boxes_meet(a: str, b: str) -> Column:
-    c = lambda x: F.col(x)
-    return (c(f"{a}.min_x") < c(f"{b}.max_x")) & (c(f"{b}.min_x") < c(f"{a}.max_x")) & (c(f"{a}.min_z") < c(f"{b}.max_z")) & (c(f"{b}.min_z") < c(f"{a}.max_z"))
+def _boxes_meet(a: str | Column, b: str | Column) -> Column:
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return (a["min_x"] < b["max_x"]) & (b["min_x"] < a["max_x"]) & (a["min_z"] < b["max_z"]) & (b["min_z"] < a["max_z"])
+
+
+def _box_inside(box: Column, outer: Column) -> Column:
+    return (box["min_x"] >= outer["min_x"] - TOLERANCE) & (box["max_x"] <= outer["max_x"] + TOLERANCE) & (box["min_z"] >= outer["min_z"] - TOLERANCE) & (box["max_z"] <= outer["max_z"] + TOLERANCE)
 
 
 def placement_issues(items: DataFrame, rooms: DataFrame, walls: DataFrame, fixtures: DataFrame, furniture: DataFrame, zones: DataFrame, require_clear: tuple[str, ...] = ()) -> DataFrame:
@@ -66,7 +70,7 @@ def placement_issues(items: DataFrame, rooms: DataFrame, walls: DataFrame, fixtu
     own = footprint(F.col("position"), F.col("width"), F.col("depth"), F.col("rotation"))
     a = spread(items, "floor_id", "item_id").withColumn("polygon", own).withColumn("box", G.bounds(F.col("polygon")))
     r = rooms.select("floor_id", F.col("room_id").alias("in_room"), "ord", F.col("polygon").alias("room_polygon"))
-    inside = (F.col("box.min_x") >= F.col("room_box.min_x") - TOLERANCE) & (F.col("box.max_x") <= F.col("room_box.max_x") + TOLERANCE) & (F.col("box.min_z") >= F.col("room_box.min_z") - TOLERANCE) & (F.col("box.max_z") <= F.col("room_box.max_z") + TOLERANCE)
+    inside = _box_inside(F.col("box"), F.col("room_box"))
     held = a.join(r.withColumn("room_box", G.bounds(F.col("room_polygon"))), "floor_id").where(inside).where(G.contains_polygon(F.col("room_polygon"), F.col("polygon"), TOLERANCE))
     rank = F.struct((F.col("in_room") != F.col("room_id")).alias("other"), "ord")
     home = held.groupBy("floor_id", "item_id").agg(F.min_by(F.struct("in_room", "room_polygon"), rank).alias("home"))
@@ -101,6 +105,70 @@ def placement_issues(items: DataFrame, rooms: DataFrame, walls: DataFrame, fixtu
     return out.select("floor_id", "item_id", "code", severity.alias("severity"), looked_up(CATEGORY, F.col("code")).alias("category"), "other_id", F.round("amount", 3).alias("amount"))
 
 
+def surrounded(asked: DataFrame, key: tuple[str, ...], rooms: DataFrame, walls: DataFrame, fixtures: DataFrame, furniture: DataFrame, zones: DataFrame) -> DataFrame:
+    """``asked`` with what poses of its items may meet: ``rooms`` (others than its own, first by ``ord``) and ``obstacles``.
+
+    ``asked``: the ``key``, which the floor is part of, and room_id, polygon (its room's), width, depth, front_clearance.  Items have their
+    centre in the room's bounds, or behind an edge of it no farther than their depth, so that they and the space in front
+    reach no farther than all these lengths together.
+    """
+    far = F.col("width") + F.col("depth") + F.greatest("front_clearance", F.lit(WALKING_CLEARANCE)) + 1
+    b = G.bounds(F.col("polygon"))
+    reach = F.struct((b["min_x"] - far).alias("min_x"), (b["max_x"] + far).alias("max_x"), (b["min_z"] - far).alias("min_z"), (b["max_z"] + far).alias("max_z"))
+    a = asked.select(*key, "room_id", reach.alias("reach"))
+    r = rooms.select("floor_id", F.col("room_id").alias("in_room"), F.struct("ord", F.col("room_id").cast("string").alias("room_id"), "polygon", G.bounds(F.col("polygon")).alias("box")).alias("one"))
+    r = r.join(a, "floor_id").where((F.col("in_room") != F.col("room_id")) & _boxes_meet(F.col("reach"), F.col("one.box")))
+    o = obstacles(walls, fixtures, furniture, zones)
+    o = o.select("floor_id", F.struct("rank", *[c for c in o.columns if c not in ("floor_id", "rank")]).alias("one")).join(a, "floor_id").where(_boxes_meet(F.col("reach"), F.col("one.box")))
+    out = asked
+    for name, d in (("rooms", r), ("obstacles", o)):
+        near = d.groupBy(*key).agg(F.sort_array(F.collect_list("one")).alias(name))
+        out = out.join(near, [*key], "left").withColumn(name, F.coalesce(name, F.array().cast(near.schema[name].dataType)))
+    return out
+
+
+def judged(poses: DataFrame) -> DataFrame:
+    """``poses`` with ``issues``, sorted, as ``placement_issues`` finds them, and ``within``: whether the own room holds the item.
+
+    ``poses``: room_id, polygon (the room's), position, rotation, width, depth, height, collides, front_clearance and the
+    ``rooms`` and ``obstacles`` of ``surrounded``.  They stand on the floor and are no furniture yet.  All is found in the row:
+    poses are many more than requests, so none of them is shuffled or stored.
+    """
+    d = poses.withColumn("own", footprint(F.col("position"), F.col("width"), F.col("depth"), F.col("rotation"))).withColumn("box", G.bounds(F.col("own")))
+    zone = front_clearance(F.col("position"), F.col("width"), F.col("depth"), F.col("rotation"), F.col("front_clearance"))
+    d = d.withColumn("zone", F.when(F.col("collides") & (F.col("front_clearance") > 0), zone)).withColumn("zone_box", G.bounds(F.col("zone")))
+    tall = lambda o: o["min_item_top"].isNull() | (F.col("height") > o["min_item_top"])
+    in_front = F.filter("obstacles", lambda o: o["kind"].isin("fixture", "furniture") & _boxes_meet(F.col("zone_box"), o["box"]))
+    d = d.withColumns({
+        "candidates": F.filter("rooms", lambda r: _box_inside(F.col("box"), r["box"])),
+        "met": F.filter("obstacles", lambda o: (o["kind"].isin("wall", "fixture") | F.col("collides")) & tall(o) & _boxes_meet(F.col("box"), o["box"])),
+        "in_front": F.when(F.col("zone").isNotNull(), F.flatten(F.transform(in_front, lambda o: o["parts"]))),
+    })
+    d = d.withColumns({
+        "within": G.contains_polygon(F.col("polygon"), F.col("own"), TOLERANCE), "holding": G.contains_each(F.transform("candidates", lambda r: r["polygon"]), F.col("own"), TOLERANCE),
+        "depths": G.parts_overlap_depths(F.transform("met", lambda o: o["parts"]), F.array("own")), "short": G.parts_overlap_depth(F.array("zone"), F.col("in_front")),
+    })
+    first = F.array_position("holding", F.lit(True))
+    home = F.when(F.col("within") & _box_inside(F.col("box"), G.bounds(F.col("polygon"))), F.col("polygon")).when(first > 0, F.get("candidates", (first - 1).cast("int"))["polygon"])
+    d = d.withColumn("home", home)
+    d = d.withColumns({
+        "out": G.protrusion(F.when(F.col("home").isNull(), F.col("own")), F.col("polygon")),
+        "short": F.greatest("short", G.overhang(F.when(F.col("home").isNotNull(), F.col("zone")), F.col("home"), TOLERANCE)),
+    })
+
+    hits = F.zip_with("met", "depths", lambda o, amount: F.struct(o["issue"].alias("code"), o["other_id"].alias("other_id"), o["rank"].alias("rank"), amount.alias("amount")))
+    hits = F.transform(F.filter(hits, lambda h: h["amount"] > TOLERANCE), lambda h, i: h.withField("rank", F.struct(h["rank"].alias("rank"), i.alias("i"))))
+    spare = lambda h: F.exists("hits", lambda g: g["other_id"].eqNullSafe(h["other_id"]) & ((g["code"] == "door-swing") | ((g["code"] == h["code"]) & (g["rank"] < h["rank"]))))
+    d = d.withColumn("hits", hits)
+    kept = F.filter("hits", lambda h: (h["code"] != "door-clearance") | ~spare(h))
+    issue = lambda code, other, amount: F.struct(code.alias("code"), looked_up(SEVERITY, code).alias("severity"), other.cast("string").alias("other_id"), F.round(amount, 3).alias("amount"))
+    found = F.concat(
+        F.transform(kept, lambda h: issue(h["code"], h["other_id"], h["amount"])),
+        F.array_compact(F.array(F.when(F.col("home").isNull(), issue(F.lit("outside-room"), F.col("room_id"), F.col("out"))), F.when(F.col("short") > TOLERANCE, issue(F.lit("front-clearance"), F.lit(None), F.col("short"))))),
+    )
+    return d.select(*poses.columns, F.sort_array(found).alias("issues"), "within")
+
+
 def reports(items: DataFrame, issues: DataFrame) -> DataFrame:
     """Whether each item's placement breaks a hard rule, and one that stops a move."""
     g = issues.groupBy("floor_id", "item_id").agg(F.bool_or(F.col("severity") == "hard").alias("hard"), F.bool_or(F.col("code").isin(*BLOCKING)).alias("blocked"), F.count(F.lit(1)).alias("n_issues"))

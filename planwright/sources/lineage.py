@@ -32,10 +32,10 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` over as many tasks as the session's shuffles have, or its cores if these are more.
+def spread(df: DataFrame, *keys: str, tasks: int = 0) -> DataFrame:
+    """``df`` over as many tasks as the session's shuffles have, or its cores or ``tasks`` if these are more.
 
     For rows that are few bytes but much work, which Spark would otherwise gather in a few tasks by size.
     """
     spark = df.sparkSession
-    return shuffled(df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys))
+    return shuffled(df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, tasks), *keys))

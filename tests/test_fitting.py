@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from planwright.operators import fitting, zones
+from planwright.operators import fitting, placement, zones
 from planwright.sources.furniture import catalog
 
 PT = "struct<x:double,z:double>"
@@ -75,3 +75,43 @@ def test_turned_and_anchored_poses(outcome):
     assert rug.ok and math.dist(rug.position, (2.5, 0.47 + 0.45 + 0.2 + 0.7)) < 0.08
     corners = [(got["angle0"].position.x + a * 1.45 / 2, got["angle0"].position.z + b * 2.05 / 2) for a in (-1, 1) for b in (-1, 1)] if abs(math.sin(got["angle0"].rotation)) < 0.5 else []
     assert got["angle0"].ok and all(x >= -0.01 and z >= -0.01 and not (x < 1.19 and z > 2.01) for x, z in corners)
+
+
+def test_poses_are_judged_in_their_rows_and_never_stored(spark, monkeypatch):
+    """Against every pose by ``placement_issues``; what is written or shuffled whole holds rows of requests alone."""
+    stored = []
+
+    def cut(df, kept=fitting.cut):
+        stored.append(kept(df))
+        return stored[-1]
+
+    monkeypatch.setattr(fitting, "cut", cut)
+    monkeypatch.setattr(fitting, "SHARE", 16)
+    rooms = spark.createDataFrame([(f, r, i, p) for f in "ab" for i, (r, p) in enumerate({"left": box(0, 0, 3, 2.4), "right": box(3.1, 0, 6, 2.4)}.items())], f"floor_id string, room_id string, ord int, polygon array<{PT}>")
+    walls = spark.createDataFrame([(f, w, p, q, 0.1) for f in "ab" for w, p, q in (("south", (0.0, -0.05), (6.0, -0.05)), ("mid", (3.05, 0.0), (3.05, 2.4)))], f"floor_id string, wall_id string, start {PT}, end {PT}, thickness double")
+    doors = spark.createDataFrame([(f, "d", "south", 1.5, 0.8, "hinged", 1, None) for f in "ab"], "floor_id string, id string, wall_id string, offset double, width double, kind string, swing_side int, note string")
+    windows = spark.createDataFrame([("b", "v", "mid", 1.2, 1.0, "0", 1, None, 0.3)], doors.schema.simpleString()[7:-1] + ",sill_height:double")
+    fixtures = spark.createDataFrame([("a", "bath", box(0, 1.4, 0.6, 2.4))], f"floor_id string, id string, footprint array<{PT}>")
+    furniture = spark.createDataFrame([("b", "s", "left", "sofa", 0, (2.2, 1.9), math.pi, 1.0, 0.6, 0.85, 0.0, True, 0.6)], FURNITURE)
+    world = rooms, walls, fixtures, furniture, zones.functional_zones(walls, doors, windows)
+    asked = spark.createDataFrame([("a", "desk", 0, "left", "desk", None, None, None, None), ("b", "plant", 0, "left", "plant", None, None, None, None)], REQUESTS)
+    got = {r.request_id: r for r in fitting.fitted(asked, catalog(spark), *world)[0].collect()}
+    assert len(stored) > 1 and all(d.count() <= asked.count() for d in stored)
+
+    items = catalog(spark).where("catalog_id IN ('desk', 'plant')").select(F.when(F.col("catalog_id") == "desk", "a").otherwise("b").alias("floor_id"), F.col("catalog_id").alias("request_id"), F.lit("left").alias("room_id"), "size.*", "prefer_wall", "collides", "front_clearance")
+    d = items.join(rooms.drop("ord"), ["floor_id", "room_id"]).withColumns({"shares": F.lit(1), "share": F.lit(0), "anchor": F.lit(None).cast(f"struct<point:{PT},rotation:double>"), "elevation": F.lit(0.0)})
+    poses = fitting.wall_poses(d.where("floor_id = 'a'")).unionByName(fitting.free_poses(d.where("floor_id = 'b'"))).withColumn("item_id", F.to_json("order"))
+    poses = poses.withColumn("within", fitting.G.contains_polygon(F.col("polygon"), placement.footprint(*map(F.col, ("position", "width", "depth", "rotation"))), placement.TOLERANCE))
+    poses = spark.createDataFrame(poses.collect(), poses.schema)
+    issues, codes = {}, set()
+    for i in placement.placement_issues(poses.drop("polygon", "order", "within", "anchor"), *world).collect():
+        issues.setdefault((i.floor_id, i.item_id), []).append((i.code, i.severity, i.other_id, i.amount))
+        codes.add(i.code)
+    assert codes >= {"door-swing", "front-clearance", "fixture-collision", "furniture-collision"}
+    for name, floor in (("desk", "a"), ("plant", "b")):
+        seen = [(p, sorted(issues.get((floor, p.item_id), []), key=lambda i: (i[0], i[2] or ""))) for p in poses.where(F.col("floor_id") == floor).collect()]
+        hard = lambda i: any(x[1] == "hard" for x in i)
+        best, found = min(((p, i) for p, i in seen if p.within and not hard(i)), key=lambda v: (100 * len(v[1]) + v[0].score, v[0].order))
+        r = got[name]
+        assert len(seen) > 2 * fitting.SHARE
+        assert r.ok and r.position == best.position and r.rotation == best.rotation and [tuple(i) for i in r.issues] == found and r.tried == len(seen)

@@ -4,6 +4,7 @@ A round takes the next request of each room, so that what was placed before stan
 comes after; rooms don't wait for each other.  Candidate poses are rows: backs against room edges, middle
 first, or a grid about the place that goes well with other furniture.  They are tried in the order of
 their score, a first part and then the rest, because a pose without any issue beats all later ones.
+Poses are many more than requests: a task makes, judges and reduces them, and only requests are shuffled or written.
 """
 
 from __future__ import annotations
@@ -60,14 +61,15 @@ def wall_poses(asked: DataFrame, tried=None) -> DataFrame:
     by_rank = F.array_sort(F.transform(long_enough, lambda e: F.struct(F.when(F.col("prefer_wall") == "longest", -e["span"]).otherwise(F.lit(0.0)).alias("longest"), *[e[k].alias(k) for k in ("edge", "span", "a", "b")])))
     d = asked.withColumn("turn", G.signed_area(F.col("polygon"))).select("*", F.posexplode(by_rank).alias("rank", "e"))
     d = d.withColumns({"span": F.col("e.span"), "way": G.wall_direction(F.col("e.a"), F.col("e.b")), "normal": _inward(F.col("e.a"), F.col("e.b"), F.col("turn"))})
-    scored = lambda k: (F.col("rank") * 10 + F.abs(k * STEP)).cast("double")
-    slots = F.sequence(-_slots(F.col("span"), F.col("width")), _slots(F.col("span"), F.col("width")))
-    own = F.filter(slots, lambda k: (F.pmod(k, "shares") == F.col("share")) & (F.lit(True) if tried is None else tried(scored(k))))
-    d = d.withColumn("slot", F.explode(own))
+    slots = _slots(F.col("span"), F.col("width"))
+    d = d.withColumn("slot", F.explode(F.sequence(-slots, slots))).where(F.pmod("slot", "shares") == F.col("share"))
+    score = (F.col("rank") * 10 + F.abs(F.col("slot") * STEP)).cast("double")
+    if tried is not None:
+        d = d.where(tried(score))
     at = F.col("span") / 2 + F.col("slot") * STEP
     position = G.add(G.add(F.col("e.a"), G.scale(F.col("way"), at)), G.scale(F.col("normal"), F.col("depth") / 2 + placement.WALL_GAP))
     order = F.struct(F.col("rank").cast("double").alias("a"), F.abs("slot").cast("double").alias("b"), F.col("slot").cast("double").alias("c"), F.lit(0.0).alias("d"))
-    return d.select(*asked.columns, position.alias("position"), G.facing(F.col("normal")).alias("rotation"), scored(F.col("slot")).alias("score"), order.alias("order"))
+    return d.select(*asked.columns, position.alias("position"), G.facing(F.col("normal")).alias("rotation"), score.alias("score"), order.alias("order"))
 
 
 def free_poses(asked: DataFrame, tried=None) -> DataFrame:
@@ -96,7 +98,7 @@ def _counted(anchor: Column) -> Column:
     b, inset = G.bounds(F.col("polygon")), F.least("width", "depth") / 2
     walls = F.aggregate(F.filter(_ring(F.col("polygon")), lambda e: e["span"] >= F.col("width")), F.lit(0).cast("long"), lambda n, e: n + 2 * _slots(e["span"], F.col("width")) + 1)
     free = F.size(_places(b["min_x"], b["max_x"], inset)).cast("long") * F.size(_places(b["min_z"], b["max_z"], inset)) * F.when(anchor.isNull(), 2).otherwise(1)
-    return F.when(F.col("against_wall"), walls).otherwise(free)
+    return F.coalesce(F.when(F.col("against_wall"), walls).otherwise(free), F.lit(0).cast("long"))
 
 
 def anchored(asked: DataFrame, furniture: DataFrame) -> DataFrame:
@@ -173,8 +175,8 @@ def fitted(requests: DataFrame, catalog: DataFrame, rooms: DataFrame, walls: Dat
         seen = cut(_best(asked.withColumns({"shares": F.lit(1), "share": F.lit(0)}), lambda score: score <= NEAR))
         rest = asked.join(seen.where("settled").select(*KEY), [*KEY], "left_anti").withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int"))
         rest = rest.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        seen = _merged(seen.unionByName(_best(spread(rest, *KEY, "share", tasks=poses // TASK), lambda score: ~(score <= NEAR))))
-        best = asked.join(seen, [*KEY])
+        seen = _merged(seen.unionByName(_best(spread(rest, *KEY, "share", tasks=poses // TASK), lambda score: ~F.coalesce(score <= NEAR, F.lit(False)))))
+        best = asked.where("n > 0").join(seen, [*KEY], "left")
         placed = F.col("best").isNotNull()
         closest = F.struct("closest.position", "closest.rotation", "closest.violations")
         out = best.select(

@@ -1,6 +1,7 @@
 """Fitting furniture: one run over many floors, then each outcome by itself."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,23 @@ def test_poses_are_judged_in_their_rows_and_never_stored(spark, monkeypatch):
         r = got[name]
         assert len(seen) > 2 * fitting.SHARE
         assert r.ok and r.position == best.position and r.rotation == best.rotation and [tuple(i) for i in r.issues] == found and r.tried == len(seen)
+
+
+def test_judged_poses_have_the_issues_of_placed_items(spark):
+    """Random poses over rooms side by side and over each other, with every kind of obstacle."""
+    rng = random.Random(3)
+    rooms = spark.createDataFrame([("a", r, i, p) for i, (r, p) in enumerate({"left": box(0, 0, 3, 3), "right": box(3.2, 0, 6, 3), "both": box(-1, -1, 5, 2.5), "angle": ROOMS["angle"]}.items())], f"floor_id string, room_id string, ord int, polygon array<{PT}>")
+    walls = spark.createDataFrame([("a", "mid", (3.1, 0.0), (3.1, 3.0), 0.2)], f"floor_id string, wall_id string, start {PT}, end {PT}, thickness double")
+    doors = spark.createDataFrame([("a", f"d{i}", "mid", 0.8 + i, 0.8, "hinged", 1 - 2 * i, None) for i in (0, 1)], "floor_id string, id string, wall_id string, offset double, width double, kind string, swing_side int, note string")
+    fixtures = spark.createDataFrame([("a", "corner", [(0.0, 0.0), (1.0, 0.0), (1.0, 0.4), (0.4, 0.4), (0.4, 1.0), (0.0, 1.0)])], f"floor_id string, id string, footprint array<{PT}>")
+    furniture = spark.createDataFrame([("a", "s", "right", "sofa", 0, (5.0, 2.2), 0.4, 1.0, 0.6, 0.85, 0.0, True, 0.6)], FURNITURE)
+    world = rooms, walls, fixtures, furniture, zones.functional_zones(walls, doors, doors.limit(0).withColumn("sill_height", F.lit(0.0)))
+    poses = [("a", str(i), rng.choice(["left", "right", "angle"]), (rng.uniform(0, 6), rng.uniform(0, 3)), rng.choice([0.0, 1.0, math.pi / 2]), rng.choice([0.3, 1.0]), 0.5, 0.8, 0.0, i % 5 > 0, rng.choice([0.0, 0.7])) for i in range(300)]
+    d = spark.createDataFrame(poses, f"floor_id string, item_id string, room_id string, position {PT}, rotation double, width double, depth double, height double, elevation double, collides boolean, front_clearance double")
+    expected = {}
+    for r in placement.placement_issues(d, *world).collect():
+        expected.setdefault(r.item_id, []).append((r.code, r.severity, r.other_id, r.amount))
+    asked = placement.surrounded(d.join(rooms.drop("ord"), ["floor_id", "room_id"]), ("floor_id", "item_id"), *world)
+    order = lambda found: sorted(found, key=str)
+    got = {r.item_id: order(map(tuple, r.issues)) for r in placement.judged(asked).collect()}
+    assert got == {str(i): order(expected.get(str(i), [])) for i in range(300)} and len({c for v in got.values() for c, *_ in v}) == 7
